@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skewline.functions.keys import sql_key
 from skewline.operators.orphans import Reference, Target, orphan_rows, orphans_by_period
+from skewline.operators import nested
 from skewline.session import table
 
 
@@ -24,7 +25,18 @@ def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
     return orphans_by_period(*_references(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_month)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.found_boxes(table(spark, d, "bdd_label_train")).select("record_id", "obj_path")
+
+
+def _flat(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return nested.flatten(table(spark, d, "bdd_label_train"), name).distinct()
+
+    return run
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p5_found)} | {f"p5_{t}": _flat(t) for t in nested.SCHEMAS}
 
 
 def _ref(src: str, field: str, key: str, target: str, target_key: str) -> str:
