@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewline.functions.keys import known_key, ref_key, sql_key
-from skewline.llm import mixing, splits, tokens, topn
+from skewline.llm import mixing, neighbors, splits, tokens, topn
 from skewline.session import table
 
 IMAGE_KEYS = ("source_key", "sequence_key")
@@ -21,6 +21,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_top(spark, d).select("chip_to_image", "chip_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.pairs(neighbors.knn(table(spark, d, "embedding_result"), k=5, floor=0.85, version="extracted_at"))
+
+
+def p2_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every vector whose id is divisible by 50, against all vectors."""
+    found = neighbors.knn(table(spark, d, "embedding_result"), k=5, probes=None, queries="vec_id % 50 = 0", version="extracted_at")
+    return found.select("query_id", "neighbor_id", F.round("cosine", 4).alias("cosine"), "rank")
+
+
 def _image_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     images = table(spark, d, "images")
     rec = images.select("image_idx", known_key(F.col("source_image_id"), "unknown").alias("source_key"), known_key(F.col("sequence_id"), "unknown").alias("sequence_key"), ref_key(F.col("image_id")).alias("image_key"))
@@ -75,7 +85,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_found, p4_splits, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_knn, p4_found, p4_splits, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares)}
 
 _LATEST = """SELECT chip_id, chip_to_image, chip_ood_max, row_number() OVER (PARTITION BY chip_id ORDER BY scored_at DESC NULLS LAST, arrived_at DESC NULLS LAST, chip_to_image DESC NULLS LAST, chip_ood_max DESC NULLS LAST) AS v FROM chips WHERE chip_id IS NOT NULL"""
 _TOP = f"""SELECT chip_to_image, chip_id, chip_ood_max + 0.0::DOUBLE AS chip_ood_max, CAST(row_number() OVER (PARTITION BY chip_to_image ORDER BY chip_ood_max + 0.0::DOUBLE DESC, chip_id) AS INTEGER) AS rank
