@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewline.functions.keys import known_key, ref_key, sql_key
-from skewline.llm import mixing, neighbors, splits, tokens, topn
+from skewline.llm import mixing, neighbors, residue, splits, tokens, topn
 from skewline.session import table
 
 IMAGE_KEYS = ("source_key", "sequence_key")
@@ -85,7 +85,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_knn, p4_found, p4_splits, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "documents")).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_segments").alias("segments"))
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier against the weak labels on hosts it wasn't trained on."""
+    return residue.validate(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_knn, p4_found, p4_splits, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_kinds, p8_validation)}
 
 _LATEST = """SELECT chip_id, chip_to_image, chip_ood_max, row_number() OVER (PARTITION BY chip_id ORDER BY scored_at DESC NULLS LAST, arrived_at DESC NULLS LAST, chip_to_image DESC NULLS LAST, chip_ood_max DESC NULLS LAST) AS v FROM chips WHERE chip_id IS NOT NULL"""
 _TOP = f"""SELECT chip_to_image, chip_id, chip_ood_max + 0.0::DOUBLE AS chip_ood_max, CAST(row_number() OVER (PARTITION BY chip_to_image ORDER BY chip_ood_max + 0.0::DOUBLE DESC, chip_id) AS INTEGER) AS rank
