@@ -187,8 +187,8 @@ def block_knn(queries: DataFrame, bank: DataFrame, id_col: str, vector: str, k:
     """
     import pyarrow as pa
 
-    q = queries.select(F.col(id_col).alias("id"), doubles(F.col(vector)).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(query_blocks)).alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    b = bank.select(doubles(F.col(vector)).alias("x"), F.pmod(F.xxhash64(vector), F.lit(blocks)).cast("long").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
+    q = queries.select(F.col(id_col).alias("id"), doubles(F.col(vector)).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(query_blocks)).alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    b = bank.select(doubles(F.col(vector)).alias("x"), F.pmod(F.xxhash64(vector), F.lit(blocks)).cast("long").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, out_i, out_d = left.column("id"), [], []
@@ -374,7 +374,7 @@ class ViM(Detector):
     def _score(self):
         z = doubles(F.col(self._col("logits")))
         virtual = F.lit(self.alpha) * self._norm(F.col(self._col("embeddings")))
-        return F.exp(virtual - logsumexp(F.concat(z, F.array(virtual))))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(logsumexp(z) - virtual))
 
     def explained_variance(self, spark) -> DataFrame:
         return _explained(spark, self.evals)

@@ -139,10 +139,10 @@ def classification_metrics(df: DataFrame, keys: list[str], label: str = "y", p:
     d = df.select(*keys, F.col(label).cast("long").alias("_y"), F.col(p).cast("double").alias("_p"))
     steps = d.groupBy(*keys, "_p").agg(F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_n"), F.sum((F.col("_p") - F.col("_y")) ** 2).alias("_sq"))
     up = by.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("_tp", F.sum("_pos").over(up)).withColumn("_k", F.sum("_n").over(up)).withColumn("_P", F.sum("_pos").over(by)).withColumn("_N", F.sum("_n").over(by))
+    steps = steps.withColumn("_tp", F.sum("_pos").over(up)).withColumn("_k", F.sum("_n").over(up)).withColumn("_np", F.sum("_pos").over(by)).withColumn("_nn", F.sum("_n").over(by))
     neg = F.col("_n") - F.col("_pos")
     # of each negative the positives above it, and half of those beside it
     wins = neg * (F.col("_tp") - F.col("_pos") / 2)
-    out = steps.groupBy(*keys).agg(F.sum(wins).alias("_w"), F.sum(F.col("_pos") * F.col("_tp") / F.col("_k")).alias("_ap"), F.sum("_sq").alias("_sq"), F.max("_P").alias("_P"), F.max("_N").alias("_N"))
-    both = (F.col("_P") > 0) & (F.col("_P") < F.col("_N"))
-    return out.select(*keys, F.when(both, F.try_divide("_w", F.col("_P") * (F.col("_N") - F.col("_P")))).alias("auroc"), F.when(both, F.try_divide("_ap", "_P")).alias("average_precision"), F.try_divide("_sq", "_N").alias("brier"), F.col("_N").alias("n"))
+    out = steps.groupBy(*keys).agg(F.sum(wins).alias("_w"), F.sum(F.col("_pos") * F.col("_tp") / F.col("_k")).alias("_ap"), F.sum("_sq").alias("_sq"), F.max("_np").alias("_np"), F.max("_nn").alias("_nn"))
+    both = (F.col("_np") > 0) & (F.col("_np") < F.col("_nn"))
+    return out.select(*keys, F.when(both, F.try_divide("_w", F.col("_np") * (F.col("_nn") - F.col("_np")))).alias("auroc"), F.when(both, F.try_divide("_ap", "_np")).alias("average_precision"), F.try_divide("_sq", "_nn").alias("brier"), F.col("_nn").alias("n"))

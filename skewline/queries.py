@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skewline.functions.keys import sql_key
 from skewline.operators.orphans import Reference, Target, orphan_rows, orphans_by_period
 from skewline.operators import nested
+from skewline.plans import detecting, objects, ranking
 from skewline.session import table
 
 
@@ -36,7 +37,7 @@ def _flat(name: str):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p5_found)} | {f"p5_{t}": _flat(t) for t in nested.SCHEMAS}
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p5_found)} | {f"p5_{t}": _flat(t) for t in nested.SCHEMAS} | ranking.Q | detecting.Q | objects.Q
 
 
 def _ref(src: str, field: str, key: str, target: str, target_key: str) -> str:
@@ -50,4 +51,6 @@ _REFS = " UNION ".join((_ref("gt_boxes", "image_id", "gt_id", "images", "image_i
 SQL = {
     "p3_found": f"SELECT DISTINCT src_table, ref_field, row_key FROM ({_REFS}) WHERE orphan",
     "p3_by_month": f"SELECT src_table, ref_field, CAST(date_trunc('month', ref_time) AS DATE) AS period, count(*) AS n_refs, CAST(sum(orphan::INT) AS BIGINT) AS n_orphans FROM ({_REFS}) GROUP BY ALL",
-}
+} | ranking.S | detecting.S | objects.S
+
+FLAGSHIP = detecting.energy_auroc
