@@ -9,7 +9,7 @@ give is asked of the others in proportion to their targets. Repeated rows of a d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.functions.keys import ref_key
@@ -81,6 +81,6 @@ def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: float | None =
     plan = _plan(sizes, targets, total_tokens)
     got = _emit(sizes, plan, seed).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.count(F.lit(1)).alias("documents"))
     out = plan.join(F.broadcast(got), "source", "left").fillna(0, ["mixed_tokens", "documents"])
-    total = out.agg(F.sum("mixed_tokens").alias("all"))
-    share = F.when(F.col("all") > 0, F.col("mixed_tokens") / F.col("all")).otherwise(F.lit(0.0))
-    return out.join(F.broadcast(total)).select("source", "target_share", share.alias("reached_share"), "tokens", "mixed_tokens", "documents", "rate", "max_repeats")
+    whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # one row a source
+    share = F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(F.lit(0.0))
+    return out.select("source", "target_share", share.alias("reached_share"), "tokens", "mixed_tokens", "documents", "rate", "max_repeats")

@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar of every vector whose id is divisible by 50, against all vectors."""
     found = neighbors.knn(table(spark, d, "embedding_result"), k=5, probes=None, queries="vec_id % 50 = 0", version="extracted_at")
-    return found.select("query_id", "neighbor_id", F.round("cosine", 4).alias("cosine"), "rank")
+    return found.select("query_id", "neighbor_id", "rank")
 
 
 def _image_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +121,16 @@ e AS (SELECT DISTINCT i, m FROM hubs JOIN least USING (h) WHERE i <> m UNION SEL
 r(i, u) AS (SELECT DISTINCT i, i FROM im UNION SELECT e.m, r.u FROM r JOIN e ON e.i = r.i WHERE e.m > r.u)
 SELECT u AS unit_idx, i AS image_idx FROM (SELECT i, min(u) AS u FROM r GROUP BY i) WHERE u <> i"""
 
+#: brute force over all pairs
+_VECTORS = """WITH one AS (SELECT vec_id, arg_max(embeddings, extracted_at) AS e FROM embedding_result WHERE vec_id IS NOT NULL AND len(embeddings) = 96 AND list_bool_and(list_transform(embeddings, lambda v: v IS NOT NULL AND isfinite(v))) AND list_bool_or(list_transform(embeddings, lambda v: v <> 0)) GROUP BY vec_id),
+v AS (SELECT vec_id, e::DOUBLE[96] AS e FROM one),
+p AS (SELECT a.vec_id AS q, b.vec_id AS m, array_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id{where}),
+t AS (SELECT q, m, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, m) AS r FROM p QUALIFY r <= 5)
+"""
+
 SQL = {
+    "p2_found": _VECTORS.format(where="") + "SELECT DISTINCT least(q, m) AS vec_id_a, greatest(q, m) AS vec_id_b FROM t WHERE s >= 0.85",
+    "p2_knn": _VECTORS.format(where=" AND a.vec_id % 50 = 0") + "SELECT q AS query_id, m AS neighbor_id, CAST(r AS INTEGER) AS rank FROM t",
     "p1_top": f"SELECT * FROM ({_TOP}) WHERE rank <= 5",
     "p1_found": f"SELECT chip_to_image, chip_id FROM ({_TOP}) WHERE rank <= 5",
     "p4_found": _UNITS,

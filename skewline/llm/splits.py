@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.session import cut
@@ -126,7 +126,7 @@ def split_units(records: DataFrame, units_: DataFrame, id_col: str, labels: Sequ
 def split_report(assigned: DataFrame, names: Sequence[str] = ("train", "validation", "test"), shares: Sequence[float] = (0.8, 0.1, 0.1)) -> DataFrame:
     """Records, units and shares reached next to the targets."""
     got = assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("unit").alias("n_units"))
-    total = assigned.agg(F.count(F.lit(1)).alias("all"))
     want = assigned.sparkSession.createDataFrame(list(zip(names, map(float, shares))), "split string, target double")
-    out = want.join(F.broadcast(got), "split", "left").fillna(0, ["n", "n_units"]).join(F.broadcast(total))
-    return out.select("split", "target", F.when(F.col("all") > 0, F.col("n") / F.col("all")).otherwise(F.lit(0.0)).alias("reached"), "n", "n_units")
+    out = want.join(F.broadcast(got), "split", "left").fillna(0, ["n", "n_units"])
+    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a split
+    return out.select("split", "target", F.when(whole > 0, F.col("n") / whole).otherwise(F.lit(0.0)).alias("reached"), "n", "n_units")
