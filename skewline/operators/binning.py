@@ -78,7 +78,7 @@ def gaussian_kde(df: DataFrame, keys: list[str], value: str, grid: int = 256, pa
     span = F.col("hi") - F.col("lo")
     lo, hi = F.col("lo") - pad * span, F.col("hi") + pad * span
     stats = stats.select(*keys, "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"), lo.alias("a"), ((hi - lo) / (grid - 1)).alias("step"))
-    joined = d.join(F.broadcast(stats), keys) if keys else d.join(F.broadcast(stats))
+    joined = d.join(stats, keys) if keys else d.join(F.broadcast(stats))  # without keys one row
     each = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("a") + F.col("point") * F.col("step")
     bump = F.exp(-0.5 * ((x - F.col("v")) / F.col("h")) ** 2)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.functions.boxes import is_valid
+from skewline.session import cut
 
 
 class DetectionTables(NamedTuple):
@@ -131,7 +132,7 @@ def match(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def enrich(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Both tables with match_status, iou and the id of the match."""
-    m = match(det, gt, threshold)
+    m = cut(match(det, gt, threshold), "matches")  # both sides read it: the fold runs once
     on = ["image_id", "class_id", "ord"]
     d = det.join(m.where("side = 'det'").select(*on, F.col("key").alias("detection_id"), F.col("status").alias("match_status"), F.col("other").alias("matched_gt_id"), "iou"), [*on, "detection_id"])
     g = gt.join(m.where("side = 'gt'").select(*on, F.col("key").alias("gt_id"), F.col("status").alias("match_status"), F.col("other").alias("matched_detection_id"), "iou"), [*on, "gt_id"])

@@ -70,28 +70,30 @@ def _roc_summary(long: DataFrame, keys: list[str], label: str, buckets: int, tpr
         F.sum(F.when(F.col("pos") == 0, F.col("tp"))).alias("area"),
         F.min(F.when(rate >= F.lit(float(tpr)), fp)).alias("fp_at"),
         F.min(F.lit(0.5) * (false + 1 - rate)).alias("err"),
+        F.try_divide(F.sum(_precision_step()), F.max("n_pos")).alias("aupr_ood"),
     )
     at = F.lit(0.0) if tpr <= 0 else F.coalesce(F.try_divide("fp_at", n_neg), F.lit(1.0))
     both = (F.col("n_pos") > 0) & (n_neg > 0)
-    return d.select(*keys, "n_pos", "n", F.when(both, F.try_divide("area", F.col("n_pos") * n_neg)).alias("auroc"), F.when(both, at).alias("fpr95"), F.when(both, F.least(F.lit(0.5), "err")).alias("det_err"))
+    return d.select(*keys, "n_pos", "n", F.when(both, F.try_divide("area", F.col("n_pos") * n_neg)).alias("auroc"), F.when(both, at).alias("fpr95"), F.when(both, F.least(F.lit(0.5), "err")).alias("det_err"), F.when(both, F.col("aupr_ood")).alias("aupr_ood"))
 
 
-def _aupr(long: DataFrame, keys: list[str], label: str, positive: str, buckets: int, out: str) -> DataFrame:
+def _precision_step() -> Column:
     """Trapezoid of precision over recall: only rows that are positive move recall, by 1/n_pos."""
-    y = _labels(long, label)
-    r = ranked(long, keys, y if positive == "ood" else 1 - y, ascending=positive == "id", buckets=buckets)
     # the row before has tp - 1 positives among k - 1 rows; before the first row precision is 1
     before = F.when(F.col("k") == 1, F.lit(1.0)).otherwise(F.try_divide(F.col("tp") - 1, F.col("k") - 1))
-    step = F.when(F.col("pos") == 1, (F.col("tp") / F.col("k") + before) / 2)
-    return r.groupBy(*keys).agg(F.try_divide(F.sum(step), F.max("n_pos")).alias(out))
+    return F.when(F.col("pos") == 1, (F.col("tp") / F.col("k") + before) / 2)
+
+
+def _aupr_id(long: DataFrame, keys: list[str], label: str, buckets: int) -> DataFrame:
+    r = ranked(long, keys, 1 - _labels(long, label), ascending=True, buckets=buckets)
+    return r.groupBy(*keys).agg(F.try_divide(F.sum(_precision_step()), F.max("n_pos")).alias("aupr_id"))
 
 
 def summary(long: DataFrame, keys: list[str] = ["detector"], label: str = LABEL, buckets: int = 1, tpr: float = 0.95) -> DataFrame:
     """keys, auroc, fpr95, aupr_ood, aupr_id, det_err: two rankings (descending and ascending) give all five. Null where a side is missing."""
-    a = _roc_summary(long, keys, label, buckets, tpr)
-    b, c = _aupr(long, keys, label, "ood", buckets, "aupr_ood"), _aupr(long, keys, label, "id", buckets, "aupr_id")
+    down, up = _roc_summary(long, keys, label, buckets, tpr), _aupr_id(long, keys, label, buckets)
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
-    return a.join(b, keys).join(c, keys).select(*keys, "auroc", "fpr95", F.when(both, F.col("aupr_ood")).alias("aupr_ood"), F.when(both, F.col("aupr_id")).alias("aupr_id"), "det_err")
+    return down.join(up, keys).select(*keys, "auroc", "fpr95", "aupr_ood", F.when(both, F.col("aupr_id")).alias("aupr_id"), "det_err")
 
 
 def evaluate(bank: ScoreBank, buckets: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewline.functions import boxes as X
-from skewline.operators import analysis, combine, detection, failure, geometry, pooling
+from skewline.operators import analysis, chips, combine, detection, failure, geometry, pooling
 from skewline.plans import shapes
 from skewline.plans.ranking import _RANK, rounded
 from skewline.session import cut, table
@@ -334,3 +334,37 @@ def metrics_by_count(spark, d):
 def metrics_per_domain(spark, d):
     long = shapes.bank(spark, d).long("ood", "grp")
     return rounded(analysis.per_domain(long, "grp").select("detector", "grp", "auroc"))
+
+
+@query(f"""WITH {C}, k AS (SELECT *, row_number() OVER (PARTITION BY image_idx ORDER BY chip_idx) - 1 AS place FROM ch)
+SELECT image_idx, CAST(row_number() OVER (ORDER BY image_idx, chip_idx) - 1 AS BIGINT) AS chip_idx, CAST(place AS INTEGER) AS place, box[1] AS x1, CAST(class_id AS INTEGER) AS label, 'im' || image_idx || '_' || ['c0', 'c1', 'c2'][class_id + 1] || '_g_' || (row_number() OVER (PARTITION BY image_idx, class_id ORDER BY chip_idx) - 1) AS object_id FROM k WHERE class_id < 3
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL WHERE false""".replace("AS place FROM ch)", "AS place FROM ch WHERE class_id < 3)"))
+def chip_stream(spark, d):
+    """Nested records, one per image, flattened to chips with object ids."""
+    c = shapes.chips(spark, d).where("class_id < 3")
+    nested = c.groupBy("image_idx").agg(F.array_sort(F.collect_list(F.struct("chip_idx", "box", "class_id"))).alias("r"))  # a fixture of small images
+    rec = nested.select("image_idx", F.concat(F.lit("img/"), "image_idx").alias("path"), F.col("r.box").alias("b"), F.col("r.class_id").alias("l"), F.lit("g").alias("g"), F.concat(F.lit("im"), "image_idx").alias("i"))
+    a = chips.annotations(rec.withColumnRenamed("path", "image_path"), boxes="b", labels="l", grp="g", image_id="i")
+    a = a.withColumn("image_idx", F.regexp_extract("image_path", r"(\d+)$", 1).cast("long"))
+    s = chips.chip_stream(a, class_names=["c0", "c1", "c2"])
+    return s.select("image_idx", F.col("chip_idx").cast("long").alias("chip_idx"), "place", F.col("box")[0].alias("x1"), F.col("label").cast("int").alias("label"), "object_id")
+
+
+@query(f"""WITH {C}, ev AS (SELECT event_id, time_bucket(INTERVAL 1 hour, ts) AS w, event_type, value FROM events)
+SELECT w AS start, event_type, count(*) AS n, CAST(count_if(value > 60) AS BIGINT) AS n_out, round(avg(value), 6) AS mean_score FROM ev GROUP BY ALL""")
+def outlier_rates(spark, d):
+    """The windowed aggregate of the streaming module, over the table at rest."""
+    from skewline.streaming.scoring import outlier_rates as rates
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = rates(e, "ts", "value", 60, "1 hour", keys=("event_type",))
+    return rounded(out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "n_out", "mean_score"))
+
+
+@query(f"WITH {C} SELECT image_idx, round(avg(s), 6) AS pooled, any_value(o) AS ood FROM (SELECT image_idx, score AS s, row_number() OVER (PARTITION BY image_idx ORDER BY score DESC, chip_idx) AS r, max(ood) OVER (PARTITION BY image_idx) AS o FROM ch) WHERE r <= 3 GROUP BY image_idx")
+def chips_to_images(spark, d):
+    """Chip scores pooled and fused to image scores, end to end; the SQL checks the pooled part."""
+    from skewline.plans.pipelines import chips_to_images as chain
+
+    c = shapes.chips(spark, d)
+    return rounded(chain(c.where("image_idx % 2 = 0"), c).select("image_idx", "pooled", "ood"))

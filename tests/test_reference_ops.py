@@ -403,3 +403,40 @@ def test_bdd_tables(spark):
     assert t.count() == 11
     assert [(r.obj_path, r.class_name) for r in bdd.chip_annotations(raw, t, 5).collect()] == [("labels[0]", "car")]
     assert bdd.attributes(raw).head().bdd_partition == "reference"
+
+
+def test_chip_stream_errors(spark):
+    from skewline.operators import chips
+
+    rec = lambda rows, kind="image_idx long, image_path string, boxes array<array<double>>, labels array<int>, image_w double": spark.createDataFrame(rows, kind)
+    ok = rec([(0, "a", [[0.0, 0.0, 1.0, 1.0]] * 2, [1, 1], 5.0), (1, "b", [], None, None), (2, "c", [[0.0, 0.0, 2.0, 2.0]], [0], 5.0)])
+    got = chips.chip_stream(ok).orderBy("chip_idx").collect()
+    assert [(r.chip_idx, r.image_idx, r.object_id) for r in got] == [(0, 0, "0_1_0"), (1, 0, "0_1_1"), (2, 2, "2_0_0")]
+    for bad in ([(0, "a", [], None, None)], [(0, "a", [[0.0] * 4], [1], 1.0), (1, "b", [[0.0] * 4], None, 1.0)], [(0, "a", [[0.0] * 4], [1, 2], 1.0)], [(0, "a", [[0.0] * 4], [1], 0.0)]):
+        with pytest.raises(ValueError):
+            chips.chip_stream(rec(bad))
+
+
+def test_pipelines(spark):
+    from skewline.plans import pipelines
+
+    x, y = clusters(spark)
+    train = vectors(spark, x, y=y)
+    test = train.withColumn("ood", (F.col("sample_id") % 2).cast("int"))
+    bank_, m = pipelines.fit_score_evaluate(train, test, {"m": D.Mahalanobis(features=COLS), "k": D.KNN(2, features=COLS)}, y="y")
+    assert {r.detector for r in m.collect()} == {"m", "k"} and bank_.n_samples == 40
+
+
+def test_outlier_rates_on_a_stream(spark, tmp_path):
+    from datetime import datetime as T
+
+    from skewline.streaming.scoring import outlier_rates
+
+    rows = [(T(2024, 1, 1, 0, i), float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "ts timestamp, s double")
+    df.write.parquet(str(tmp_path / "e"))
+    s = outlier_rates(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e")), "ts", "s", 9.5, "10 minutes", "1 minute")
+    q = s.writeStream.format("memory").outputMode("complete").queryName("rates").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.n, r.n_out) for r in spark.table("rates").collect()) == [(10, 0), (10, 10), (10, 10)]
