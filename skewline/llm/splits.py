@@ -44,7 +44,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = cut(small, "cc-edges")
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.countDistinct("a").alias("na"), F.sum(F.hash("a", "b").cast("long")).alias("h")).head()
+        now = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("na"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.bit_xor(F.xxhash64("b", "a")).alias("h2")).head()
         if now == last and now["n"] == now["na"]:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
         last = now
