@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 #: words a task remembers between batches
 KEEP = 500_000
-_S = r"\t-\r \u0085   -     　"
+_S = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: fixed value: the split pattern of the public byte-level BPE, with white space spelt out for Java
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
