@@ -71,7 +71,38 @@ obj AS (SELECT record_id, regexp_replace(substr(k, 3), '(labels|frames|objects|p
 box AS (SELECT record_id, obj_path, b, CASE WHEN json_type(g) = 'OBJECT' THEN g->'$.box2d' END AS gb FROM obj)
 SELECT DISTINCT record_id, obj_path FROM box WHERE {_usable('b')} OR {_usable('gb')}"""
 
+_HEAD = _NESTED[: _NESTED.index("tree AS (")]
+
+
+def _scalar(e: str) -> str:
+    return f"CASE WHEN json_type({e}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {e}->>'$' END"
+
+
+def _string(e: str) -> str:
+    return f"CASE WHEN json_type({e}) = 'VARCHAR' THEN {e}->>'$' END"
+
+
+def _attribute(n: str) -> str:
+    listed = f"(list_filter(a::JSON[], lambda e: e->>'$.key' = '{n}')[-1]->'$.value')"
+    return f"CASE json_type(a) WHEN 'OBJECT' THEN {_string(f"(a->'$.{n}')")} WHEN 'ARRAY' THEN {_string(listed)} END AS {n}"
+
+
+_OBJS = r"""objs AS (SELECT DISTINCT record_id, w, regexp_replace(substr(t.fullkey, 3), '(labels|frames|objects|parts)(\.|$)', '\1[0]\2', 'g') AS obj_path, t.value::JSON AS v FROM wea, json_tree(j) t WHERE t.type = 'OBJECT' AND regexp_matches(t.fullkey, '^\$\.(labels(\[\d+\])?|frames(\[\d+\])?\.objects(\[\d+\])?)(\.parts(\[\d+\])?)*$'))"""
+_CORNERS = ", ".join(f"CASE WHEN own THEN {_member('b', i, n)} ELSE {_member('gb', i, n)} END AS {n}" for i, n in enumerate(("x1", "y1", "x2", "y2")))
+_TABLES = {
+    "p5_objects": rf"""{_HEAD}{_OBJS}
+SELECT record_id, obj_path, CASE WHEN obj_path LIKE '%.parts[%' THEN regexp_replace(obj_path, '\.parts\[\d+\]$', '') WHEN obj_path LIKE 'frames%' THEN regexp_extract(obj_path, '^frames\[\d+\]') END AS parent_path, CASE WHEN obj_path LIKE 'frames%' THEN regexp_extract(obj_path, '^frames\[\d+\]') END AS frame_path,
+ CAST(len(regexp_extract_all(obj_path, '\.parts')) AS INTEGER) AS depth, {_scalar("(v->'$.category')")} AS category, {_scalar("(v->'$.id')")} AS object_id, {_string("w")} AS weather FROM objs""",
+    "p5_frames": rf"""{_HEAD}fr AS (SELECT DISTINCT record_id, regexp_replace(substr(t.fullkey, 3), '^frames$', 'frames[0]') AS frame_path, t.value::JSON AS v FROM wea, json_tree(j) t WHERE t.type = 'OBJECT' AND regexp_matches(t.fullkey, '^\$\.frames(\[\d+\])?$'))
+SELECT record_id, frame_path, CAST(regexp_extract(frame_path, '\d+') AS INTEGER) AS frame_no, {_scalar("(v->'$.timestamp')")} AS timestamp FROM fr""",
+    "p5_boxes": f"""{_HEAD}{_OBJS}, bx AS (SELECT record_id, obj_path, w, v->'$.box2d' AS b, CASE WHEN json_type(v->'$.geometry') = 'OBJECT' THEN v->'$.geometry.box2d' END AS gb FROM objs), us AS (SELECT *, {_usable("b")} AS own, {_usable("gb")} AS other FROM bx)
+SELECT record_id, obj_path, {_CORNERS}, {_string("w")} AS weather FROM us WHERE own OR other""",
+    "p5_records": rf"""{_HEAD}{_OBJS}, no AS (SELECT record_id, count(*) AS n FROM objs GROUP BY 1), nf AS (SELECT record_id, count(DISTINCT t.fullkey) AS n FROM wea, json_tree(j) t WHERE t.type = 'OBJECT' AND regexp_matches(t.fullkey, '^\$\.frames(\[\d+\])?$') GROUP BY 1)
+SELECT DISTINCT att.record_id, {_scalar("(j->'$.name')")} AS name, {_scalar("(j->'$.timestamp')")} AS timestamp, {", ".join(map(_attribute, ("weather", "scene", "timeofday")))}, coalesce(nf.n, 0) AS n_frames, coalesce(no.n, 0) AS n_objects FROM att LEFT JOIN no USING (record_id) LEFT JOIN nf USING (record_id)""",
+}
+
 SQL = {
+    **_TABLES,
     "p5_found": _NESTED,
     "p3_found": f"SELECT DISTINCT src_table, ref_field, row_key FROM ({_REFS}) WHERE orphan",
     "p3_by_month": f"SELECT src_table, ref_field, CAST(date_trunc('month', ref_time) AS DATE) AS period, count(*) AS n_refs, CAST(sum(orphan::INT) AS BIGINT) AS n_orphans FROM ({_REFS}) GROUP BY ALL",
