@@ -163,15 +163,24 @@ def search_block(books: Codebooks, qid: np.ndarray, q: np.ndarray, mid: np.ndarr
             n = min(rerank, len(m))
             j = np.argpartition(acc, len(m) - n, axis=1)[:, len(m) - n :]
             i, j = np.repeat(np.arange(len(part)), n), j.ravel()
+        kept = []
         for c in range(0, len(i), 100_000):
             ii, jj = i[c : c + 100_000], j[c : c + 100_000]
             s = np.einsum("ij,ij->i", part[ii], m[jj])
             keep = qid[a + ii] != mid[jj]
             if floor is not None:
                 keep &= s >= floor
-            out_q.append(a + ii[keep])
-            out_m.append(jj[keep])
-            out_s.append(s[keep])
+            kept.append((ii[keep], jj[keep], s[keep]))
+        if not kept:
+            continue
+        i, j, s = (np.concatenate(x) for x in zip(*kept))
+        if len(s) > 8 * k * len(part):
+            # where all lie close together only the k best of each side can matter
+            some = np.union1d(best(i, mid[j], s, k), best(j, qid[a + i], s, k))
+            i, j, s = i[some], j[some], s[some]
+        out_q.append(a + i)
+        out_m.append(j)
+        out_s.append(s)
     return tuple(np.concatenate(x) if x else np.zeros(0, d) for x, d in ((out_q, np.int64), (out_m, np.int64), (out_s, np.float32)))
 
 

@@ -105,3 +105,22 @@ def test_anisotropic_codes_keep_inner_products_better():
     t, scale, base = b.tables(x[:5])
     got = base[:, None] + scale[:, None] * N.scan(t, np.ascontiguousarray(b.pack(code).T))
     assert np.abs(got - x[:5] @ rec.T).max() < 0.05 and xs.shape[1] == b.n_sub
+
+
+def test_a_dense_blob_keeps_the_best_of_each_side():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8) + rng.normal(size=(700, 8)) * 0.05
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(700) * 3
+    b = N.Codebooks(x)
+    q, m, s = N.search_block(b, ids, x, ids, x, b.pack(b.encode(x)), 5, 0.85, 0.5, 64)
+    assert len(s) < 700 * 700 / 4
+    full = x @ x.T
+    np.fill_diagonal(full, -1)
+    want = np.sort(full, axis=1)[:, ::-1][:, :5]
+    f = N.best(ids[q], ids[m], s, 5)
+    got = np.full((700, 5), -1.0)
+    for place, row in zip(f, q[f]):
+        k = np.flatnonzero(got[row] < 0)[0]
+        got[row, k] = s[place]
+    assert np.allclose(got, want, atol=1e-5)
