@@ -231,7 +231,12 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
     # classes of equal vectors: searched by their smallest id
     classes = rows.groupBy("h", F.hash("code").alias("h2")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2", "rep")
     copies = cut(rows.select("vec_id", "h", F.hash("code").alias("h2")).join(classes, ["h", "h2"]).select("rep", "vec_id"), "knn-copies")
-    reps = rows.join(copies.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti").select("vec_id", "code")
+    is_query = F.coalesce(F.expr(queries), F.lit(False)) if queries else F.lit(True)
+    reps = rows.join(copies.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti").select("vec_id", "code", is_query.alias("asks"))
+    if queries:
+        # a class is searched if any of its ids is a query
+        told = copies.groupBy("rep").agg(F.bool_or(is_query).alias("told")).where("told").select(F.col("rep").alias("vec_id"), "told")
+        reps = reps.join(told, "vec_id", "left").select("vec_id", "code", F.coalesce("told", "asks").alias("asks"))
     reps = cut(reps, "knn-vectors")
     n = reps.count()
     share = min(1.0, sample / max(n, 1))
@@ -248,7 +253,6 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
     sizes = np.bincount((x @ cells.T).argmax(1), minlength=n_cells) * (n / len(x))
     n_blocks = np.maximum(1, np.ceil(sizes / block)).astype(np.int64)
     t = n_cells if probes is None else min(probes, n_cells)
-    is_query = F.expr(queries) if queries else F.lit(True)
     # cells and codebooks are bounded by MAX_CELLS x dim and 16 x dim numbers
     shared = spark.sparkContext.broadcast((cells, books, n_blocks))
 
@@ -310,7 +314,7 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
             empty = [np.concatenate([qi[f], mi[r]]), np.concatenate([mi[f], qi[r]]), np.concatenate([s[f], s[r]]).astype(np.float64)]
         return pa.table(empty, names=["q", "m", "s"])
 
-    routed = reps.select("vec_id", "code", is_query.alias("asks")).mapInArrow(assign, "cell int, mb int, qb int, role tinyint, vec_id long, code binary, pq binary")
+    routed = reps.mapInArrow(assign, "cell int, mb int, qb int, role tinyint, vec_id long, code binary, pq binary")
     found = routed.groupBy("cell", "mb", "qb").applyInArrow(search, "q long, m long, s double")
     first = Window.partitionBy("q").orderBy(F.col("s").desc(), F.col("m").asc())
     found = found.repartition("q").groupBy("q", "m").agg(F.max("s").alias("s"))

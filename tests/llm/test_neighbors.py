@@ -83,6 +83,19 @@ def test_a_third_are_copies(spark):
     assert len(out) == 150 * 5 and {r.neighbor_id for r in out} <= {7, *range(1000, 1006)}
 
 
+def test_copies_are_queries_though_their_smallest_id_is_none(spark):
+    v = planted(300)
+    v |= {1000 + i: v[7] for i in range(0, 20, 10)} | {2001: v[13], 2010: v[13] * 2}
+    found = N.knn(frame(spark, [(i, x, 0) for i, x in v.items()]), k=5, dim=16, cell_rows=50, probes=None, rerank=320, queries="vec_id % 10 = 0").collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.neighbor_id)
+    want = brute(v, 5)
+    assert set(got) == {i for i in v if i % 10 == 0} and all(len(js) == 5 for js in got.values())
+    for i in (1000, 1010, 2010):
+        assert set(got[i]) == {j for j, _ in want[i]}
+
+
 def test_empty_and_single(spark):
     assert N.knn(frame(spark, []), dim=4).count() == 0
     assert N.knn(frame(spark, [(1, [1, 0, 0, 0], 0)]), dim=4).count() == 0
