@@ -253,6 +253,7 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
     sizes = np.bincount((x @ cells.T).argmax(1), minlength=n_cells) * (n / len(x))
     n_blocks = np.maximum(1, np.ceil(sizes / block)).astype(np.int64)
     t = n_cells if probes is None else min(probes, n_cells)
+    every = queries is None
     # cells and codebooks are bounded by MAX_CELLS x dim and 16 x dim numbers
     shared = spark.sparkContext.broadcast((cells, books, n_blocks))
 
@@ -278,10 +279,10 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
                         if kind == 0 and r > 0:
                             continue
                         take = np.arange(len(ids)) if kind == 0 else np.flatnonzero(asks)
-                        if kind == 1 and r == 0 and (nb == 1).all() and asks.all():
+                        if kind == 1 and r == 0 and (nb == 1).all() and every:
                             continue  # members of undivided cells are their own queries
                         if kind == 1 and r == 0:
-                            take = take[nb[take] > 1] if asks.all() else take
+                            take = take[nb[take] > 1] if every else take
                         w = np.repeat(take, nb[take])
                         k_ = np.arange(len(w)) - np.repeat(np.cumsum(nb[take]) - nb[take], nb[take])
                         who.append(w)
@@ -293,8 +294,6 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
                 names = ["cell", "mb", "qb", "role", "vec_id", "code", "pq"]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(mb), pa.int32()), pa.array(np.concatenate(qb), pa.int32()), pa.array(kind, pa.int8()), pa.array(ids[w]), raw.take(pa.array(w)), pa.array([packed[i].tobytes() if z == 0 else None for i, z in zip(w.tolist(), kind.tolist())], pa.binary())], names=names)
 
-    every = queries is None
-
     def search(group: pa.Table) -> pa.Table:
         _, books, n_blocks = shared.value
         role = group.column("role").to_numpy()

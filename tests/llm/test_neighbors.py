@@ -96,6 +96,16 @@ def test_copies_are_queries_though_their_smallest_id_is_none(spark):
         assert set(got[i]) == {j for j, _ in want[i]}
 
 
+@pytest.mark.parametrize("block", [6000, 40])
+def test_a_condition_that_holds_for_all(spark, block):
+    """Queries are searched in their nearest cell too, whatever the rows of their batch ask."""
+    v = planted(300)
+    found = N.knn(frame(spark, [(i, x, 0) for i, x in v.items()]), k=5, dim=16, cell_rows=50, probes=None, rerank=300, queries="vec_id >= 0", block=block).collect()
+    got = {(r.query_id, r.neighbor_id) for r in found}
+    want = {(i, j) for i, near in brute(v, 5).items() for j, _ in near}
+    assert len(got) == 5 * len(v) and len(got & want) / len(want) >= 0.98
+
+
 def test_empty_and_single(spark):
     assert N.knn(frame(spark, []), dim=4).count() == 0
     assert N.knn(frame(spark, [(1, [1, 0, 0, 0], 0)]), dim=4).count() == 0
