@@ -12,6 +12,7 @@ list has, by a high score and mostly rare n-grams. Hosts (sources) can be held o
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -465,19 +466,74 @@ def scan_texts(model: Model, texts: list[str | None]) -> list[tuple[int, str, fl
     return out
 
 
+#: hosts are dealt out to folds on the driver: more than these are refused rather than cut
+MAX_HOSTS = 100_000
+_COUNTS = ("segments", "weak", "picked", "both", "candidates")
+_VALIDATION = "fold int, hosts string, segments long, weak long, precision double, recall double, recall_of_candidates double"
+
+
 def validate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", hold: int = 4, limit: int = SAMPLE_DOCS) -> DataFrame:
-    """(fold, hosts, segments, weak, precision, recall): trained on the hosts outside a fold, measured on those inside, against the weak labels of a bounded sample."""
+    """(fold, hosts, segments, weak, precision, recall, recall_of_candidates): trained as ``found`` on a bounded sample of the hosts outside a fold, measured against the weak labels on every document of those inside."""
+    spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("i"), F.coalesce(eq_key(F.col(host)), F.lit("")).alias("h"), F.col(text).alias("t")).where("i is not null and t is not null")
-    share = min(1.0, limit / max(d.count(), 1))
-    rows = d.where(F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(limit).collect()
-    hosts = sorted({r["h"] for r in rows})
-    out = []
-    for fold in range(min(hold, len(hosts))):
-        inside = set(hosts[fold::hold])
-        model = train([r["t"] for r in rows if r["h"] not in inside], 10_000)
-        s = segments([r["t"] for r in rows if r["h"] in inside])
-        z = model.score(s)
-        weak = np.array([evidence(s.text[a:b]) is not None for a, b in zip(s.start.tolist(), s.end.tolist())], bool)
-        picked = z >= 0
-        out.append((fold, ", ".join(sorted(inside)), len(z), int(weak.sum()), float((picked & weak).sum() / max(1, picked.sum())), float((picked & weak).sum() / max(1, weak.sum())), float(((z >= model.low) & weak).sum() / max(1, weak.sum()))))
-    return docs.sparkSession.createDataFrame(out, "fold int, hosts string, segments long, weak long, precision double, recall double, recall_of_candidates double")
+    sizes = {r["h"]: r["n"] for r in d.groupBy("h").agg(F.count(F.lit(1)).alias("n")).limit(MAX_HOSTS + 1).collect()}
+    if len(sizes) > MAX_HOSTS:
+        raise ValueError(f"more than {MAX_HOSTS} hosts")
+    hosts = sorted(sizes)
+    n_folds = min(hold, len(hosts))
+    if not n_folds:
+        return spark.createDataFrame([], _VALIDATION)
+    fold_of = {h: k % hold for k, h in enumerate(hosts)}
+    folds = spark.createDataFrame(list(fold_of.items()), "h string, fold int")
+    names = spark.createDataFrame([(f, ", ".join(hosts[f::hold])) for f in range(n_folds)], "fold int, hosts string")
+    outside = [sum(n for h, n in sizes.items() if fold_of[h] != f) for f in range(n_folds)]
+    share = [int(min(1.0, limit / max(n, 1)) * 1_000_000) for n in outside]
+    d = d.join(F.broadcast(folds), "h")  # at most MAX_HOSTS rows
+    # one pass for the samples of all folds, at most about hold * limit texts; each is trained on in a task, so the driver holds none
+    rare = spark.sparkContext.broadcast(corpus_shares(docs, text))
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        drawn = sorted(zip(t.column("u").to_pylist(), t.column("t").to_pylist()))[:limit]
+        return pa.table({"f": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(train([x for _, x in drawn], shares=rare.value))], pa.binary())})
+
+    u = F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1_000_000))
+    wants = F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(share[f]).alias("s")) for f in range(n_folds)]), lambda x: (x["f"] != F.col("fold")) & (x["s"] > F.col("u")))
+    drawn = d.select(u.alias("u"), "t", "fold").select("u", "t", F.explode(wants).alias("w")).select("u", "t", F.col("w.f").alias("f"))
+    fitted = {r["f"]: pickle.loads(r["model"]) for r in drawn.repartition(n_folds, "f").groupBy("f").applyInArrow(fit, "f int, model binary").collect()}
+    models = [fitted.get(f) or Model() for f in range(n_folds)]
+    shared = spark.sparkContext.broadcast(models)  # hold x (2 x 2^17 + 2^16) weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                fold = part.column(2).to_numpy()
+                counts = np.zeros((5, len(fold)), np.int64)
+                for f in np.unique(fold).tolist():
+                    place = np.flatnonzero(fold == f)
+                    counts[:, place] = _against_weak(models[f], part.column(3).take(pa.array(place)).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *map(pa.array, counts)], names=["i", "x", "fold", *_COUNTS])
+
+    src = d.select("i", F.xxhash64("t").alias("x"), "fold", "t")
+    rows = src.mapInArrow(run, f"i {src.schema['i'].dataType.simpleString()}, x long, fold int, {', '.join(f'{c} long' for c in _COUNTS)}")
+    # repeated rows of a document count once
+    sums = rows.distinct().groupBy("fold").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    ratio = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
+    out = sums.join(F.broadcast(names), "fold")
+    return out.select("fold", "hosts", "segments", "weak", ratio("both", "picked").alias("precision"), ratio("both", "weak").alias("recall"), ratio("candidates", "weak").alias("recall_of_candidates"))
+
+
+def _against_weak(model: Model, texts: list[str]) -> np.ndarray:
+    """``_COUNTS`` of each text: segments, those with a weak label, those picked, both, and the weak ones among the candidates."""
+    s = segments(texts)
+    z = model.score(s)
+    seen: dict[str, bool] = {}
+    weak = np.zeros(len(z), bool)
+    for i, (a, b) in enumerate(zip(s.start.tolist(), s.end.tolist())):
+        raw = s.text[a:b]
+        if raw not in seen:
+            seen[raw] = evidence(raw) is not None
+        weak[i] = seen[raw]
+    each = (np.ones(len(z), bool), weak, z >= 0, (z >= 0) & weak, (z >= model.low) & weak)
+    return np.stack([np.bincount(s.doc[x], minlength=len(texts)) for x in each])

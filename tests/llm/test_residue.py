@@ -55,6 +55,16 @@ def test_found_and_held_out_hosts(spark):
     assert R.validate(df, hold=3).count() == 3
 
 
+def test_validation_scores_every_document_of_the_held_out_hosts(spark):
+    """Also where only a few documents are trained on; repeated rows count once."""
+    docs = corpus()
+    df = spark.createDataFrame(docs + docs[:7], "doc_id long, text string, source string, kind string")
+    s = R.segments([t for _, t, _, _ in docs])
+    got = R.validate(df, hold=3, limit=60).collect()
+    assert sum(r.segments for r in got) == len(s.doc)
+    assert sum(r.weak for r in got) == sum(R.evidence(s.text[a:b]) is not None for a, b in zip(s.start, s.end))
+
+
 def test_classifier_loses_little_of_what_the_check_upholds(spark, sf):
     """Against the check run on every segment of every document."""
     df = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
