@@ -93,10 +93,13 @@ KINDS = ("mention", "scripts", "error", "filler", "note")
 def _automaton() -> ahocorasick.Automaton:
     """All phrases, squeezed, in one automaton: a segment is read once, however many there are."""
     a = ahocorasick.Automaton()
-    lists = (phrases.MENTIONS, phrases.SCRIPTS, phrases.ERRORS, phrases.FILLER, phrases.NOTES)
-    for rank in reversed(range(len(KINDS))):
-        for w in lists[rank]:
-            a.add_word(squeeze(w), rank)
+    lists = (phrases.SCRIPTS, phrases.ERRORS, phrases.FILLER, phrases.NOTES)
+    for rank in reversed(range(1, len(KINDS))):
+        for w in lists[rank - 1]:
+            a.add_word(squeeze(w), (rank, KINDS[rank], len(squeeze(w))))
+    for about, words in phrases.MENTIONS.items():
+        for w in words:
+            a.add_word(squeeze(w), (0, about, len(squeeze(w))))
     a.make_automaton()
     return a
 
@@ -104,11 +107,16 @@ def _automaton() -> ahocorasick.Automaton:
 _PHRASES: list[ahocorasick.Automaton] = []
 
 
-def listed(raw: str) -> str | None:
-    """Kind of the phrases that a segment holds, a mention before all."""
+def hits(squeezed: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, rank, kind or what a mention is about) of the phrases in a squeezed text."""
     if not _PHRASES:
         _PHRASES.append(_automaton())
-    rank = min((r for _, r in _PHRASES[0].iter(squeeze(raw))), default=None)
+    return [(end + 1 - n, end + 1, rank, about) for end, (rank, about, n) in _PHRASES[0].iter(squeezed)]
+
+
+def listed(raw: str) -> str | None:
+    """Kind of the phrases that a segment holds, a mention before all."""
+    rank = min((r for _, _, r, _ in hits(squeeze(raw))), default=None)
     return None if rank is None else KINDS[rank]
 
 
@@ -125,18 +133,42 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MASH = re.compile(r"(?:asdf|jkl[öo;]?|qwer|xxx|foo|bar|baz|test|blah|text|dummy|bla)+")
 
 
+#: a slot that is looked at, and characters between slots of one list or a slot and the phrase that mentions it
+SLOT, NEAR = chr(0xE010), 6
+#: a name in braces that touches a word: no slot by itself, but it may stand in a list of them
+_BARE = re.compile(rf"\{{{_NAME}\}}")
+_LISTED = re.compile(rf"{SLOT}(?:[^{SLOT}]{{0,{NEAR}}}{SLOT})*")
+
+
+def slot_outside(raw: str) -> bool:
+    """Whether a slot or note is left when the slots listed next to a phrase that mentions them are taken away."""
+    marked = _SLOTS.sub(SLOT, "".join(_SLOTS.sub(SLOT, raw).split()))
+    flat = squeeze(_BARE.sub("", marked))
+    about = [(a, b) for a, b, rank, kind in hits(flat) if rank == 0 and kind == "slot"]
+    for m in _LISTED.finditer(flat):
+        if not any(-NEAR <= m.start() - b <= NEAR or -NEAR <= a - m.end() <= NEAR for a, b in about):
+            return True
+    return _NOTE.search(marked.replace(SLOT, "")) is not None
+
+
 def evidence(raw: str) -> str | None:
-    """Kind of residue that a segment shows, by status and phrase lists; None for none or for a mention."""
-    kind = listed(raw)
-    if kind == "mention":
-        return None
-    tight = "".join(raw.split())
-    if _SLOTS.search(raw) or _SLOTS.search(tight) or _NOTE.search(tight):
-        return "slot"
-    if _STATUS.search(raw.strip()):
+    """Kind of residue that a segment shows, by status and phrase lists; a mention cancels only what it is about, and of slots and notes only those next to it."""
+    found_ = hits(squeeze(raw))
+    mentioned = {about for _, _, rank, about in found_ if rank == 0}
+    if "slot" in mentioned:
+        if slot_outside(raw):
+            return "slot"
+    else:
+        tight = "".join(raw.split())
+        if _SLOTS.search(raw) or _SLOTS.search(tight) or _NOTE.search(tight):
+            return "slot"
+    if "error" not in mentioned and _STATUS.search(raw.strip()):
         return "error"
-    if kind:
-        return kind
+    rank = min((r for _, _, r, about in found_ if r and about not in mentioned), default=None)
+    if rank is not None:
+        return KINDS[rank]
+    if "filler" in mentioned:
+        return None
     words = [w.lower() for w in _WORD.findall(raw)]
     for shape_ in (_LATIN, _MASH) if len(words) >= 4 else ():
         # three quarters can't match if none of the first quarter and one more does

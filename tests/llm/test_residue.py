@@ -25,6 +25,16 @@ def test_no_evidence(text):
     assert not any(R.evidence(s.text[a:b]) for a, b in zip(s.start, s.end))
 
 
+@pytest.mark.parametrize("text", ["Die Steuerung sendet den Status {{status_text}} an das Ventil.", "The panel 3 is laid out in ${MATERIAL}.", "The unit returns the status [TODO].", "The template holds placeholders such as %%TITLE%% and %(ref_no)s, and the shaft of the spring is made of ${MATERIAL}."])
+def test_a_mention_cancels_only_what_it_is_about(text):
+    assert R.evidence(text) == "slot"
+
+
+def test_slots_listed_next_to_a_mention_are_none():
+    for x in ("テンプレートは__REF__や{ref_no}などの変数を含み、表示部が値に置換する。", "The variable ${TITLE} denotes the title of the document.", "Template includes variable such as {title} and <<UNIT>>, in step S2 unit replaces to value."):
+        assert R.evidence(x) is None
+
+
 def test_scanning_errors_do_not_hide():
     assert R.evidence("Pl ease enablc Java Script to vicw this document.")
     assert R.evidence("Thc templatc holds placeholdcrs such as %%TITLE%%.") is None
