@@ -10,13 +10,17 @@ from skewline.operators.nested import flatten
 
 #: fixed values: the usual detection classes, in their order
 CLASSES = ("person", "rider", "car", "truck", "bus", "train", "motor", "bike", "traffic light", "traffic sign")
+#: the class table is broadcast: more categories than these are refused rather than cut
+MAX_CLASSES = 10_000
 
 
 def class_table(spark: SparkSession, seen: DataFrame | None = None, name: str = "category") -> DataFrame:
     """class_id, class_name: the usual classes in their order, then what else is seen, sorted."""
     names = list(CLASSES)
     if seen is not None:
-        rest = seen.select(name).where(F.col(name).isNotNull()).distinct().limit(10_000).collect()
+        rest = seen.select(name).where(F.col(name).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+        if len(rest) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} categories")
         names += sorted({r[name] for r in rest} - set(names))
     return spark.createDataFrame(list(enumerate(names)), "class_id int, class_name string")
 

@@ -405,6 +405,13 @@ def test_bdd_tables(spark):
     assert bdd.attributes(raw).head().bdd_partition == "reference"
 
 
+def test_too_many_categories_are_an_error(spark):
+    seen = spark.range(bdd.MAX_CLASSES + 1).selectExpr("concat('c', id) AS category")
+    with pytest.raises(ValueError, match="categories"):
+        bdd.class_table(spark, seen)
+    assert bdd.class_table(spark, seen.limit(bdd.MAX_CLASSES)).count() == bdd.MAX_CLASSES + len(bdd.CLASSES)
+
+
 def test_chip_stream_errors(spark):
     from skewline.operators import chips
 
