@@ -1,6 +1,6 @@
-"""Phrases that label text weakly as residue, and phrases that tell a mention of such things from the thing itself.
+"""Phrases that label text weakly as residue.
 
-They are compared without white space, accents and letter case (see ``residue.squeeze``), so scanning errors of those
+They are compared without white space, accents and letter case (see ``segments.squeeze``), so scanning errors of those
 kinds don't matter.
 """
 
@@ -39,23 +39,8 @@ NOTES = (
     "noch zu ergänzen", "hier einfügen", "bitte ersetzen", "bitte ausfüllen", "bitte eintragen", "eintragen)", "eintragen]", "folgt>", "folgt]", "folgt)", "to follow]", "to follow>", "à venir]", "à insérer", "por insertar", "pendiente]", "pendiente)", "einfügen]", "einfügen>", "einfügen)", "bitte ergänzen", "nachtragen", "à compléter", "à remplir", "insérer ici", "[insérer", "<insérer", "[insertar", "<insertar", "(insertar", "rellenar aquí", "por completar", "por rellenar", "completar aquí",
     "此处填写", "此处输入", "请输入", "请填写", "待补充", "待填写", "を入力してください", "ここに入力", "ここに記入", "を記入", "（入力", "（記入",
 )
-#: sentences about templates, errors, scripts or filler, by the kind of evidence that they are about: no residue
-MENTIONS = {
-    "slot": (
-        "placeholders such as", "variable such as", "variables such as", "denotes the title", "never shown to the user", "replaces by field values", "replaces to value", "by field values in step", "variables telles que", "remplacées par",
-        "à l'étape s", "platzhalter wie", "durch werte ersetzt", "marcadores como", "sustituye en el paso", "などの変数", "値に置換", "等占位符", "替换为字段值",
-    ),
-    "error": (
-        "an error page with the code", "triggers a retry", "when the requested page is missing", "demanded page does not exist", "returns the status", "the state code", "together with the text", "fehlt die angeforderte seite", "den status", "si la page demandée manque",
-        "renvoie le code", "si falta la página", "devuelve el código", "要求されたページが存在しない場合", "状態コード", "当所请求的页面不存在时", "返回状态码", "is suppressed as long as", "holds a token",
-    ),
-    "scripts": (
-        "does not execute javascript", "displays the notice", "until scripts are enabled", "javascript im browser abgeschaltet", "den hinweis", "javascriptが無効な場合", "通知を表示する", "affiche l'avis", "affiche le message", "muestra el aviso",
-        "显示提示",
-    ),
-    "filler": (
-        "filler text such as", "is laid out in", "columns and then discarded", "for testing the", "zum test setzt", "blindtext wie",
-    ),
-}
-#: fixed values: the syllables that the usual filler Latin is made of
-SYLLABLES = ("lo", "rem", "ip", "sum", "do", "lor", "si", "sit", "am", "et", "con", "sec", "te", "tur", "ad", "adi", "pis", "cin", "g", "eli", "it", "sed", "ut", "na", "qua", "mag", "ni", "ve", "lit", "el")
+#: fixed values: the words of the usual filler Latin
+FILLER_WORDS = tuple(
+    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
+    "duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)

@@ -3,291 +3,109 @@
 Contract: null, empty and blank texts are no residue; every text is read whole; repeated rows of an id count once (an id
 is found if any of its rows is); extra columns are never read; an empty table gives an empty result.
 
-Texts are cut into segments (lines and sentences; a quoted passage is one mark, so what is merely quoted doesn't count).
-A logistic regression on hashed character n-grams, their rarity, length and title features is trained on weak labels
-(status and phrase lists, slots' syntax) of a bounded sample; rarity is counted over all documents. The model scores every
-segment of every document in one vectorised pass. What scores above a threshold chosen for recall is then checked on the text itself: by the lists, or, for forms that no
-list has, by a high score and mostly rare n-grams. Hosts (sources) can be held out.
+A regularised logistic regression on hashed character n-grams, pairs with marks, length and title features and the
+novelty of a segment decides. Its weak labels (``weak``: statuses, slots' syntax, general phrases) come from a sample
+bounded in characters; no list is asked when a document is judged. For forms that no list has, n-grams are left out at
+random in training, so that novelty and shape carry weight too. Novelty is the share of a segment's n-grams that few
+distinct segments of the whole corpus hold: copies count once a task, so an error page in a third of all documents is as
+new as in one (so a different partitioning of the input may shift a score a little; the same one gives the same scores).
+Negatives are drawn by how often they occur, and once more from what the first model takes for residue.
+Hosts (sources) can be held out.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewline.functions.keys import eq_key
-from skewline.llm import phrases
-
-#: documents and negative segments that the classifier is trained on, at most
-SAMPLE_DOCS, SAMPLE_NEGATIVES = 6000, 30_000
-BITS = 17
-SIZES = (3, 5)
-#: characters of which pairs count by presence, whatever the length of the segment
-MARKS = "{}[]<>$%@#_&«»|=~`"
-_D = 1 << BITS
-_M = 1 << 16
+from skewline.llm.segments import SIZES, D, M, Segments, grams, keys, marks, of_folded, per_segment, segments, shape
+from skewline.llm.weak import weak_label
+from skewline.session import cut
+
+#: characters of the documents that weak labels are taken from, about; negatives drawn by frequency and positives, about; characters a model is fitted on, at most
+SAMPLE_CHARS, NEGATIVES, POSITIVES, FIT_CHARS = 64_000_000, 30_000, 20_000, 6_000_000
+#: score from which a negative is drawn for the second fit
+HARD = -2.5
 #: value of the feature of a pair with a mark
 MARK = 3.0
-#: an n-gram in at most this share of the documents is rare; value of the feature of rare n-grams
-RARE_SHARE, RARE = 0.002, 3.0
-#: (score, share of rare n-grams) from which a segment of no listed form counts as residue, chosen on rows not trained on
-LIKE = ((-0.3, 0.5), (0.3, 0.35))
-QUOTED, TITLE, LINE, INNER, STOP = 0xE000, 0xE001, 0xE002, 0xE003, 0xE004
-_QUOTES = re.compile(r"""["„“「『«](?:(?<=")[^"\n]{1,400}"|(?<=„)[^“”\n]{1,400}[“”]|(?<=“)[^”\n]{1,400}”|(?<=「)[^」\n]{1,300}」|(?<=『)[^』\n]{1,300}』|(?<=«)[^»\n]*\s[^»\n]*»)""")
-
-
-def _fold_table() -> np.ndarray:
-    """Code point -> folded code point (0: dropped), for the basic plane; other planes keep a single mark."""
-    import unicodedata
-
-    t = np.arange(65536, dtype=np.uint16)
-    for cp in range(65536):
-        c = chr(cp)
-        if c == "\n":
-            continue
-        if 0xD800 <= cp < 0xE000:
-            continue
-        if c.isspace() or unicodedata.category(c) in ("Cf", "Cc", "Mn"):
-            t[cp] = 0
-        elif c.isdigit():
-            t[cp] = ord("0")
-        elif cp < 0x2000 or 0xFF00 <= cp:
-            d = unicodedata.normalize("NFKD", c)[0].lower()[:1]
-            t[cp] = ord(d) if ord(d) < 65536 and not d.isspace() else 0
-    t[ord("c")] = t[ord("C")] = ord("e")  # the scanning error seen most
-    return t
-
-
-_FOLD: list[np.ndarray] = []
-
-
-def fold_table() -> np.ndarray:
-    if not _FOLD:
-        _FOLD.append(_fold_table())
-    return _FOLD[0]
-
-
-def _points(text: str) -> np.ndarray:
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(cp, 65535).astype(np.uint16)
-
-
-def squeeze(text: str) -> str:
-    """Text without white space, accents and case, digits as 0."""
-    f = fold_table()[_points(text)]
-    return f[f > 0].tobytes().decode("utf-16-le", "replace")
-
-
-#: in order of precedence
-KINDS = ("mention", "scripts", "error", "filler", "note")
-
-
-def _automaton() -> ahocorasick.Automaton:
-    """All phrases, squeezed, in one automaton: a segment is read once, however many there are."""
-    a = ahocorasick.Automaton()
-    lists = (phrases.SCRIPTS, phrases.ERRORS, phrases.FILLER, phrases.NOTES)
-    for rank in reversed(range(1, len(KINDS))):
-        for w in lists[rank - 1]:
-            a.add_word(squeeze(w), (rank, KINDS[rank], len(squeeze(w))))
-    for about, words in phrases.MENTIONS.items():
-        for w in words:
-            a.add_word(squeeze(w), (0, about, len(squeeze(w))))
-    a.make_automaton()
-    return a
-
-
-_PHRASES: list[ahocorasick.Automaton] = []
-
-
-def hits(squeezed: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, rank, kind or what a mention is about) of the phrases in a squeezed text."""
-    if not _PHRASES:
-        _PHRASES.append(_automaton())
-    return [(end + 1 - n, end + 1, rank, about) for end, (rank, about, n) in _PHRASES[0].iter(squeezed)]
-
-
-def listed(raw: str) -> str | None:
-    """Kind of the phrases that a segment holds, a mention before all."""
-    rank = min((r for _, _, r, _ in hits(squeeze(raw))), default=None)
-    return None if rank is None else KINDS[rank]
-
-
-_NAME = r"[^\W\d_][\w.\- ]{1,40}"
-#: on a segment as it is, and on one without white space
-_SLOTS = re.compile(
-    rf"\{{\{{[^{{}}\\^=+*/]{{2,60}}\}}\}}|\$\{{[^{{}}\\^]{{2,60}}\}}|%%{_NAME}%%|<%=?[^<>]{{2,60}}%>|\[\[{_NAME}\]\]|#\{{[^{{}}\\^]{{2,60}}\}}|(?<!_)__[^\W\d_][\w.\-]{{1,40}}?__(?!_)|@@{_NAME}@@|%\({_NAME}\)s|\{{%[^{{}}]{{3,80}}%\}}"
-    rf"|&lt;{_NAME}&gt;|(?<!\$)\${_NAME}\$(?!\$)|«{_NAME}»|<<{_NAME}>>|(?<![\w\\^_{{}}\])=])\{{{_NAME}\}}(?![+\-*/^_}}])"
-)
-_NOTE = re.compile(r"_{3,}\(?\w|(?<![^\W\d_])(?:TODO|TBD|FIXME|tbd|todo)(?![^\W\d_])|^(?:\d+\.|\[\d+\])?xxx.{2,60}xxx|[\[<(（［【].{0,60}(?:goeshere|einfügen|ergänzen|àcompléter|àremplir|aquí|请输入|此处填写|入力|記入)[^\])>）］】]{0,20}[\])>）］】]|^(?:\d+\.)?[\[<(（［](?:Insert|insert|Enter|enter|Insérer|insérer|Insertar|insertar|Hier|Your)\w?.{2,60}[\])>）］]$|^(?:\d+\.)?\[\.\.\..{0,60}\.\.\.\]$|^[^\[\]]{1,60}\.\.\.\]$")
-_STATUS = re.compile(r"^(?:\d+\.|\[\d+\])?\s*(?:(?:HTTP|Error|Erreur|Fehler|Status)\W{0,3}(?:Status|Error)?\W{0,2}[1-5]\d\d\b|[45]\d\d (?:Not Found|Forbidden|Bad|Internal|Service|Unauthorized|Gateway|Too Many)|at [\w.$<>]+ ?\([\w.$]+:\d+(?::\d+)?\)|[\w.]+(?:Exception|Error): |Reference #[0-9a-f]{6,}|Traceback )")
-_LATIN = re.compile(rf"(?:{'|'.join(sorted(phrases.SYLLABLES, key=len, reverse=True))})+")
-_WORD = re.compile(r"[^\W\d_]+")
-_MASH = re.compile(r"(?:asdf|jkl[öo;]?|qwer|xxx|foo|bar|baz|test|blah|text|dummy|bla)+")
-
-
-#: a slot that is looked at, and characters between slots of one list or a slot and the phrase that mentions it
-SLOT, NEAR = chr(0xE010), 6
-#: a name in braces that touches a word: no slot by itself, but it may stand in a list of them
-_BARE = re.compile(rf"\{{{_NAME}\}}")
-_LISTED = re.compile(rf"{SLOT}(?:[^{SLOT}]{{0,{NEAR}}}{SLOT})*")
-
-
-def slot_outside(raw: str) -> bool:
-    """Whether a slot or note is left when the slots listed next to a phrase that mentions them are taken away."""
-    marked = _SLOTS.sub(SLOT, "".join(_SLOTS.sub(SLOT, raw).split()))
-    flat = squeeze(_BARE.sub("", marked))
-    about = [(a, b) for a, b, rank, kind in hits(flat) if rank == 0 and kind == "slot"]
-    for m in _LISTED.finditer(flat):
-        if not any(-NEAR <= m.start() - b <= NEAR or -NEAR <= a - m.end() <= NEAR for a, b in about):
-            return True
-    return _NOTE.search(marked.replace(SLOT, "")) is not None
-
-
-def evidence(raw: str) -> str | None:
-    """Kind of residue that a segment shows, by status and phrase lists; a mention cancels only what it is about, and of slots and notes only those next to it."""
-    found_ = hits(squeeze(raw))
-    mentioned = {about for _, _, rank, about in found_ if rank == 0}
-    if "slot" in mentioned:
-        if slot_outside(raw):
-            return "slot"
-    else:
-        tight = "".join(raw.split())
-        if _SLOTS.search(raw) or _SLOTS.search(tight) or _NOTE.search(tight):
-            return "slot"
-    if "error" not in mentioned and _STATUS.search(raw.strip()):
-        return "error"
-    rank = min((r for _, _, r, about in found_ if r and about not in mentioned), default=None)
-    if rank is not None:
-        return KINDS[rank]
-    if "filler" in mentioned:
-        return None
-    words = [w.lower() for w in _WORD.findall(raw)]
-    for shape_ in (_LATIN, _MASH) if len(words) >= 4 else ():
-        # three quarters can't match if none of the first quarter and one more does
-        if any(map(shape_.fullmatch, words[: len(words) // 4 + 1])) and sum(len(w) > 1 and shape_.fullmatch(w) is not None for w in words) >= 0.75 * len(words):
-            return "filler"
-    return None
-
-
-@dataclass
-class Segments:
-    """Segments of a batch of texts: their document, their raw text's bounds, and their folded characters."""
-
-    text: str
-    doc: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    chars: np.ndarray
-    seg: np.ndarray  # segment of each character
-    first: np.ndarray  # whether it is its text's first
-    alone: np.ndarray  # whether it is its text's only one
-    at: np.ndarray  # its first character
-
-
-def segments(texts: list[str | None]) -> Segments:
-    parts = [_QUOTES.sub(chr(QUOTED), t) if t else "" for t in texts]
-    joined = "\n".join(parts) + "\n"
-    cp = _points(joined)
-    starts = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) + 1 for p in parts], out=starts[1:])
-    folded = fold_table()[cp]
-    blank = (folded == 0) | (cp == 10)
-    ender = (cp == 46) | (cp == 33) | (cp == 63)
-    cut_ = np.zeros(len(cp), bool)  # a segment ends with this character
-    cut_[:-1] = ender[:-1] & blank[1:]
-    cut_ |= (cp == 10) | (cp == 0x3002) | (cp == 0xFF01) | (cp == 0xFF1F)
-    seg_of = np.concatenate([[0], np.cumsum(cut_)[:-1]])
-    kept = np.flatnonzero(~blank)
-    if not len(kept):
-        z = np.zeros(0, np.int64)
-        return Segments(joined, z, z, z, z.astype(np.uint16), z, z.astype(bool), z.astype(bool), z)
-    which, where = np.unique(seg_of[kept], return_index=True)
-    end_where = np.append(where[1:], len(kept)) - 1
-    start, end = kept[where], kept[end_where] + 1
-    doc = np.searchsorted(starts, start, "right") - 1
-    first = np.concatenate([[True], doc[1:] != doc[:-1]])
-    alone = first & np.concatenate([first[1:], [True]])
-    # does it begin a line?
-    line = np.cumsum(cp == 10)
-    begins = np.concatenate([[True], line[start[1:]] != line[start[:-1]]])
-    n = np.diff(np.append(where, len(kept)))
-    size = n + 2
-    at = np.cumsum(size) - size
-    chars = np.empty(int(size.sum()), np.uint16)
-    seg = np.repeat(np.arange(len(which)), size)
-    body = np.ones(len(chars), bool)
-    body[at] = False
-    body[at + size - 1] = False
-    chars[body] = folded[kept]
-    chars[at] = np.where(first, TITLE, np.where(begins, LINE, INNER))
-    chars[at + size - 1] = STOP
-    return Segments(joined, doc, start, end, chars, seg, first, alone, at)
-
-
-def grams(s: Segments) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash of the n-gram that begins at each character, whether it lies within a segment), for each size."""
-    for k, n in enumerate(SIZES):
-        if len(s.chars) < n:
-            continue
-        h = np.full(len(s.chars) - n + 1, k * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-        for i in range(n):
-            h *= np.uint32(0x01000193)
-            h ^= s.chars[i : len(s.chars) - n + 1 + i]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-        h >>= np.uint32(32 - BITS)
-        h += np.uint32(k * _D)
-        yield h, s.seg[: len(h)] == s.seg[n - 1 :]
-
-
-def per_segment(s: Segments, values: np.ndarray) -> np.ndarray:
-    """Sums of per-character values by segment."""
-    return np.add.reduceat(np.append(values, np.zeros(len(s.chars) - len(values), values.dtype)), s.at, dtype=np.float64)
-
-
-#: documents counted at once, so that document and n-gram fit one 32-bit key
-GROUP = 1000
+#: log-odds from which a segment is residue, chosen by precision on held-out hosts and recall of planted forms
+RESIDUE_FROM = -0.5
+#: an n-gram in at most 1 + this share of the distinct segments is new, one level for each share; value of a share of new n-grams; n-grams added to a segment's own, none of them new, so that a few characters aren't novel by themselves
+NEW, NOVEL, KNOWN = (0.00005, 0.0005, 0.004), 3.0, 8
+#: weight of a positive; share of the rows whose n-grams are left out in an epoch, and share of n-grams that stay there
+POSITIVE, DROP, STAY = 16.0, 0.5, 0.1
+#: columns: n-grams, marks, length classes, title classes, novelty of each size and level by script
+_MARKS, _LENGTH = len(SIZES) * D, len(SIZES) * D + M
+_TITLE = _LENGTH + 12
+_NOVEL = _TITLE + 3
+WIDTH = _NOVEL + 2 * len(SIZES) * len(NEW)
 #: counters in a row of the sum over tasks
 _ROW = 1 << 12
 
 
-def document_counts(texts: list[str | None]) -> np.ndarray:
-    """In how many of the texts each hashed n-gram occurs."""
-    out = np.zeros(len(SIZES) * _D, np.int64)
-    for a in range(0, len(texts), GROUP):
-        s = segments(texts[a : a + GROUP])
-        doc = s.doc[s.seg].astype(np.uint32) << np.uint32(BITS + 1)
-        for h, inside in grams(s):
-            keys = np.sort((doc[: len(h)] | h)[inside])
-            if len(keys):
-                first = np.append(True, keys[1:] != keys[:-1])
-                out += np.bincount(keys[first] & np.uint32((1 << (BITS + 1)) - 1), minlength=len(out))
-    return out
+class _Seen:
+    """Keys met before, in sorted runs that double."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def new(self, k: np.ndarray) -> np.ndarray:
+        """Whether each key is the first of its kind, here and in all calls before."""
+        out = np.zeros(len(k), bool)
+        u, first = np.unique(k, return_index=True)
+        for run in self.runs:
+            at = np.minimum(np.searchsorted(run, u), len(run) - 1)
+            fresh = run[at] != u
+            u, first = u[fresh], first[fresh]
+        out[first] = True
+        if len(u):
+            self.runs.append(u)
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            self.runs.append(np.sort(np.concatenate([self.runs.pop(), self.runs.pop()])))
+        return out
+
+
+class Counts:
+    """In how many places of distinct segments each hashed n-gram occurs."""
 
+    def __init__(self) -> None:
+        self.v = np.zeros(_MARKS, np.int64)
+        self.segments = self.documents = self.chars = 0
+        self.seen = _Seen()
+
+    def add(self, texts: list[str | None]) -> Counts:
+        for a in range(0, len(texts), 1000):
+            s = segments(texts[a : a + 1000])
+            new = self.seen.new(keys(s))
+            self.segments += int(new.sum())
+            here = new[s.seg]
+            for h, inside in grams(s):
+                self.v += np.bincount(h[inside & here[: len(h)]], minlength=len(self.v))
+        self.documents += len(texts)
+        self.chars += sum(len(t) for t in texts if t)
+        return self
 
-def document_shares(texts: list[str | None]) -> np.ndarray:
-    return document_counts(texts) / max(len(texts), 1)
+    def levels(self) -> np.ndarray:
+        """For each hashed n-gram at how many of the shares ``NEW`` it counts as new."""
+        return sum((self.v <= 1 + q * self.segments).astype(np.uint8) for q in NEW)
 
 
-def corpus_shares(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Share of all documents that hold each hashed n-gram: each task adds up its own counters, whose rows a shuffle sums."""
+def corpus_counts(docs: DataFrame, text: str = "text") -> Counts:
+    """Counts over all documents: each task adds up its own counters, whose rows a shuffle sums."""
     src = docs.select(F.col(text).alias("t")).where(F.length(F.trim("t")) > 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(SIZES) * _D, np.int64), 0
+        c = Counts()
         for b in batches:
-            total += document_counts(b.column(0).to_pylist())
-            n += b.num_rows
-        if n:
-            rows = [*total.reshape(-1, _ROW), np.array([n])]
+            c.add(b.column(0).to_pylist())
+        if c.documents:
+            rows = [*c.v.reshape(-1, _ROW), np.array([c.segments, c.documents, c.chars])]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["row", "v"])
 
     def add(t: pa.Table) -> pa.Table:
@@ -295,179 +113,212 @@ def corpus_shares(docs: DataFrame, text: str = "text") -> np.ndarray:
         return pa.table({"row": pa.array([t.column("row")[0].as_py()], pa.int32()), "v": pa.array([m.sum(0)], pa.list_(pa.int64()))})
 
     schema = "row int, v array<long>"
-    got = {r["row"]: r["v"] for r in src.mapInArrow(count, schema).groupBy("row").applyInArrow(add, schema).collect()}
-    if not got:
-        return np.zeros(len(SIZES) * _D)
-    last = len(SIZES) * _D // _ROW
-    return np.concatenate([got[i] for i in range(last)]) / got[last][0]
-
-
-def marks(s: Segments) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, hash) of each pair of characters with a mark in it, and of what stands before marks; repeats in a segment count once."""
-    if len(s.chars) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    is_mark = np.zeros(65536, bool)
-    is_mark[[ord(c) for c in MARKS]] = True
-    m = is_mark[s.chars]
-    at = np.flatnonzero((m[:-1] | m[1:]) & (s.seg[:-1] == s.seg[1:]))
-    a, b = s.chars[at].astype(np.int64), s.chars[at + 1].astype(np.int64)
-    # letters are one kind here: which mark they touch is what matters
-    a, b = (np.where(m[at + k], x, np.where(x == 48, 48, np.where(x >= 0xE000, x, 97))) for k, x in ((0, a), (1, b)))
-    pairs = s.seg[at] * _M + (a * 31 + b * 1009) % (_M // 2)
-    # the four characters before each run of marks
-    run = np.flatnonzero(m[4:] & ~m[3:-1]) + 4
-    run = run[s.seg[run - 4] == s.seg[run]]
-    h = np.zeros(len(run), np.int64)
-    for k in (4, 3, 2, 1):
-        h = h * 31 + s.chars[run - k]
-    both = np.unique(np.concatenate([pairs, s.seg[run] * _M + _M // 2 + h % (_M // 2)]))
-    return both // _M, both % _M
-
-
-def shape(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram count, length class, title class) of each segment."""
-    n = np.bincount(s.seg, minlength=len(s.doc)) - 2
-    return n, np.minimum(np.log2(np.maximum(n, 1)).astype(int), 11), s.first.astype(int) + s.alone
+    got = src.mapInArrow(count, schema).groupBy("row").applyInArrow(add, schema).toArrow()
+    out = Counts()
+    for row, v in zip(got.column("row").to_pylist(), got.column("v")):
+        v = v.values.to_numpy()
+        if row < _MARKS // _ROW:
+            out.v[row * _ROW : (row + 1) * _ROW] = v
+        else:
+            out.segments, out.documents, out.chars = v.tolist()
+    return out
+
+
+def novelty(s: Segments, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(column, value) of each segment: the share of its n-grams that are new, by size and level; apart for Chinese and Japanese, whose n-grams are rarer."""
+    kanji = (per_segment(s, ((s.chars >= 0x3040) & (s.chars <= 0x9FFF)).astype(np.float32)) > 0).astype(np.int64)
+    for k, (h, inside) in enumerate(grams(s)):
+        whole = per_segment(s, inside.astype(np.float32)) + KNOWN
+        level = levels[h] * inside
+        for q in range(len(NEW)):
+            share = per_segment(s, (level > q).astype(np.float32)) / whole
+            yield _NOVEL + 2 * (k * len(NEW) + q) + kanji, (NOVEL * share).astype(np.float32)
 
 
 class Model:
-    """Weights of hashed n-grams, length classes and title classes."""
+    """Weights of all columns; ``levels``: novelty of n-grams in the corpus."""
 
-    def __init__(self) -> None:
-        self.w = np.zeros(len(SIZES) * _D, np.float32)
-        self.by_mark = np.zeros(_M, np.float32)
-        self.rare = np.zeros(len(SIZES) * _D, np.float32)  # 1: in few of the documents, or none
-        self.by_rare = np.zeros(2 * len(SIZES), np.float32)
-        self.by_length = np.zeros(12, np.float32)
-        self.by_title = np.zeros(3, np.float32)
-        self.low = 0.0
+    def __init__(self, levels: np.ndarray | None = None, w: np.ndarray | None = None) -> None:
+        self.levels = np.zeros(_MARKS, np.uint8) if levels is None else levels
+        if w is None:  # without positives nothing is residue
+            w = np.zeros(WIDTH, np.float32)
+            w[_TITLE:_NOVEL] = -10
+        self.w = w
 
     def score(self, s: Segments) -> np.ndarray:
-        return self.scores(s)[0]
-
-    def scores(self, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(score of each segment; the part that its marks add: a slot in a long sentence shows there; its share of rare n-grams of the greatest size)."""
-        if not len(s.doc):
-            return np.zeros(0), np.zeros(0), np.zeros(0)
-        total = np.zeros(len(s.doc))
+        """Log-odds of each segment; those above ``RESIDUE_FROM`` are residue."""
+        if not len(s.at):
+            return np.zeros(0)
+        z = np.zeros(len(s.at))
         for h, inside in grams(s):
-            total += per_segment(s, self.w[h] * inside)
-        where, h = marks(s)
+            z += per_segment(s, self.w[h] * inside)
         n, length, title = shape(s)
-        local = MARK * np.bincount(where, weights=self.by_mark[h], minlength=len(s.doc)) if len(where) else np.zeros(len(s.doc))
-        up = MARK * np.bincount(where, weights=np.maximum(self.by_mark[h], 0), minlength=len(s.doc)) if len(where) else local
-        z = total / np.sqrt(np.maximum(n, 1)) + local + self.by_length[length] + self.by_title[title]
-        shares, kind = self.rarity(s)
-        for k, r in enumerate(shares):
-            z += RARE * self.by_rare[2 * k + kind] * r
-        return z, up, shares[-1]
-
-    def rarity(self, s: Segments) -> tuple[list[np.ndarray], np.ndarray]:
-        """(share of each segment's n-grams that are rare, by size; 1 for segments in Chinese or Japanese, whose n-grams are rarer)."""
-        out = []
-        for h, inside in grams(s):
-            out.append(per_segment(s, self.rare[h] * inside) / np.maximum(per_segment(s, inside.astype(np.float32)), 1))
-        out += [np.zeros(len(s.doc))] * (len(SIZES) - len(out))
-        kanji = per_segment(s, ((s.chars >= 0x3040) & (s.chars <= 0x9FFF)).astype(np.float32)) > 0
-        return out, kanji.astype(int)
-
-    def fit(self, texts: list[str], labels: np.ndarray, weight: np.ndarray, keep: np.ndarray, s: Segments, rounds: int = 250, l2: float = 5e-6) -> Model:
-        """L2-regularised logistic regression by full-batch Adam over the segments ``keep``."""
-        place = np.full(len(s.doc), -1)
-        place[keep] = np.arange(len(keep))
-        rows, cols = [], []
-        for h, inside in grams(s):
-            r = np.where(inside, place[s.seg[: len(h)]], -1)
-            rows.append(r[r >= 0])
-            cols.append(h[r >= 0])
-        rows, cols = np.concatenate(rows), np.concatenate(cols).astype(np.int64)
-        n, length, title = (x[keep] for x in shape(s))
-        base = len(self.w)
-        each = np.arange(len(keep))
-        value = np.concatenate([1 / np.sqrt(np.maximum(n, 1))[rows], np.ones(2 * len(keep))]).astype(np.float32)
+        z = z / np.sqrt(np.maximum(n, 1)) + self.w[_LENGTH + length] + self.w[_TITLE + title]
         where, h = marks(s)
-        r = place[where]
-        value = np.concatenate([value, np.full(int((r >= 0).sum()), MARK, np.float32)])
-        rows = np.concatenate([rows, each, each, r[r >= 0]])
-        cols = np.concatenate([cols, base + length, base + 12 + title, base + 15 + h[r >= 0]])
-        shares, kind = self.rarity(s)
-        for k, share in enumerate(shares):
-            rows = np.concatenate([rows, each])
-            cols = np.concatenate([cols, base + 15 + _M + 2 * k + kind[keep]])
-            value = np.concatenate([value, (RARE * share[keep]).astype(np.float32)])
-        used, cols = np.unique(cols, return_inverse=True)
-        y, sw = labels[keep].astype(float), weight / weight.sum()
-        # sums by row and by column as runs of sorted entries; every row and column has entries
-        by_row, by_col = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
-        row_start = np.searchsorted(rows[by_row], each)
-        col_start = np.searchsorted(cols[by_col], np.arange(len(used)))
-        row_cols, row_value = cols[by_row], value[by_row].astype(np.float32)
-        col_rows, col_value = rows[by_col], value[by_col].astype(np.float32)
-        w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-        for t in range(1, rounds + 1):
-            z = np.add.reduceat(np.take(w.astype(np.float32), row_cols, mode="clip") * row_value, row_start)
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * sw
-            g = np.add.reduceat(np.take(err.astype(np.float32), col_rows, mode="clip") * col_value, col_start) + l2 * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
-        full = np.zeros(base + 15 + _M + 2 * len(SIZES))
-        full[used] = w
-        self.w, self.by_length, self.by_title = full[:base].astype(np.float32), full[base : base + 12].astype(np.float32), full[base + 12 : base + 15].astype(np.float32)
-        self.by_mark = full[base + 15 : base + 15 + _M].astype(np.float32)
-        self.by_rare = full[base + 15 + _M :].astype(np.float32)
-        return self
-
-
-def train(texts: list[str], negatives: int = SAMPLE_NEGATIVES, shares: np.ndarray | None = None) -> Model:
-    """A model from the weak labels of the segments of ``texts``, with the documents' shares of n-grams (by default of these texts); each distinct folded segment counts once, negatives by their number."""
-    model = Model()
-    s = segments(texts)
-    if not len(s.doc):
-        return model
-    model.rare = ((document_shares(texts) if shares is None else shares) <= RARE_SHARE).astype(np.float32)
-    bounds = np.searchsorted(s.seg, np.arange(len(s.doc) + 1))
-    raw_chars = s.chars.tobytes()
-    keys = [raw_chars[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-    first: dict[bytes, int] = {}
-    times: dict[bytes, int] = {}
-    for i, k in enumerate(keys):
-        first.setdefault(k, i)
-        times[k] = times.get(k, 0) + 1
-    distinct = np.fromiter(first.values(), np.int64, len(first))
-    labels = np.zeros(len(s.doc), bool)
-    for i in distinct.tolist():
-        labels[i] = evidence(s.text[s.start[i] : s.end[i]]) is not None
-    pos, neg = distinct[labels[distinct]], distinct[~labels[distinct]]
-    if not len(pos):
+        if len(where):
+            z += MARK * np.bincount(where, weights=self.w[_MARKS + h], minlength=len(s.at))
+        for col, v in novelty(s, self.levels):
+            z += self.w[col] * v
+        return z
+
+
+def _matrix(s: Segments, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row bounds, columns, values) of the segments' features."""
+    n, length, title = shape(s)
+    each, one = np.arange(len(s.at)), np.ones(len(s.at), np.float32)
+    scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
+    rows, cols, values = [each, each], [_LENGTH + length, _TITLE + title], [one, one]
+    for h, inside in grams(s):
+        r = s.seg[: len(h)][inside]
+        rows.append(r)
+        cols.append(h[inside])
+        values.append(scale[r])
+    where, h = marks(s)
+    rows.append(where)
+    cols.append(_MARKS + h)
+    values.append(np.full(len(where), MARK, np.float32))
+    for col, v in novelty(s, levels):
+        rows.append(each)
+        cols.append(col)
+        values.append(v)
+    r = np.concatenate(rows).astype(np.int32)
+    order = np.argsort(r, kind="stable")
+    return np.searchsorted(r[order], np.arange(len(s.at) + 1)), np.concatenate(cols).astype(np.int32)[order], np.concatenate(values)[order]
+
+
+def fit(s: Segments, y: np.ndarray, times: np.ndarray, weight: np.ndarray, levels: np.ndarray, epochs: int = 14, batch: int = 512, rate: float = 0.3, l2: float = 1e-5) -> Model:
+    """L2-regularised logistic regression by adaptive gradient steps over batches, averaged over the later epochs.
+
+    In each epoch a share of the rows lose most of their n-grams; not so negatives met more than once, which are known forms.
+    """
+    model = Model(levels)
+    if not y.any():
         return model
+    bounds, cols, values = _matrix(s, levels)
     rng = np.random.default_rng(3)
-    if len(neg) > negatives:
-        # mentions are the hard negatives: all of them stay
-        hard = np.array([listed(s.text[s.start[i] : s.end[i]]) == "mention" for i in neg.tolist()])
-        rest = neg[~hard]
-        neg = np.concatenate([neg[hard][:negatives], rng.choice(rest, min(len(rest), negatives), replace=False)])
-    keep = np.concatenate([pos, neg])
-    often = np.array([times[keys[i]] for i in neg.tolist()], float)
-    weight = np.concatenate([np.full(len(pos), 0.5 / len(pos)), 0.5 * often / max(1.0, often.sum())])
-    model.fit(texts, labels, weight, keep, s)
-    z = model.score(s)
-    # nearly all weak positives lie above it
-    model.low = float(min(np.quantile(z[pos], 0.002), 0.0)) - 1.5
+    w, g2, mean, n = np.zeros(WIDTH, np.float32), np.full(WIDTH, 1e-4, np.float32), np.zeros(WIDTH), 0
+    may = y | (times < 2)
+    for epoch in range(epochs):
+        order = rng.permutation(len(y))
+        for a in range(0, len(order), batch):
+            r = order[a : a + batch]
+            m = bounds[r + 1] - bounds[r]
+            start = np.cumsum(m) - m
+            at = np.repeat(bounds[r] - start, m) + np.arange(m.sum())
+            c, v = cols[at], values[at]
+            out = np.repeat((rng.random(len(r)) < DROP) & may[r], m) & (c < _MARKS)
+            v = np.where(out & (rng.random(len(c)) > STAY), 0, v)
+            z = np.add.reduceat(w[c] * v, start)
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r]) * weight[r] / batch
+            used, place = np.unique(c, return_inverse=True)
+            g = np.bincount(place, weights=np.repeat(err, m) * v, minlength=len(used)).astype(np.float32) + l2 * w[used]
+            g2[used] += g * g
+            w[used] -= rate * g / np.sqrt(g2[used])
+        if epoch >= epochs // 2:
+            mean += w
+            n += 1
+    model.w = (mean / n).astype(np.float32)
     return model
 
 
-def sample_texts(docs: DataFrame, doc_id: str, text: str, limit: int = SAMPLE_DOCS) -> list[str]:
-    """Texts of at most ``limit`` documents, picked by a hash of the id."""
-    d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    n = d.count()
-    share = min(1.0, limit / max(n, 1))
-    return [r["t"] for r in d.where(F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1_000_000)) < int(share * 1_000_000)).select("t").limit(limit).collect()]
+_SAMPLE = "key long, fold int, folded binary, alone boolean, y boolean, n long"
+
+
+def labelled(docs: DataFrame, doc_id: str, text: str, fold: str | None, share: float) -> DataFrame:
+    """(key, fold, folded, alone, y, n): distinct segments of a share of the documents (by a hash of the id), with their weak label and number."""
+    d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
+    d = d.where(F.col("i").isNotNull() & (F.length(F.trim("t")) > 0) & (F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1_000_000)) < int(share * 1_000_000)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, bool] = {}
+        for b in batches:
+            for a in range(0, b.num_rows, 2000):
+                part = b.slice(a, 2000)
+                s = segments(part.column(0).to_pylist())
+                fold_of = part.column(1).to_numpy()[s.doc] if len(s.doc) else s.doc
+                k = keys(s)
+                for f in np.unique(fold_of).tolist():
+                    mine = np.flatnonzero(fold_of == f)
+                    u, first, n = np.unique(k[mine], return_index=True, return_counts=True)
+                    at, y = mine[first].tolist(), []
+                    for key, i in zip(u.tolist(), at):
+                        label = known.get(key)
+                        if label is None:
+                            label = known[key] = weak_label(s.raw(i)) is not None
+                        y.append(label)
+                    if len(known) > 500_000:
+                        known.clear()
+                    folded = pa.array([s.folded(i) for i in at], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), f, np.int32)), folded, pa.array(s.alone[at]), pa.array(y, pa.bool_()), pa.array(n.astype(np.int64))], names=["key", "fold", "folded", "alone", "y", "n"])
+
+    rows = d.select("t", "fold").mapInArrow(run, _SAMPLE)
+    return rows.groupBy("key", "fold").agg(F.min("folded").alias("folded"), F.min("alone").alias("alone"), F.max("y").alias("y"), F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: str | None = None, n_folds: int = 1, counts: Counts | None = None, sample_chars: int = SAMPLE_CHARS) -> list[Model]:
+    """One model for each fold, trained on the documents of the other folds (with one fold: on all).
+
+    Each model is fitted in a task on at most ``FIT_CHARS`` characters; the driver holds weights and counters only.
+    """
+    spark = docs.sparkSession
+    counts = counts or corpus_counts(docs, text)
+    levels = counts.levels()
+    models = [Model(levels) for _ in range(n_folds)]
+    if not counts.documents:
+        return models
+    rows = labelled(docs, doc_id, text, fold, min(1.0, sample_chars / max(counts.chars, 1)))
+    if n_folds > 1:
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("model")).where("model <> fold")
+        rows = rows.groupBy("model", "key").agg(F.min("folded").alias("folded"), F.min("alone").alias("alone"), F.max("y").alias("y"), F.sum("n").alias("n"))
+    else:
+        rows = rows.withColumn("model", F.lit(0)).drop("fold")
+    rows = cut(rows.select("model", "key", "folded", "alone", "y", "n"), "residue-sample")
+    sums = rows.groupBy("model").agg(F.sum("n").alias("n"), F.sum(F.col("y").cast("long")).alias("pos")).collect()  # one row a fold
+    rate = {r["model"]: (min(1.0, NEGATIVES / r["n"]), min(1.0, POSITIVES / max(r["pos"], 1))) for r in sums}
+    of = lambda k: F.coalesce(*[F.when(F.col("model") == m, F.lit(x[k])) for m, x in rate.items()], F.lit(0.0))
+    u = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) / float(1 << 30)
+    # a text of one segment that comes more than once may be an error page that no list has: it is left unlabelled
+    drawn = F.when(F.col("y"), u < of(1)).when(F.col("alone") & (F.col("n") > 1), False).otherwise(u < of(0) * F.col("n"))
+    rows = rows.select("model", "key", "folded", "alone", "y", "n", F.when(F.col("y"), F.lit(POSITIVE)).otherwise(F.greatest(F.lit(1.0), of(0) * F.col("n"))).alias("weight"), drawn.alias("drawn"))
+    shared = spark.sparkContext.broadcast(levels)  # 2^18 bytes
+
+    def fit_one(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("y", "descending"), ("key", "ascending")])
+        n = np.array([len(x) // 2 for x in t.column("folded").to_pylist()], np.int64)
+        t = t.slice(0, int(np.searchsorted(np.cumsum(n), FIT_CHARS, "right")))
+        col = lambda c: t.column(c).to_numpy()
+        s = of_folded(t.column("folded").to_pylist(), col("alone"))
+        m = fit(s, col("y").astype(bool), col("n"), col("weight"), shared.value) if t.num_rows else Model()
+        return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([pickle.dumps(m.w)], pa.binary())})
+
+    def fit_all(rows: DataFrame) -> list[Model]:
+        got = rows.select("model", "key", "folded", "alone", "y", "n", "weight").groupBy("model").applyInArrow(fit_one, "model int, w binary").collect()  # one row a fold
+        out = [Model(levels) for _ in range(n_folds)]
+        for r in got:
+            out[r["model"]].w = pickle.loads(r["w"])
+        return out
+
+    first = spark.sparkContext.broadcast([m.w for m in fit_all(rows.where("drawn"))])
+
+    def hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z, of_row = np.zeros(b.num_rows), b.column(0).to_numpy()
+            for m in np.unique(of_row).tolist():
+                at = np.flatnonzero(of_row == m)
+                part = b.take(pa.array(at))
+                z[at] = Model(shared.value, first.value[m]).score(of_folded(part.column(2).to_pylist(), part.column(3).to_numpy(zero_copy_only=False)))
+            yield b.filter(pa.array(b.column("drawn").to_numpy(zero_copy_only=False) | ((z > HARD) & ~(b.column("alone").to_numpy(zero_copy_only=False) & (b.column("n").to_numpy() > 1)))))
+
+    return fit_all(rows.mapInArrow(hard, rows.schema).where("not y or drawn"))
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """(doc_id, kind, score, n_segments): documents that hold residue, with the kind and score of their surest segment."""
-    model = model or train(sample_texts(docs, doc_id, text), shares=corpus_shares(docs, text))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 x 2^17 + 2^16 weights
+    """(doc_id, kind, score, n_segments): documents with a segment that the classifier takes for residue; kind and score of the surest.
+
+    The kind is told by the weak labels, ``other`` where they know none; it decides nothing.
+    """
+    model = model or train(docs, doc_id, text)[0]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 + 2^16 weights, 2^18 bytes
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(F.col("doc_id").isNotNull() & (F.length(F.trim("t")) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,76 +326,47 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mo
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                hits = scan_texts(m, part.column(1).to_pylist())
-                ids = part.column(0)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.float64())], names=["doc_id", "kind", "score"])
+                s = segments(part.column(1).to_pylist())
+                z = m.score(s)
+                i = np.flatnonzero(z > RESIDUE_FROM)
+                kinds = [weak_label(s.raw(k)) or "other" for k in i.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s.doc[i])), pa.array(kinds, pa.string()), pa.array(z[i], pa.float64())], names=["doc_id", "kind", "score"])
 
     rows = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, kind string, score double")
     return rows.groupBy("doc_id").agg(F.max(F.struct("score", "kind")).alias("m"), F.count(F.lit(1)).alias("n_segments")).select("doc_id", "m.kind", "m.score", "n_segments")
 
 
-def scan_texts(model: Model, texts: list[str | None]) -> list[tuple[int, str, float]]:
-    """(place, kind, score) of the segments that the classifier picks and the check on the text upholds."""
-    s = segments(texts)
-    z, up, rare = model.scores(s)
-    out = []
-    for i in np.flatnonzero((z >= model.low) | (up >= 2.0)).tolist():
-        raw = s.text[s.start[i] : s.end[i]]
-        kind = evidence(raw)
-        if kind is None and len(raw) >= 8 and any(z[i] >= a and rare[i] >= b for a, b in LIKE) and listed(raw) != "mention":
-            kind = "like residue"
-        if kind:
-            out.append((int(s.doc[i]), kind, float(z[i])))
-    return out
-
-
 #: hosts are dealt out to folds on the driver: more than these are refused rather than cut
 MAX_HOSTS = 100_000
-_COUNTS = ("segments", "weak", "picked", "both", "candidates")
-_VALIDATION = "fold int, hosts string, segments long, weak long, precision double, recall double, recall_of_candidates double"
+_COUNTS = ("segments", "weak", "picked", "both")
+_VALIDATION = "fold int, hosts string, segments long, weak long, picked long, precision double, recall double"
 
 
-def validate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", hold: int = 4, limit: int = SAMPLE_DOCS) -> DataFrame:
-    """(fold, hosts, segments, weak, precision, recall, recall_of_candidates): trained as ``found`` on a bounded sample of the hosts outside a fold, measured against the weak labels on every document of those inside."""
+def validate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", hold: int = 4, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(fold, hosts, segments, weak, picked, precision, recall): the decision on every document of a fold's hosts, by a model of the other hosts trained as in ``found``, against the weak labels."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("i"), F.coalesce(eq_key(F.col(host)), F.lit("")).alias("h"), F.col(text).alias("t")).where("i is not null and t is not null")
-    sizes = {r["h"]: r["n"] for r in d.groupBy("h").agg(F.count(F.lit(1)).alias("n")).limit(MAX_HOSTS + 1).collect()}
-    if len(sizes) > MAX_HOSTS:
+    hosts = sorted(r["h"] for r in d.select("h").distinct().limit(MAX_HOSTS + 1).collect())
+    if len(hosts) > MAX_HOSTS:
         raise ValueError(f"more than {MAX_HOSTS} hosts")
-    hosts = sorted(sizes)
     n_folds = min(hold, len(hosts))
     if not n_folds:
         return spark.createDataFrame([], _VALIDATION)
-    fold_of = {h: k % hold for k, h in enumerate(hosts)}
-    folds = spark.createDataFrame(list(fold_of.items()), "h string, fold int")
+    d = d.join(F.broadcast(spark.createDataFrame([(h, k % hold) for k, h in enumerate(hosts)], "h string, fold int")), "h")  # at most MAX_HOSTS rows
     names = spark.createDataFrame([(f, ", ".join(hosts[f::hold])) for f in range(n_folds)], "fold int, hosts string")
-    outside = [sum(n for h, n in sizes.items() if fold_of[h] != f) for f in range(n_folds)]
-    share = [int(min(1.0, limit / max(n, 1)) * 1_000_000) for n in outside]
-    d = d.join(F.broadcast(folds), "h")  # at most MAX_HOSTS rows
-    # one pass for the samples of all folds, at most about hold * limit texts; each is trained on in a task, so the driver holds none
-    rare = spark.sparkContext.broadcast(corpus_shares(docs, text))
-
-    def fit(key: tuple, t: pa.Table) -> pa.Table:
-        drawn = sorted(zip(t.column("u").to_pylist(), t.column("t").to_pylist()))[:limit]
-        return pa.table({"f": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(train([x for _, x in drawn], shares=rare.value))], pa.binary())})
-
-    u = F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1_000_000))
-    wants = F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(share[f]).alias("s")) for f in range(n_folds)]), lambda x: (x["f"] != F.col("fold")) & (x["s"] > F.col("u")))
-    drawn = d.select(u.alias("u"), "t", "fold").select("u", "t", F.explode(wants).alias("w")).select("u", "t", F.col("w.f").alias("f"))
-    fitted = {r["f"]: pickle.loads(r["model"]) for r in drawn.repartition(n_folds, "f").groupBy("f").applyInArrow(fit, "f int, model binary").collect()}
-    models = [fitted.get(f) or Model() for f in range(n_folds)]
-    shared = spark.sparkContext.broadcast(models)  # hold x (2 x 2^17 + 2^16) weights
+    # with a single host nothing can be held out: an untrained model picks nothing
+    models = train(d, "i", "t", "fold", n_folds, sample_chars=sample_chars) if n_folds > 1 else [Model()]
+    shared = spark.sparkContext.broadcast(models)  # hold x (2^18 + 2^16) weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 fold = part.column(2).to_numpy()
-                counts = np.zeros((5, len(fold)), np.int64)
+                counts = np.zeros((len(_COUNTS), len(fold)), np.int64)
                 for f in np.unique(fold).tolist():
                     place = np.flatnonzero(fold == f)
-                    counts[:, place] = _against_weak(models[f], part.column(3).take(pa.array(place)).to_pylist())
+                    counts[:, place] = _against_weak(shared.value[f], part.column(3).take(pa.array(place)).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *map(pa.array, counts)], names=["i", "x", "fold", *_COUNTS])
 
     src = d.select("i", F.xxhash64("t").alias("x"), "fold", "t")
@@ -552,20 +374,18 @@ def validate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     # repeated rows of a document count once
     sums = rows.distinct().groupBy("fold").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     ratio = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
-    out = sums.join(F.broadcast(names), "fold")
-    return out.select("fold", "hosts", "segments", "weak", ratio("both", "picked").alias("precision"), ratio("both", "weak").alias("recall"), ratio("candidates", "weak").alias("recall_of_candidates"))
+    return sums.join(F.broadcast(names), "fold").select("fold", "hosts", "segments", "weak", "picked", ratio("both", "picked").alias("precision"), ratio("both", "weak").alias("recall"))
 
 
 def _against_weak(model: Model, texts: list[str]) -> np.ndarray:
-    """``_COUNTS`` of each text: segments, those with a weak label, those picked, both, and the weak ones among the candidates."""
+    """``_COUNTS`` of each text: segments, those with a weak label, those picked, and both."""
     s = segments(texts)
-    z = model.score(s)
+    picked = model.score(s) > RESIDUE_FROM
     seen: dict[str, bool] = {}
-    weak = np.zeros(len(z), bool)
-    for i, (a, b) in enumerate(zip(s.start.tolist(), s.end.tolist())):
-        raw = s.text[a:b]
+    weak = np.zeros(len(picked), bool)
+    for i in range(len(picked)):
+        raw = s.raw(i)
         if raw not in seen:
-            seen[raw] = evidence(raw) is not None
+            seen[raw] = weak_label(raw) is not None
         weak[i] = seen[raw]
-    each = (np.ones(len(z), bool), weak, z >= 0, (z >= 0) & weak, (z >= model.low) & weak)
-    return np.stack([np.bincount(s.doc[x], minlength=len(texts)) for x in each])
+    return np.stack([np.bincount(s.doc[x], minlength=len(texts)) for x in (np.ones(len(picked), bool), weak, picked, picked & weak)])

@@ -1,49 +1,68 @@
+import numpy as np
 import pytest
 
 from skewline.llm import residue as R
+from skewline.llm.segments import keys, of_folded, segments
+from skewline.llm.weak import weak_label
 
 RESIDUE = [
     "{{ title | safe }}", "[Your claims go here] [Your abstract goes here]", "1. claims: TBD", "(le texte à compléter)", "TODO: add DESCRIPTION", "____ (summary) ____", "%(abstract)s", "The device of claim 1, wherein the ${part} is porous.", "Vorrichtung nach Anspruch 2, wobei «PART» lösbar ist.",
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "This is sample text.", "ダミーテキスト。", "这里是占位文字。", "[dummy] [dummy] [dummy]",
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Magna dolorem tempor conlabore sit amet consec.", "This is sample text.", "ダミーテキスト。", "这里是占位文字。", "[dummy] [dummy] [dummy]",
     "404 Not Found", "Internal Server Error", "java.lang.NullPointerException: at load", "Bitte melden Sie sich erneut an.", "您访问的页面不存在。", "Too many requests. Try again in 5 minutes.",
     "Please enable JavaScript to view this document.", "Veuillez activer JavaScript.", "ブラウザでJavaScriptを有効にしてください。", "[... description ...]",
 ]
 CONTENT = [
-    "The template holds placeholders such as %%TITLE%% and %(ref_no)s, which the web server replaces by field values in step S2.", 'For testing the unit, a filler text such as "Lorem ipsum dolor" is laid out in 2 columns and then discarded.', "An error page with the code 404 is counted by the web server and triggers a retry after 4 ms.",
-    'If the browser does not execute JavaScript, the unit displays the notice "Please enable JavaScript" in the table until scripts are enabled.', "The relation is given by B = {{ x_1 } + 8.58} (see Eq. 9).", r"Q is \frac{R_{1}}{β^{2} and $$ C_{max} = \sqrt{3.7ρ} $$.", "[0012] As shown in FIG. 8, the shaft 12 comprises a spring.", "テンプレートは{{title}}や__REF__などの変数を含み、表示部が値に置換する。", "<|eod-1|>", "[Math. 3]", "【数9】", "20 parts of Magcineli® were added.", "Description",
+    "The template holds placeholders such as %%TITLE%% and %(ref_no)s, which the web server replaces by field values in step S2.", 'For testing the unit, a filler text such as "Lorem ipsum dolor" is laid out in 2 columns and then discarded.', "An error page with the code 404 is counted by the web server.", "The variable ${TITLE} denotes the title.",
+    'If the browser does not execute JavaScript, the unit displays the notice "Please enable JavaScript" in the table until scripts are enabled.', "The relation is given by B = {{ x_1 } + 8.58} (see Eq. 9).", r"Q is \frac{R_{1}}{β^{2} and $$ C_{max} = \sqrt{3.7ρ} $$.", "[0012] As shown in FIG. 8, the shaft 12 is annular.",
+]
+#: forms that no weak label knows
+PLANTED = [
+    "We are sorry, the file you are looking for is gone.", "Database connection failed, please contact the administrator.", "Your request ran into a limit after 30 seconds.", "The server is down for maintenance until Monday.", "You must sign in before you can view this page.",
+    "This site works best with scripts switched on in your browser.", "Unable to retrieve the record, ticket 8812.", "Segmentation fault (core dumped)", "Warning: mysql_fetch_array() expects parameter 1 to be resource", "Write your abstract here", "Type the heading of your invention in this box",
+    "<title/>", "[% title %]", "<?php echo $title; ?>", "~~TITLE~~", "%TITLE%", "Vestibulum ante primis faucibus orci luctus posuere cubilia curae.", "Pellentesque habitant morbi tristique senectus netus malesuada fames.", "The quick brown fox jumps over the lazy dog.", "hjkl hjkl hjkl hjkl hjkl",
+    "Some words will be written at this spot later on.", "Die Seite konnte leider nicht geladen werden.", "Der Server antwortet nicht, bitte laden Sie neu.", "Bitte schalten Sie in Ihrem Browser die Ausführung von Skripten ein.", "Anmeldung erforderlich, um den Text zu lesen.", "Hier kommt später noch ein Text hin.",
+    "La page n'a pas pu être chargée, merci de recharger.", "Votre navigateur bloque les scripts de ce site.", "Connexion perdue avec la base de données.", "Vous devez être identifié pour lire ce texte.", "El servidor no responde, recargue la página.", "Su navegador tiene desactivados los scripts.", "Debe identificarse para ver este documento.",
+    "ログインしてください。", "サーバーへつながりません。", "网页无法打开，请刷新。", "数据库连接失败。", "您的浏览器不支持脚本。", "请先登录再查看全文。",
 ]
 
 
 @pytest.mark.parametrize("text", RESIDUE)
-def test_evidence(text):
-    assert any(R.evidence(x) for x in text.split(". ")) or R.evidence(text)
+def test_weak_label(text):
+    assert any(weak_label(x) for x in text.split(". ")) or weak_label(text)
 
 
 @pytest.mark.parametrize("text", CONTENT)
-def test_no_evidence(text):
-    s = R.segments([text])
-    assert not any(R.evidence(s.text[a:b]) for a, b in zip(s.start, s.end))
+def test_no_weak_label(text):
+    s = segments([text])
+    assert not any(weak_label(s.raw(i)) for i in range(len(s.at)))
 
 
-@pytest.mark.parametrize("text", ["Die Steuerung sendet den Status {{status_text}} an das Ventil.", "The panel 3 is laid out in ${MATERIAL}.", "The unit returns the status [TODO].", "The template holds placeholders such as %%TITLE%% and %(ref_no)s, and the shaft of the spring is made of ${MATERIAL}."])
-def test_a_mention_cancels_only_what_it_is_about(text):
-    assert R.evidence(text) == "slot"
+@pytest.mark.parametrize("n", [3, 10, 70, 500, 20_000])
+def test_length_of_slots_and_quotations_does_not_matter(n):
+    for a, b in (("{{", "}}"), ("%%", "%%"), ("${", "}"), ("[[", "]]"), ("«", "»"), ("&lt;", "&gt;"), ("[Insert ", "]")):
+        assert weak_label(f"The shaft of {a}{'x' * n}{b} is porous.") if a != "[Insert " else weak_label(f"{a}{'x' * n}{b}")
+    s = segments([f'A text such "Lorem ipsum dolor {"sit amet " * n}end" is shown.'])
+    assert s.raw(0) == "A text such  is shown."
 
 
-def test_slots_listed_next_to_a_mention_are_none():
-    for x in ("テンプレートは__REF__や{ref_no}などの変数を含み、表示部が値に置換する。", "The variable ${TITLE} denotes the title of the document.", "Template includes variable such as {title} and <<UNIT>>, in step S2 unit replaces to value."):
-        assert R.evidence(x) is None
+def test_segments():
+    s = segments(["A b. C d\nE", None, "", "x"])
+    assert [s.raw(i) for i in range(len(s.at))] == ["A b.", "C d", "E", "x"]
+    assert s.doc.tolist() == [0, 0, 0, 3] and s.first.tolist() == [True, False, False, True] and s.alone.tolist() == [False, False, False, True]
 
 
-def test_scanning_errors_do_not_hide():
-    assert R.evidence("Pl ease enablc Java Script to vicw this document.")
-    assert R.evidence("Thc templatc holds placeholdcrs such as %%TITLE%%.") is None
+def test_keys_and_folded_characters_do_not_depend_on_the_batch():
+    a, b = segments(["Foo bar.\nThe shaft.", "x"]), segments(["Something else", "Foo  bar.\nThe shaft."])
+    assert keys(a)[:2].tolist() == keys(b)[1:3].tolist() and len(set(keys(a).tolist())) == 3
+    again = of_folded([a.folded(i) for i in range(3)], a.alone)
+    assert keys(again).tolist() == keys(a).tolist() and again.first.tolist() == a.first.tolist()
+    model = R.Model(w=np.random.default_rng(0).normal(size=R.WIDTH).astype(np.float32))
+    assert np.allclose(model.score(again), model.score(a))
 
 
-def test_segments():
-    s = R.segments(["A b. C d\nE", None, "", "x"])
-    assert [s.text[a:b] for a, b in zip(s.start, s.end)] == ["A b.", "C d", "E", "x"]
-    assert s.doc.tolist() == [0, 0, 0, 3] and s.first.tolist() == [True, False, False, True] and s.alone.tolist() == [False, False, False, True]
+def test_copies_count_once():
+    once, often = R.Counts().add(["The shaft is porous.", "x y z"]), R.Counts().add(["The shaft is porous."] * 4000 + ["x y z"] * 3)
+    assert (once.v == often.v).all() and once.segments == often.segments == 2
 
 
 def corpus():
@@ -56,7 +75,7 @@ def corpus():
     return docs
 
 
-def test_found_and_held_out_hosts(spark):
+def test_found_and_validation(spark):
     docs = corpus() + [(500, None, "h", "k"), (501, "", "h", "k"), (502, " \n\t", "h", "k"), (503, "word " * 50_000, "h", "k"), (0, corpus()[0][1], "h", "k"), (None, RESIDUE[0], "h", "k")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, kind string")
     got = {r.doc_id for r in R.found(df).collect()}
@@ -69,37 +88,40 @@ def test_validation_scores_every_document_of_the_held_out_hosts(spark):
     """Also where only a few documents are trained on; repeated rows count once."""
     docs = corpus()
     df = spark.createDataFrame(docs + docs[:7], "doc_id long, text string, source string, kind string")
-    s = R.segments([t for _, t, _, _ in docs])
-    got = R.validate(df, hold=3, limit=60).collect()
+    s = segments([t for _, t, _, _ in docs])
+    got = R.validate(df, hold=3, sample_chars=20_000).collect()
     assert sum(r.segments for r in got) == len(s.doc)
-    assert sum(r.weak for r in got) == sum(R.evidence(s.text[a:b]) is not None for a, b in zip(s.start, s.end))
+    assert sum(r.weak for r in got) == sum(weak_label(s.raw(i)) is not None for i in range(len(s.at)))
 
 
-def test_classifier_loses_little_of_what_the_check_upholds(spark, sf):
-    """Against the check run on every segment of every document."""
-    df = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
-    want = set()
-    for r in df.where("text is not null").collect():
-        s = R.segments([r.text])
-        if any(R.evidence(s.text[a:b]) for a, b in zip(s.start, s.end)):
-            want.add(r.doc_id)
-    got = {r.doc_id for r in R.found(df).collect()}
-    assert len(got & want) / len(want) >= 0.97 and len(got - want) <= 0.03 * len(want)
+def test_training_is_repeatable(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, source string, kind string")
+    a, b = R.train(df.repartition(3, "doc_id"))[0], R.train(df.repartition(3, "doc_id").sortWithinPartitions("doc_id"))[0]
+    assert np.array_equal(a.w, b.w)
 
 
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert R.found(df).count() == 0 and R.validate(df).count() == 0
-
-
-def test_a_form_that_no_list_has():
-    """Rare n-grams and a high score stand in for a phrase."""
-    docs = []
-    for i in range(900):
-        body = [f"Device {i} with part {j} and spring" for j in range(3)] + ["The shaft is coupled with the spring, so that the housing remains porous."] * 2
-        if i % 30 == 0:
-            body[3] = RESIDUE[(i // 30) % len(RESIDUE)]
-        docs.append("\n".join(body))
-    model = R.train(docs)
-    odd = "Device 7 with part 1 and spring\nZzyx qwob flurm vexi drumpf, kloth wubba gnarf."
-    assert [h[0] for h in R.scan_texts(model, [docs[1], odd, docs[2]])] == [1]
+    plain = spark.createDataFrame([(1, "The shaft is porous.", "a"), (2, "The housing is annular.", "b")], "doc_id long, text string, source string")
+    assert R.found(plain).count() == 0
+
+
+def test_unlisted_forms_planted_on_hosts_not_trained_on(spark, sf):
+    """The decision on held-out hosts: what is planted is found, what isn't stays."""
+    assert not [x for x in PLANTED if weak_label(x)]
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    inside = "lower(trim(source)) in ('office_b_full', 'crawl_mirror')"
+    model = R.train(docs.where(f"not coalesce({inside}, false)"))[0]
+    texts = [r.text for r in docs.where(f"{inside} and length(text) > 200").orderBy("doc_id").collect()]
+    texts = [t for t in texts if not any(weak_label(segments([t]).raw(i)) for i in range(len(segments([t]).at)))]
+    planted = []
+    for k, form in enumerate(PLANTED * 3):
+        lines = texts[k].split("\n")
+        lines.insert(1 + k % len(lines), form)
+        planted.append("\n".join(lines))
+    hit = [bool((model.score(segments([t])) > R.RESIDUE_FROM).any()) for t in planted]
+    false = [bool((model.score(segments([t])) > R.RESIDUE_FROM).any()) for t in texts[len(planted) :]]
+    assert np.mean(hit) >= 0.9, [f for f, h in zip(PLANTED * 3, hit) if not h]
+    # as in the corpus, about one in 26 documents holds residue
+    assert np.mean(hit) / 26 / (np.mean(hit) / 26 + np.mean(false)) >= 0.9
