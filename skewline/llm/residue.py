@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewline.functions.keys import eq_key
-from skewline.llm.segments import SIZES, D, M, Segments, grams, keys, marks, of_folded, per_segment, segments, shape
+from skewline.llm.segments import SIZES, D, M, Segments, grams, keys, marks, of_folded, only, per_segment, segments, shape
 from skewline.llm.weak import weak_label
 from skewline.session import cut
 
 #: characters of the documents that weak labels are taken from, about; negatives drawn by frequency and positives, about; characters a model is fitted on, at most
-SAMPLE_CHARS, NEGATIVES, POSITIVES, FIT_CHARS = 64_000_000, 30_000, 20_000, 6_000_000
+SAMPLE_CHARS, NEGATIVES, POSITIVES, FIT_CHARS = 40_000_000, 30_000, 20_000, 6_000_000
 #: score from which a negative is drawn for the second fit
 HARD = -2.5
 #: value of the feature of a pair with a mark
@@ -39,12 +39,14 @@ RESIDUE_FROM = -0.5
 #: an n-gram in at most 1 + this share of the distinct segments is new, one level for each share; value of a share of new n-grams; n-grams added to a segment's own, none of them new, so that a few characters aren't novel by themselves
 NEW, NOVEL, KNOWN = (0.00005, 0.0005, 0.004), 3.0, 8
 #: weight of a positive; share of the rows whose n-grams are left out in an epoch, and share of n-grams that stay there
-POSITIVE, DROP, STAY = 16.0, 0.5, 0.1
+POSITIVE, DROP, STAY = 32.0, 0.5, 0.1
 #: columns: n-grams, marks, length classes, title classes, novelty of each size and level by script
 _MARKS, _LENGTH = len(SIZES) * D, len(SIZES) * D + M
 _TITLE = _LENGTH + 12
 _NOVEL = _TITLE + 3
 WIDTH = _NOVEL + 2 * len(SIZES) * len(NEW)
+#: a one for each level that is reached, 21 bits apart: all levels of a segment are summed at once
+_PACKED = np.array([sum(1 << (21 * q) for q in range(n)) for n in range(len(NEW) + 1)], np.int64)
 #: counters in a row of the sum over tasks
 _ROW = 1 << 12
 
@@ -84,9 +86,9 @@ class Counts:
             s = segments(texts[a : a + 1000])
             new = self.seen.new(keys(s))
             self.segments += int(new.sum())
-            here = new[s.seg]
+            s = only(s, new)
             for h, inside in grams(s):
-                self.v += np.bincount(h[inside & here[: len(h)]], minlength=len(self.v))
+                self.v += np.bincount(h[inside], minlength=len(self.v))
         self.documents += len(texts)
         self.chars += sum(len(t) for t in texts if t)
         return self
@@ -126,12 +128,14 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> Counts:
 
 def novelty(s: Segments, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(column, value) of each segment: the share of its n-grams that are new, by size and level; apart for Chinese and Japanese, whose n-grams are rarer."""
-    kanji = (per_segment(s, ((s.chars >= 0x3040) & (s.chars <= 0x9FFF)).astype(np.float32)) > 0).astype(np.int64)
+    kanji = (per_segment(s, ((s.chars >= 0x3040) & (s.chars <= 0x9FFF)).astype(np.int32)) > 0).astype(np.int64)
+    size = np.diff(np.append(s.at, len(s.chars)))
+    packed = _PACKED[levels]
     for k, (h, inside) in enumerate(grams(s)):
-        whole = per_segment(s, inside.astype(np.float32)) + KNOWN
-        level = levels[h] * inside
+        whole = np.maximum(size - SIZES[k] + 1, 0) + KNOWN
+        new = per_segment(s, packed[h] * inside)
         for q in range(len(NEW)):
-            share = per_segment(s, (level > q).astype(np.float32)) / whole
+            share = (new >> (21 * q) & (1 << 21) - 1) / whole
             yield _NOVEL + 2 * (k * len(NEW) + q) + kanji, (NOVEL * share).astype(np.float32)
 
 
@@ -244,7 +248,7 @@ def labelled(docs: DataFrame, doc_id: str, text: str, fold: str | None, share: f
                     for key, i in zip(u.tolist(), at):
                         label = known.get(key)
                         if label is None:
-                            label = known[key] = weak_label(s.raw(i)) is not None
+                            label = known[key] = weak_label(s.raw(i), s.folded(i)[2:-2].decode("utf-16-le", "replace")) is not None
                         y.append(label)
                     if len(known) > 500_000:
                         known.clear()

@@ -20,6 +20,8 @@ D, M = 1 << BITS, 1 << 16
 QUOTED, TITLE, LINE, INNER, STOP = 0xE000, 0xE001, 0xE002, 0xE003, 0xE004
 _QUOTES = re.compile(r"""(?<!\w)"(?=\S)[^"\n]*[^"\s]"(?!\w)|„[^“”\n]+[“”]|“[^”\n]+”|「[^」\n]+」|『[^』\n]+』|«[^»\n]*\s[^»\n]*»""")
 
+_OPENING = '"„“「『«'
+
 
 def _fold_table() -> np.ndarray:
     """Code point -> folded code point (0: dropped), for the basic plane; other planes keep a single mark."""
@@ -89,7 +91,7 @@ def of_folded(parts: list[bytes], alone: np.ndarray) -> Segments:
 
 
 def segments(texts: list[str | None]) -> Segments:
-    parts = [_QUOTES.sub(chr(QUOTED), t) if t else "" for t in texts]
+    parts = [_QUOTES.sub(chr(QUOTED), t) if t and any(q in t for q in _OPENING) else t or "" for t in texts]
     joined = "\n".join(parts) + "\n"
     cp = _points(joined)
     starts = np.zeros(len(parts) + 1, np.int64)
@@ -160,8 +162,16 @@ def keys(s: Segments) -> np.ndarray:
 
 
 def per_segment(s: Segments, values: np.ndarray) -> np.ndarray:
-    """Sums of per-character values by segment."""
-    return np.add.reduceat(np.append(values, np.zeros(len(s.chars) - len(values), values.dtype)), s.at, dtype=np.float64)
+    """Sums of per-character values by segment; ``values`` may lack the last characters'."""
+    at = np.minimum(s.at, len(values) - 1)
+    return np.where(s.at < len(values), np.add.reduceat(values, at), 0)
+
+
+def only(s: Segments, which: np.ndarray) -> Segments:
+    """The segments of a mask."""
+    body = which[s.seg]
+    size = np.diff(np.append(s.at, len(s.chars)))[which]
+    return Segments(s.text, s.doc[which], s.start[which], s.end[which], s.chars[body], np.repeat(np.arange(len(size)), size), s.first[which], s.alone[which], np.cumsum(size) - size)
 
 
 def marks(s: Segments) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,8 @@ _SLOTS = re.compile(
 )
 _NOTE = re.compile(r"_{3,}\s*\(?\w|(?<![^\W\d_])(?:TODO|TBD|FIXME|tbd|todo)(?![^\W\d_])|xxx[^\n]+xxx\s*$|[\[<(（［【][^\])>）］】]*(?:goes here|einfügen|ergänzen|à compléter|à remplir|aquí|请输入|此处填写|入力|記入)[^\])>）］】]*[\])>）］】]|[\[<(（［](?:[Ii]nsert|[Ee]nter|Insérer|insérer|Insertar|insertar|Hier|Your)\b[^\])>）］]*[\])>）］]\s*$|\[\.\.\.[^\[\]]*\.\.\.\]\s*$|^[^\[\]]+\.\.\.\]\s*$")
 _STATUS = re.compile(r"^(?:\d+\.|\[\d+\])?\s*(?:(?:HTTP|Error|Erreur|Fehler|Status)\W{0,3}(?:Status|Error)?\W{0,2}[1-5]\d\d\b|[45]\d\d (?:Not Found|Forbidden|Bad|Internal|Service|Unauthorized|Gateway|Too Many)|at [\w.$<>]+ ?\([\w.$]+:\d+(?::\d+)?\)|[\w.]+(?:Exception|Error): |Reference #[0-9a-f]{6,}|Traceback )")
+#: what any slot begins with
+_CUE = re.compile(r"[{<%$\[#_@&«]")
 #: words of a sentence that writes about such things
 _ABOUT = re.compile(r"\b(?:such as|e\.g\.|for example|denot\w+|placeholders?|variables?|Platzhaltern?|Variablen?|wie|tel(?:le)?s que|par exemple|marcador(?:es)?|como|por ejemplo)\b|などの|という|変数|プレースホルダ|場合|变量|占位符|等|时，|例如", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -41,17 +43,17 @@ def _automaton() -> ahocorasick.Automaton:
 _PHRASES: list[ahocorasick.Automaton] = []
 
 
-def weak_label(raw: str) -> str | None:
+def weak_label(raw: str, squeezed: str | None = None) -> str | None:
     """Kind of residue that a segment seems to show; None for a segment that writes about such things."""
     if not _PHRASES:
         _PHRASES.append(_automaton())
     kind = None
-    if _SLOTS.search(raw) or _NOTE.search(raw):
+    if _CUE.search(raw) and _SLOTS.search(raw) or _NOTE.search(raw):
         kind = "slot"
     elif _STATUS.search(raw.strip()):
         kind = "error"
     else:
-        rank = min((r for _, r in _PHRASES[0].iter(squeeze(raw))), default=None)
+        rank = min((r for _, r in _PHRASES[0].iter(squeeze(raw) if squeezed is None else squeezed)), default=None)
         if rank is not None:
             kind = KINDS[rank]
         elif _is_filler(raw):
@@ -59,13 +61,28 @@ def weak_label(raw: str) -> str | None:
     return None if kind is None or _ABOUT.search(raw) else kind
 
 
+_KNOWN: dict[str, int] = {}
+
+
+def _shape(word: str) -> int:
+    """1: made of filler pieces, 2: typed at random, 3: both, 0: neither."""
+    got = _KNOWN.get(word)
+    if got is None:
+        if len(_KNOWN) > 200_000:
+            _KNOWN.clear()
+        w = word.lower()
+        got = _KNOWN[word] = 0 if len(w) < 2 else (_LATIN.fullmatch(w) is not None) + 2 * (_MASH.fullmatch(w) is not None)
+    return got
+
+
 def _is_filler(raw: str) -> bool:
     """More than three words, three quarters of all, are made of filler pieces or typed at random."""
-    words = [w.lower() for w in _WORD.findall(raw)]
+    words = _WORD.findall(raw)
+    need = max(4, 0.75 * len(words))
+    if len(words) < need:
+        return False
     # three quarters can't match if none of the first quarter and one more does
-    for shape_ in (_LATIN, _MASH):
-        if any(map(shape_.fullmatch, words[: len(words) // 4 + 1])):
-            hit = sum(len(w) > 1 and shape_.fullmatch(w) is not None for w in words)
-            if hit > 3 and hit >= 0.75 * len(words):
-                return True
-    return False
+    if not any(map(_shape, words[: len(words) // 4 + 1])):
+        return False
+    shapes = list(map(_shape, words))
+    return sum(x & 1 for x in shapes) >= need or sum(x > 1 for x in shapes) >= need
