@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skewline.functions.keys import eq_key
 from skewline.llm.segments import SIZES, D, M, Segments, grams, keys, marks, of_folded, only, per_segment, segments, shape
-from skewline.llm.weak import weak_label
+from skewline.llm.weak import ABOUT, cues, weak_label
 from skewline.session import cut
 
 #: characters of the documents that weak labels are taken from, about; negatives drawn by frequency and positives, about; characters a model is fitted on, at most
@@ -38,8 +38,8 @@ MARK = 3.0
 RESIDUE_FROM = -0.5
 #: an n-gram in at most 1 + this share of the distinct segments is new, one level for each share; value of a share of new n-grams; n-grams added to a segment's own, none of them new, so that a few characters aren't novel by themselves
 NEW, NOVEL, KNOWN = (0.00005, 0.0005, 0.004), 3.0, 8
-#: weight of a positive; share of the rows whose n-grams are left out in an epoch, and share of n-grams that stay there
-POSITIVE, DROP, STAY = 32.0, 0.5, 0.1
+#: weight of a positive and of a segment that writes about residue; share of the rows whose n-grams are left out in an epoch, and share of n-grams that stay there
+POSITIVE, MENTION, DROP, STAY = 32.0, 4.0, 0.5, 0.1
 #: columns: n-grams, marks, length classes, title classes, novelty of each size and level by script
 _MARKS, _LENGTH = len(SIZES) * D, len(SIZES) * D + M
 _TITLE = _LENGTH + 12
@@ -225,16 +225,21 @@ def fit(s: Segments, y: np.ndarray, times: np.ndarray, weight: np.ndarray, level
     return model
 
 
-_SAMPLE = "key long, fold int, folded binary, alone boolean, y boolean, n long"
+_SAMPLE = "key long, fold int, folded binary, alone boolean, y boolean, about boolean, n long"
+
+
+def _one() -> list:
+    """How the rows of one segment are put together."""
+    return [F.min("folded").alias("folded"), F.min("alone").alias("alone"), F.max("y").alias("y"), F.max("about").alias("about"), F.sum("n").alias("n")]
 
 
 def labelled(docs: DataFrame, doc_id: str, text: str, fold: str | None, share: float) -> DataFrame:
-    """(key, fold, folded, alone, y, n): distinct segments of a share of the documents (by a hash of the id), with their weak label and number."""
+    """(key, fold, folded, alone, y, about, n): distinct segments of a share of the documents (by a hash of the id), with their weak label, whether they write about residue, and their number."""
     d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
     d = d.where(F.col("i").isNotNull() & (F.length(F.trim("t")) > 0) & (F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1_000_000)) < int(share * 1_000_000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, bool] = {}
+        known: dict[int, str | None] = {}
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 part = b.slice(a, 2000)
@@ -246,17 +251,16 @@ def labelled(docs: DataFrame, doc_id: str, text: str, fold: str | None, share: f
                     u, first, n = np.unique(k[mine], return_index=True, return_counts=True)
                     at, y = mine[first].tolist(), []
                     for key, i in zip(u.tolist(), at):
-                        label = known.get(key)
-                        if label is None:
-                            label = known[key] = weak_label(s.raw(i), s.folded(i)[2:-2].decode("utf-16-le", "replace")) is not None
-                        y.append(label)
+                        if key not in known:
+                            known[key] = cues(s.raw(i), s.folded(i)[2:-2].decode("utf-16-le", "replace"))
+                        y.append(known[key])
                     if len(known) > 500_000:
                         known.clear()
                     folded = pa.array([s.folded(i) for i in at], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), f, np.int32)), folded, pa.array(s.alone[at]), pa.array(y, pa.bool_()), pa.array(n.astype(np.int64))], names=["key", "fold", "folded", "alone", "y", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), f, np.int32)), folded, pa.array(s.alone[at]), pa.array([x not in (None, ABOUT) for x in y], pa.bool_()), pa.array([x == ABOUT for x in y], pa.bool_()), pa.array(n.astype(np.int64))], names=["key", "fold", "folded", "alone", "y", "about", "n"])
 
     rows = d.select("t", "fold").mapInArrow(run, _SAMPLE)
-    return rows.groupBy("key", "fold").agg(F.min("folded").alias("folded"), F.min("alone").alias("alone"), F.max("y").alias("y"), F.sum("n").alias("n"))
+    return rows.groupBy("key", "fold").agg(*_one())
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: str | None = None, n_folds: int = 1, counts: Counts | None = None, sample_chars: int = SAMPLE_CHARS) -> list[Model]:
@@ -273,17 +277,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: str
     rows = labelled(docs, doc_id, text, fold, min(1.0, sample_chars / max(counts.chars, 1)))
     if n_folds > 1:
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("model")).where("model <> fold")
-        rows = rows.groupBy("model", "key").agg(F.min("folded").alias("folded"), F.min("alone").alias("alone"), F.max("y").alias("y"), F.sum("n").alias("n"))
+        rows = rows.groupBy("model", "key").agg(*_one())
     else:
         rows = rows.withColumn("model", F.lit(0)).drop("fold")
-    rows = cut(rows.select("model", "key", "folded", "alone", "y", "n"), "residue-sample")
-    sums = rows.groupBy("model").agg(F.sum("n").alias("n"), F.sum(F.col("y").cast("long")).alias("pos")).collect()  # one row a fold
+    rows = cut(rows.select("model", "key", "folded", "alone", "y", "about", "n"), "residue-sample")
+    sums = rows.groupBy("model").agg(F.sum("n").alias("n"), F.sum((F.col("y") | F.col("about")).cast("long")).alias("pos")).collect()  # one row a fold
     rate = {r["model"]: (min(1.0, NEGATIVES / r["n"]), min(1.0, POSITIVES / max(r["pos"], 1))) for r in sums}
     of = lambda k: F.coalesce(*[F.when(F.col("model") == m, F.lit(x[k])) for m, x in rate.items()], F.lit(0.0))
     u = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) / float(1 << 30)
     # a text of one segment that comes more than once may be an error page that no list has: it is left unlabelled
-    drawn = F.when(F.col("y"), u < of(1)).when(F.col("alone") & (F.col("n") > 1), False).otherwise(u < of(0) * F.col("n"))
-    rows = rows.select("model", "key", "folded", "alone", "y", "n", F.when(F.col("y"), F.lit(POSITIVE)).otherwise(F.greatest(F.lit(1.0), of(0) * F.col("n"))).alias("weight"), drawn.alias("drawn"))
+    drawn = F.when(F.col("y") | F.col("about"), u < of(1)).when(F.col("alone") & (F.col("n") > 1), False).otherwise(u < of(0) * F.col("n"))
+    rows = rows.select("model", "key", "folded", "alone", "y", "n", F.when(F.col("y"), F.lit(POSITIVE)).when(F.col("about"), F.lit(MENTION)).otherwise(F.greatest(F.lit(1.0), of(0) * F.col("n"))).alias("weight"), drawn.alias("drawn"))
     shared = spark.sparkContext.broadcast(levels)  # 2^18 bytes
 
     def fit_one(key: tuple, t: pa.Table) -> pa.Table:

@@ -45,6 +45,16 @@ _PHRASES: list[ahocorasick.Automaton] = []
 
 def weak_label(raw: str, squeezed: str | None = None) -> str | None:
     """Kind of residue that a segment seems to show; None for a segment that writes about such things."""
+    kind = cues(raw, squeezed)
+    return None if kind in (None, ABOUT) else kind
+
+
+#: what ``cues`` says of a segment that holds signs of residue and writes about them
+ABOUT = "about"
+
+
+def cues(raw: str, squeezed: str | None = None) -> str | None:
+    """The kind of residue that a segment shows signs of, or ``ABOUT``."""
     if not _PHRASES:
         _PHRASES.append(_automaton())
     kind = None
@@ -58,7 +68,7 @@ def weak_label(raw: str, squeezed: str | None = None) -> str | None:
             kind = KINDS[rank]
         elif _is_filler(raw):
             kind = "filler"
-    return None if kind is None or _ABOUT.search(raw) else kind
+    return ABOUT if kind and _ABOUT.search(raw) else kind
 
 
 _KNOWN: dict[str, int] = {}
