@@ -59,17 +59,53 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) on the JVM's side."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Lineage ends there, so a lost executor costs no more than the stage at hand.
+    Lineage ends there, so a lost executor costs no more than the stage at hand. The table goes when the application
+    ends, or before that by ``release`` or ``cleanup``.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _files(spark, path)
+    fs.deleteOnExit(p)
+    _CUT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
+
+
+_CUT: dict[str, set[str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote; nothing may read them afterwards."""
+    for t in tables:
+        path = t.__dict__.get("_cut_path")
+        if path:
+            fs, p = _files(t.sparkSession, path)
+            fs.delete(p, True)
+            _CUT.get(t.sparkSession.sparkContext.applicationId, set()).discard(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes all tables of this application that ``cut`` wrote, once their results are consumed; gives their number."""
+    paths = _CUT.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        fs, p = _files(spark, path)
+        fs.delete(p, True)
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
