@@ -6,11 +6,12 @@ the greatest ``version`` counts (then the greatest content). Order: cosine desce
 (up to length) are searched once and shared out afterwards: each copy gets the first k others of its class. An empty
 table gives an empty result.
 
-Method: vectors are kept at 16 bits a number (cosines are exact to about 1e-5). Spherical k-means cells and four-bit
-codebooks are fitted on a bounded sample; codebooks and codes minimise an anisotropic loss, in which the part of the
-error parallel to the vector weighs more, since it is what shifts large inner products. Every vector is coded and lies in
-one cell; it is looked for in ``probes`` cells by table scans over the codes, and what scans well is reranked by cosine.
-Cells beyond ``block`` rows are cut into blocks that meet pairwise in separate tasks.
+Method: vectors are kept at 24 bits a number, the precision of a float. Spherical k-means cells and four-bit codebooks are
+fitted on a bounded sample; codebooks and codes minimise an anisotropic loss, in which the part of the error parallel to
+the vector weighs more, since it is what shifts large inner products. Every vector is coded and lies in one cell; it is
+looked for in as many cells as keep the wanted recall of queries compared with all rows (or in ``probes``) by table scans over the codes, and
+what scans well is reranked by its cosine. There are about n / ``cell_rows`` cells; cells beyond ``block`` rows are cut
+into blocks that meet pairwise in separate tasks.
 """
 
 from __future__ import annotations
@@ -19,28 +20,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skewline.session import cut
+from skewline.session import cut, release
 
-#: rows of the sample that cells and codebooks are fitted on, at most
-SAMPLE = 30_000
+#: rows of the sample that cells and codebooks are fitted on: ten a cell, within these bounds
+SAMPLE = (30_000, 200_000)
+#: queries whose true neighbours tell how many cells are searched; share of these that lie there, without and with a floor
+ASKED, RECALL, RECALL_FLOOR = 400, 0.98, 0.995
+#: rows of equal vectors that meet on one key
+SALTS = 8
 #: error weights: the threshold T of the score-aware loss, eta = (d - 1) T^2 / (1 - T^2)
 THRESHOLD = 0.2
-CELL_ROWS, BLOCK_ROWS, MAX_CELLS = 1000, 6000, 2000
+#: rows a cell with and without a floor; rows a block; cells at most
+CELL_ROWS, BLOCK_ROWS, MAX_CELLS = (2000, 4000), 6000, 20_000
 
 
 def to_code(x: np.ndarray) -> np.ndarray:
-    """Unit vectors as 16-bit numbers, scaled by the largest."""
-    return np.rint(x * (32767 / np.abs(x).max(1, keepdims=True))).astype(np.int16)
+    """Vectors as 24-bit numbers scaled by the largest: (n, 3 * dim) bytes, the high 16 bits first."""
+    v = np.rint(x.astype(np.float64) * (8388607 / np.abs(x).max(1, keepdims=True))).astype(np.int32)
+    high, low = np.ascontiguousarray((v >> 8).astype("<i2")), (v & 255).astype(np.uint8)
+    return np.concatenate([high.view(np.uint8), low], axis=1)
 
 
-def from_code(raw: np.ndarray) -> np.ndarray:
-    x = raw.astype(np.float32)
+def from_code(raw: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors from rows of bytes."""
+    b = raw.reshape(-1, 3 * dim)
+    x = np.ascontiguousarray(b[:, : 2 * dim]).view("<i2").astype(np.float32) * 256 + b[:, 2 * dim :]
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def unpacked(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return from_code(np.frombuffer(b"".join(col.to_pylist()), np.uint8), dim)
+
+
 def kmeans_cells(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Spherical k-means; cells that run empty are put on the rows that fit worst."""
     rng = np.random.default_rng(seed)
@@ -59,6 +73,63 @@ def kmeans_cells(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     return c.astype(np.float32)
 
 
+def turned(x: np.ndarray, sim: float, seed: int = 7) -> np.ndarray:
+    """A vector at the cosine ``sim`` from each, in a random direction."""
+    z = np.random.default_rng(seed).normal(size=x.shape).astype(np.float32)
+    z -= (z * x).sum(1, keepdims=True) * x
+    return sim * x + np.sqrt(1 - sim * sim) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+
+
+def probes_for(reps: DataFrame, n: int, cells: np.ndarray, k: int, floor: float | None, dim: int, both: bool, seed: int) -> int:
+    """Cells to search: with as many, the true neighbours of ``ASKED`` queries are found but for 1 - ``RECALL``.
+
+    The queries are drawn by hash and compared with all rows; each task keeps the k best of each. Where every vector is
+    a query, a pair is found from either side.
+    """
+    share = min(1.0, ASKED / max(n, 1))
+    asked = reps.where(F.pmod(F.xxhash64(F.lit(seed + 1), "vec_id"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select("vec_id", "code").toArrow()
+    if not asked.num_rows:
+        return len(cells)
+    q = unpacked(asked.column(1), dim)
+    shared = reps.sparkSession.sparkContext.broadcast((asked.column(0).to_numpy(), q, cells))  # about ASKED queries
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, cells = shared.value
+        place = _places(q, cells)
+        own = (q @ cells.T).argmax(1)
+        best_s, best_need = np.full((len(q), k), -2, np.float32), np.zeros((len(q), k), np.int32)
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
+                v = unpacked(part.column(1), dim)
+                s = q @ v.T
+                s[ids[:, None] == part.column(0).to_numpy()[None]] = -2
+                kk = min(k, len(v))
+                i = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+                there = _places(v[i.ravel()], cells) if both else None
+                need = place[np.arange(len(q))[:, None], (v @ cells.T).argmax(1)[i]]
+                if both:
+                    need = np.minimum(need, there[np.arange(i.size), np.repeat(own, kk)].reshape(i.shape))
+                best_s = np.concatenate([best_s, np.take_along_axis(s, i, 1)], axis=1)
+                best_need = np.concatenate([best_need, need], axis=1)
+                i = np.argpartition(-best_s, k - 1, axis=1)[:, :k]
+                best_s, best_need = np.take_along_axis(best_s, i, 1), np.take_along_axis(best_need, i, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), k)), pa.array(best_s.ravel().astype(float)), pa.array(best_need.ravel(), pa.int32())], names=["q", "s", "need"])
+
+    found = reps.select("vec_id", "code").mapInArrow(near, "q long, s double, need int").where(F.col("s") > (-1.5 if floor is None else floor))
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "need"))).where(F.col("r") <= k)
+    need = found.select("need").toArrow().column(0).to_numpy()  # k rows a query
+    return int(np.quantile(need, RECALL if floor is None else RECALL_FLOOR, method="higher")) + 1 if len(need) else 1
+
+
+def _places(q: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Place of each cell in each query's order."""
+    order = np.argsort(-(q @ cells.T), axis=1)
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, np.broadcast_to(np.arange(len(cells)), order.shape), 1)
+    return out
+
+
 class Codebooks:
     """16 centres for each pair of dimensions, fitted and used under the anisotropic loss."""
 
@@ -128,10 +199,7 @@ class Codebooks:
 
     def slack(self, x: np.ndarray, sim: float, seed: int = 7) -> float:
         """How far a scan falls short of the cosine at ``sim``, but for one in a thousand."""
-        rng = np.random.default_rng(seed)
-        z = rng.normal(size=x.shape).astype(np.float32)
-        z -= (z * x).sum(1, keepdims=True) * x
-        q = sim * x + np.sqrt(1 - sim * sim) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        q = turned(x, sim, seed)
         code = self.encode(x)
         got = np.zeros(len(x))
         qs = q.reshape(len(q), self.n_sub, self.width)
@@ -194,7 +262,7 @@ def best(owner: np.ndarray, other_id: np.ndarray, s: np.ndarray, k: int) -> np.n
 
 
 def coded(df: DataFrame, vec_id: str, vector: str, version: str | None, dim: int) -> DataFrame:
-    """(vec_id, v, code) of the usable rows, written once; code: 16-bit numbers."""
+    """(vec_id, v, code) of the usable rows, written once; code: 24-bit numbers."""
     src = df.select(F.col(vec_id).cast("long").alias("vec_id"), (F.col(version).cast("string") if version else F.lit("")).alias("v"), F.col(vector).cast("array<float>").alias("x")).where(F.col("vec_id").isNotNull() & (F.size("x") == dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,17 +288,18 @@ def _one_per_id(rows: DataFrame) -> DataFrame:
     return once.select("vec_id", "code", "h").unionByName(again.select("vec_id", "code", "h"))
 
 
-def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: int = 5, floor: float | None = None, probes: int | None = 3, queries: str | None = None, version: str | None = None, dim: int = 96, rerank: int = 64, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, block: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: int = 5, floor: float | None = None, probes: int | None = None, queries: str | None = None, version: str | None = None, dim: int = 96, rerank: int = 64, sample: tuple[int, int] = SAMPLE, cell_rows: int | None = None, block: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
     """(query_id, neighbor_id, cosine, rank): the k most similar others of each vector.
 
-    floor: only neighbours with at least this cosine. probes: cells searched per query (None: all of them).
+    floor: only neighbours with at least this cosine. probes: cells searched per query (None: by the wanted recall).
     queries: SQL condition on ``vec_id`` that picks the queries (default: every vector).
     """
     spark = df.sparkSession
-    rows = _one_per_id(coded(df, vec_id, vector, version, dim))
+    all_rows = coded(df, vec_id, vector, version, dim)
+    rows = _one_per_id(all_rows)
     # classes of equal vectors: searched by their smallest id
-    classes = rows.groupBy("h", F.hash("code").alias("h2")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2", "rep")
-    copies = cut(rows.select("vec_id", "h", F.hash("code").alias("h2")).join(classes, ["h", "h2"]).select("rep", "vec_id"), "knn-copies")
+    classes = rows.groupBy("h", F.hash("code").alias("h2")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2", "rep", _salts())
+    copies = cut(rows.select("vec_id", "h", F.hash("code").alias("h2"), _salt("vec_id")).join(classes, ["h", "h2", "salt"]).select("rep", "vec_id", "salt"), "knn-copies")
     is_query = F.coalesce(F.expr(queries), F.lit(False)) if queries else F.lit(True)
     reps = rows.join(copies.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti").select("vec_id", "code", is_query.alias("asks"))
     if queries:
@@ -238,21 +307,23 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
         told = copies.groupBy("rep").agg(F.bool_or(is_query).alias("told")).where("told").select(F.col("rep").alias("vec_id"), "told")
         reps = reps.join(told, "vec_id", "left").select("vec_id", "code", F.coalesce("told", "asks").alias("asks"))
     reps = cut(reps, "knn-vectors")
+    release(all_rows)
     n = reps.count()
-    share = min(1.0, sample / max(n, 1))
+    cell_rows = cell_rows or CELL_ROWS[floor is None]
+    share = min(1.0, float(np.clip(10 * n / cell_rows, *sample)) / max(n, 1))
     got = reps.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("code").toArrow()
     if not got.num_rows:
         got = reps.limit(100).select("code").toArrow()
     if not got.num_rows:
         return spark.createDataFrame([], "query_id long, neighbor_id long, cosine double, rank int")
-    x = from_code(np.frombuffer(b"".join(got.column(0).to_pylist()), np.int16).reshape(-1, dim))
+    x = unpacked(got.column(0), dim)
     n_cells = int(np.clip(n // cell_rows, 1, min(MAX_CELLS, max(1, len(x) // 10))))
     cells = kmeans_cells(x, n_cells, seed=seed)
     books = Codebooks(x[: min(len(x), 12_000)], seed=seed)
     slack = books.slack(x[:4000], floor) if floor is not None else 0.0
     sizes = np.bincount((x @ cells.T).argmax(1), minlength=n_cells) * (n / len(x))
     n_blocks = np.maximum(1, np.ceil(sizes / block)).astype(np.int64)
-    t = n_cells if probes is None else min(probes, n_cells)
+    t = min(probes or probes_for(reps, n, cells, k, floor, dim, queries is None, seed), n_cells)
     every = queries is None
     # cells and codebooks are bounded by MAX_CELLS x dim and 16 x dim numbers
     shared = spark.sparkContext.broadcast((cells, books, n_blocks))
@@ -263,7 +334,7 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
             for start in range(0, b.num_rows, 2000):
                 part = b.slice(start, 2000)
                 ids, raw, asks = part.column(0).to_numpy(), part.column(1), part.column(2).to_numpy(zero_copy_only=False)
-                v = from_code(np.frombuffer(b"".join(raw.to_pylist()), np.int16).reshape(-1, dim))
+                v = unpacked(raw, dim)
                 s = v @ cells.T
                 near = np.argpartition(-s, t - 1, axis=1)[:, :t]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1), 1)
@@ -298,7 +369,7 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
         _, books, n_blocks = shared.value
         role = group.column("role").to_numpy()
         ids = group.column("vec_id").to_numpy()
-        v = from_code(np.frombuffer(b"".join(group.column("code").to_pylist()), np.int16).reshape(-1, dim))
+        v = unpacked(group.column("code"), dim)
         mem = np.flatnonzero(role == 0)
         whole = every and n_blocks[group.column("cell")[0].as_py()] == 1
         ask = np.arange(len(role)) if whole else np.flatnonzero(role == 1)
@@ -322,14 +393,31 @@ def knn(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddings", k: in
     return found.select(F.col("q").alias("query_id"), F.col("m").alias("neighbor_id"), F.least(F.lit(1.0), "s").alias("cosine"), "rank")
 
 
+def _salt(col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("salt"), col), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
 def _with_copies(found: DataFrame, copies: DataFrame, k: int, queries: str | None) -> DataFrame:
-    """Shares what was found for one of equal vectors among all: its copies as neighbours (the first k + 1 do) and as queries."""
+    """Shares what was found for one of equal vectors among all: its copies as neighbours (the first k + 1 do) and as queries.
+
+    A class may be a third of all rows: its copies lie under several salts, and what each gets is cut to k + 1 rows first.
+    """
     if copies.isEmpty():
         return found
-    few = copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("rep", "vec_id")
+    by_salt = Window.partitionBy("rep", "salt").orderBy("vec_id")
+    few = copies.withColumn("r", F.row_number().over(by_salt)).where(F.col("r") <= k + 1)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("rep", "vec_id")
     m = found.join(few.select(F.col("rep").alias("m"), F.col("vec_id").alias("mm")), "m", "left").select("q", F.coalesce("mm", "m").alias("m"), "s")
     m = m.unionByName(few.select(F.col("rep").alias("q"), F.col("vec_id").alias("m"), F.lit(1.0).alias("s")))
-    q = m.join(copies.select(F.col("rep").alias("q"), F.col("vec_id").alias("qq")), "q", "left").select(F.coalesce("qq", "q").alias("q"), "m", "s").where("q <> m")
+    best_ = Window.partitionBy("q").orderBy(F.col("s").desc(), F.col("m").asc())
+    m = m.withColumn("r", F.row_number().over(best_)).where(F.col("r") <= k + 1).select("q", "m", "s")
+    alone = m.join(copies.select(F.col("rep").alias("q")).distinct(), "q", "left_anti")
+    shared = m.select("*", _salts()).join(copies.select(F.col("rep").alias("q"), F.col("vec_id").alias("qq"), "salt"), ["q", "salt"]).select(F.col("qq").alias("q"), "m", "s")
+    q = alone.unionByName(shared).where("q <> m")
     if queries:
         q = q.where(F.expr(queries.replace("vec_id", "q")))
     return q

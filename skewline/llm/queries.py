@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar of every vector whose id is divisible by 50, against all vectors."""
-    found = neighbors.knn(table(spark, d, "embedding_result"), k=5, probes=None, queries="vec_id % 50 = 0", version="extracted_at")
+    found = neighbors.knn(table(spark, d, "embedding_result"), k=5, queries="vec_id % 50 = 0", version="extracted_at")
     return found.select("query_id", "neighbor_id", "rank")
 
 

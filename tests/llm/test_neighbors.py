@@ -42,7 +42,7 @@ def test_all_cells_give_the_true_neighbours(spark, block):
     """Also where cells are cut into blocks that meet pairwise."""
     v = planted(300)
     df = frame(spark, [(i, x, 0) for i, x in v.items()])
-    found = N.knn(df, k=5, dim=16, cell_rows=50, probes=None, rerank=300, queries="vec_id % 10 = 0", block=block).collect()
+    found = N.knn(df, k=5, dim=16, cell_rows=50, probes=1000, rerank=300, queries="vec_id % 10 = 0", block=block).collect()
     got = {}
     for r in found:
         got.setdefault(r.query_id, []).append(r.neighbor_id)
@@ -52,14 +52,36 @@ def test_all_cells_give_the_true_neighbours(spark, block):
     assert hits / sum(len(js) for js in got.values()) >= 0.98
 
 
-def test_recall_with_default_probes_at_least_nine_tenths(spark):
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_of_the_default_call_without_a_floor(spark, sf, scale):
+    """Queries with ids divisible by 50 against all rows of the tables, nothing set but them."""
+    df = spark.read.parquet(sf.replace("sf0.001", scale) + "/embedding_result.parquet")
+    got = {(r.query_id, r.neighbor_id) for r in N.knn(df, queries="vec_id % 50 = 0", version="extracted_at").collect()}
+    x = {r.vec_id: np.array(r.embeddings, float) for r in df.where("vec_id is not null and size(embeddings) = 96").collect() if None not in r.embeddings}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items() if np.isfinite(v).all() and v.any()}
+    ids, m = np.array(sorted(x)), np.stack([x[i] for i in sorted(x)])
+    want = set()
+    for i in ids[ids % 50 == 0]:
+        s = m @ x[i]
+        s[ids == i] = -2
+        want |= {(int(i), int(j)) for j in ids[np.lexsort((ids, -s))[:5]]}
+    assert len(got & want) / len(want) >= 0.95 and len(got) == len(want)
+
+
+def test_recall_where_every_vector_is_a_query(spark):
     v = planted(900)
     df = frame(spark, [(i, x, 0) for i, x in v.items()])
-    got = {(r.query_id, r.neighbor_id) for r in N.knn(df, k=5, dim=16, cell_rows=900, probes=None, rerank=200).collect()}
+    got = {(r.query_id, r.neighbor_id) for r in N.knn(df, k=5, dim=16, cell_rows=100).collect()}
     want = {(i, j) for i, near in brute(v, 5).items() for j, _ in near}
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_vectors_keep_the_precision_of_floats():
+    x = np.random.default_rng(2).normal(size=(200, 96)).astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert np.abs(N.from_code(N.to_code(x).ravel(), 96) - unit).max() < 1e-7
+
+
 def test_copies_nulls_and_versions(spark):
     e = np.eye(4)
     rows = [(i, e[0] * (i + 1), 0) for i in range(9)] + [(20, e[1], 0), (20, e[1], 0), (21, e[1] + 0.1 * e[2], 0), (30, e[2], 0), (30, e[3], 1)]
@@ -86,7 +108,7 @@ def test_a_third_are_copies(spark):
 def test_copies_are_queries_though_their_smallest_id_is_none(spark):
     v = planted(300)
     v |= {1000 + i: v[7] for i in range(0, 20, 10)} | {2001: v[13], 2010: v[13] * 2}
-    found = N.knn(frame(spark, [(i, x, 0) for i, x in v.items()]), k=5, dim=16, cell_rows=50, probes=None, rerank=320, queries="vec_id % 10 = 0").collect()
+    found = N.knn(frame(spark, [(i, x, 0) for i, x in v.items()]), k=5, dim=16, cell_rows=50, probes=1000, rerank=320, queries="vec_id % 10 = 0").collect()
     got = {}
     for r in sorted(found, key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append(r.neighbor_id)
@@ -100,7 +122,7 @@ def test_copies_are_queries_though_their_smallest_id_is_none(spark):
 def test_a_condition_that_holds_for_all(spark, block):
     """Queries are searched in their nearest cell too, whatever the rows of their batch ask."""
     v = planted(300)
-    found = N.knn(frame(spark, [(i, x, 0) for i, x in v.items()]), k=5, dim=16, cell_rows=50, probes=None, rerank=300, queries="vec_id >= 0", block=block).collect()
+    found = N.knn(frame(spark, [(i, x, 0) for i, x in v.items()]), k=5, dim=16, cell_rows=50, probes=1000, rerank=300, queries="vec_id >= 0", block=block).collect()
     got = {(r.query_id, r.neighbor_id) for r in found}
     want = {(i, j) for i, near in brute(v, 5).items() for j, _ in near}
     assert len(got) == 5 * len(v) and len(got & want) / len(want) >= 0.98
