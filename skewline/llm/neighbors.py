@@ -28,7 +28,7 @@ from skewline.session import cut, release
 #: rows of the sample that cells and codebooks are fitted on: ten a cell, within these bounds
 SAMPLE = (30_000, 200_000)
 #: queries whose true neighbours tell how many cells are searched; share of these that lie there, without and with a floor
-ASKED, RECALL, RECALL_FLOOR = 400, 0.98, 0.995
+ASKED, RECALL, RECALL_FLOOR = 1000, 0.98, 0.99
 #: rows of equal vectors that meet on one key
 SALTS = 8
 #: error weights: the threshold T of the score-aware loss, eta = (d - 1) T^2 / (1 - T^2)
