@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skewline.operators.bank import CLASS, GROUP, ID, LABEL, ScoreBank
 from skewline.operators.metrics import summary
 from skewline.operators.pooling import pool_image_scores
+from skewline.operators.ranks import percentiles
 
 
 def hardest_classes(bank: ScoreBank, detector: str, least: int = 5, top_k: int = 12) -> DataFrame:
@@ -33,12 +34,19 @@ def auroc_by_class_and_group(bank: ScoreBank, detector: str, id_group: str, leas
     return n.join(m, [CLASS, GROUP]).select(CLASS, GROUP, F.when(enough, F.col("auroc")).alias("auroc"), "n_id", "n_ood")
 
 
+#: the ID rows are ranked once with each domain: more domains than these are refused
+MAX_DOMAINS = 1000
+
+
 def per_domain(long: DataFrame, domain: str, keys: list[str] = ["detector"]) -> DataFrame:
     """keys, domain and the metrics of all ID rows against each domain's OOD rows."""
     ood = long.where(F.col(LABEL) == 1)
-    names = ood.select(domain).distinct()  # one row per domain
-    inside = long.where(F.col(LABEL) == 0).drop(domain).join(F.broadcast(names))
-    return summary(inside.select(long.columns).unionByName(ood), keys=[*keys, domain])
+    names = sorted(r[domain] for r in ood.select(domain).where(F.col(domain).isNotNull()).distinct().limit(MAX_DOMAINS + 1).collect())
+    if len(names) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    every = F.array(*[F.lit(n) for n in names]) if names else F.array().cast(f"array<{long.schema[domain].dataType.simpleString()}>")
+    inside = long.where(F.col(LABEL) == 0).withColumn(domain, F.explode(every))
+    return summary(inside.select(long.columns).unionByName(ood.where(F.col(domain).isNotNull())), keys=[*keys, domain])
 
 
 def image_metrics_by_pooling(chips: DataFrame, labels: DataFrame, methods: tuple[str, ...] = ("mean", "max", "topk_mean"), k: int = 3) -> DataFrame:
@@ -109,4 +117,6 @@ def top_chips(bank: ScoreBank, per: int = 5, direction: str = "ood") -> DataFram
 
 def group_summary(df: DataFrame, group: str, score: str, least: int = 5) -> DataFrame:
     """group, n, mean, p10, p90 of groups with enough rows."""
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.percentile(score, 0.1).alias("p10"), F.percentile(score, 0.9).alias("p90")).where(F.col("n") >= least)
+    d = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean")).where(F.col("n") >= least)
+    q = percentiles(df.where(F.col(group).isNotNull()), [group], score, [0.1, 0.9], "q").drop("n")
+    return d.join(q, group, "left").select(group, "n", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))

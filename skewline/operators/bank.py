@@ -44,8 +44,13 @@ class ScoreBank:
         return replace(self, df=cut(self.df, "bank"))
 
     def _with(self, name: str, scores: DataFrame, column: str, sample_id: str) -> DataFrame:
+        """The bank with a column more; every sample must have exactly one row (ValueError else)."""
         right = scores.select(F.col(sample_id).alias(ID), F.col(column).cast("float").alias(name))
-        return self.df.drop(name).join(right, ID, "left")
+        rows = right.groupBy(ID).agg(F.count(F.lit(1)).alias("_r"))
+        odd = self.df.select(ID, F.lit(1).alias("_b")).join(rows, ID, "full_outer").where("_b is null or _r is null or _r > 1").limit(3).collect()
+        if odd:
+            raise ValueError(f"{name} must have one row for each sample: {[r[ID] for r in odd]} lack one or have others")
+        return self.df.drop(name).join(right, ID)
 
     def add(self, name: str, scores: DataFrame, column: str = "score", sample_id: str = ID) -> ScoreBank:
         """Adds or replaces a detector's scores, joined on the sample."""
@@ -107,7 +112,7 @@ class ScoreBank:
         """(sample_id, detector, score, then ``keep`` or whatever labels there are)."""
         if not self.detectors:
             raise ValueError("the bank has no detectors")
-        keep = keep or tuple(c for c in (LABEL, CLASS, GROUP) if c in self.df.columns)
+        keep = tuple(k for k in keep if k != ID) if keep else tuple(c for c in (LABEL, CLASS, GROUP) if c in self.df.columns)
         return self.df.select(ID, *keep, *self.detectors).unpivot([ID, *keep], list(self.detectors), "detector", "score")
 
     def __repr__(self) -> str:

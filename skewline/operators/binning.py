@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skewline.operators.bank import CLASS, GROUP, LABEL, ScoreBank
+from skewline.operators.ranks import percentiles
 
 
 def place(value: Column, edges: Column) -> Column:
@@ -23,7 +28,7 @@ def score_vs_metric(bank: ScoreBank, metric: str, detectors: tuple[str, ...] | N
     detectors = detectors or bank.detectors
     long = bank.df.select(metric, *detectors).unpivot([metric], list(detectors), "detector", "score")
     n_bins = max(1, min(n_bins, bank.df.count()))
-    edges = long.groupBy("detector").agg(F.percentile(F.col("score").cast("double"), F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])).alias("edges"))
+    edges = percentiles(long, ["detector"], "score", [i / n_bins for i in range(n_bins + 1)], "edges").drop("n")
     d = long.join(F.broadcast(edges), "detector").withColumn("bin", place(F.col("score").cast("double"), F.slice("edges", 2, n_bins - 1) if n_bins > 1 else F.array().cast("array<double>")))
     got = d.groupBy("detector", "bin").agg(F.avg(F.col(metric).cast("double")).alias("mean_metric"), F.count(F.lit(1)).alias("n_samples"))
     spine = edges.select("detector", "edges", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
@@ -71,7 +76,7 @@ def score_histogram(bank: ScoreBank, bins: int = 30, standardize: bool = False)
 def gaussian_kde(df: DataFrame, keys: list[str], value: str, grid: int = 256, pad: float = 0.05, min_points: int = 2) -> DataFrame:
     """keys, point, x, density on a grid of the padded range, with Scott's bandwidth; keys with fewer or constant values drop out.
 
-    Each value adds to the grid by an explode, so the sums are combined before they are shuffled.
+    Each task adds its values up on its keys' grids, in arrays, before anything is shuffled.
     """
     d = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("n") >= max(2, min_points)).where("sd > 0")
@@ -79,10 +84,31 @@ def gaussian_kde(df: DataFrame, keys: list[str], value: str, grid: int = 256, pa
     lo, hi = F.col("lo") - pad * span, F.col("hi") + pad * span
     stats = stats.select(*keys, "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"), lo.alias("a"), ((hi - lo) / (grid - 1)).alias("step"))
     joined = d.join(stats, keys) if keys else d.join(F.broadcast(stats))  # without keys one row
-    each = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    x = F.col("a") + F.col("point") * F.col("step")
-    bump = F.exp(-0.5 * ((x - F.col("v")) / F.col("h")) ** 2)
-    return each.groupBy(*keys, "point").agg(F.first(x).alias("x"), (F.sum(bump) / F.first(F.col("n") * F.col("h") * F.sqrt(F.lit(2 * np.pi)))).alias("density"))
+    joined = joined.select(*keys, "v", "n", "h", "a", "step")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, sums = np.arange(grid), {}
+        for b in batches:
+            names = [b.column(i).to_pylist() for i in range(len(keys))]
+            v, n, h, a, step = (b.column(len(keys) + i).to_numpy() for i in range(5))
+            place: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*names) if names else [()] * len(v)):
+                place.setdefault(key, []).append(i)
+            for key, rows in place.items():
+                i = rows[0]
+                x = a[i] + points * step[i]
+                at = sums.setdefault(key, (n[i], h[i], a[i], step[i], np.zeros(grid)))[4]
+                for s in range(0, len(rows), 4096):
+                    at += np.exp(-0.5 * ((x - v[rows[s : s + 4096], None]) / h[i]) ** 2).sum(0)
+        cols = [pa.array([k[i] for k in sums], f) for i, f in enumerate(kinds)]
+        rest = [pa.array([x[i] for x in sums.values()], pa.int64() if i == 0 else pa.float64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*cols, *rest, pa.array([x[4] for x in sums.values()], pa.list_(pa.float64()))], names=[*keys, "n", "h", "a", "step", "sums"])
+
+    kinds = [to_arrow_type(joined.schema[k].dataType) for k in keys]
+    schema = ", ".join([*(f"`{k}` {joined.schema[k].dataType.simpleString()}" for k in keys), "n long, h double, a double, step double, sums array<double>"])
+    each = joined.mapInArrow(add, schema).select(*keys, "n", "h", "a", "step", F.posexplode("sums").alias("point", "s"))
+    out = each.groupBy(*keys, "point", "n", "h", "a", "step").agg(F.sum("s").alias("s"))
+    return out.select(*keys, "point", (F.col("a") + F.col("point") * F.col("step")).alias("x"), (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * np.pi)))).alias("density"))
 
 
 def score_kde(bank: ScoreBank, standardize: bool = False, grid: int = 256) -> DataFrame:

@@ -71,3 +71,21 @@ def chip_stream(records: DataFrame, image_idx: str = "image_idx", class_names: l
         name.append(F.col("grp"))
     ordinal = (F.row_number().over(Window.partitionBy(*by).orderBy("place")) - 1).cast("string")
     return d.withColumn("object_id", F.concat_ws("_", *name, ordinal))
+
+
+def sample_descriptor(stream: DataFrame, index: int, class_names: list[str] | None = None) -> dict:
+    """What there is of one chip: its numbers, path, ids, box, size, label with its name, and group. An unknown index is an IndexError."""
+    rows = stream.where(F.col("chip_idx") == index).limit(1).collect()
+    if not rows:
+        raise IndexError(index)
+    r = rows[0].asDict()
+    out = {"index": r["chip_idx"], "image_index": r["image_idx"], "image_path": r["image_path"], "image_id": r.get("image_id") or str(r["image_idx"]), "object_id": r["object_id"], "box_xyxy": list(r["box"])}
+    if "image_w" in r:
+        out["image_size"] = [r["image_w"], r["image_h"]]
+    if "label" in r:
+        out["label"] = r["label"]
+        if class_names and 0 <= r["label"] < len(class_names):
+            out["class_name"] = class_names[r["label"]]
+    if "grp" in r:
+        out["group"] = r["grp"]
+    return out

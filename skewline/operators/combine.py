@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skewline.operators.ranks import dense
+
 
 def ood_labels_from_counts(spark: SparkSession, n_id: int, n_ood: int) -> DataFrame:
     """sample_id, ood: zeros, then ones."""
@@ -52,13 +54,11 @@ def concatenate(blocks: list[DataFrame], flags: list[int], sample_id: str = "sam
 
 
 def dense_ids(df: DataFrame, order: list[str], out: str, slices: int = 16) -> DataFrame:
-    """Numbers rows from 0 in the given order. Each value of the first column, cut by hash-free ranges of the second, is numbered apart and shifted by the counts before it."""
-    first, second = order[0], order[-1]
-    cuts = df.groupBy(first).agg(F.percentile_approx(F.col(second).cast("double"), F.array(*[F.lit(i / slices) for i in range(1, slices)])).alias("_cuts"))
-    d = df.join(F.broadcast(cuts), first).withColumn("_s", F.size(F.filter("_cuts", lambda c: c <= F.col(second).cast("double")))).drop("_cuts")
-    counts = d.groupBy(first, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(first, "_s").rowsBetween(Window.unboundedPreceding, -1)  # a few rows a block
-    counts = counts.select(first, "_s", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    d = d.join(F.broadcast(counts), [first, "_s"])
-    rank = F.row_number().over(Window.partitionBy(first, "_s").orderBy(second))
-    return d.withColumn("_id", (F.col("_before") + rank - 1).cast("long")).drop("_s", "_before", *([out] if out in df.columns else [])).withColumnRenamed("_id", out)
+    """Numbers rows from 0 by the first column, then by the last, whose values are distinct there: numbers or strings. Each value of the first is numbered apart, in ranges of the last, and shifted by the counts before it."""
+    first, last = order[0], order[-1]
+    d = dense(df, [first], last, "_id", slices)
+    counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    counts = counts.select(first, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    d = d.join(F.broadcast(counts), first)
+    return d.withColumn("_id", (F.col("_before") + F.col("_id")).cast("long")).drop("_before", *([out] if out in df.columns else [])).withColumnRenamed("_id", out)

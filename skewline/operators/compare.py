@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.operators.bank import CLASS, GROUP, ID, LABEL, ScoreBank
+from skewline.operators.ranks import running
 
 
 def ordinal_ranks(bank: ScoreBank) -> DataFrame:
     """sample_id and the 0-based ordinal rank of each detector's ascending score; ties by sample_id."""
-    ranks = [(F.row_number().over(Window.orderBy(F.isnan(d), F.col(d), ID)) - 1).cast("long").alias(d) for d in bank.detectors]
-    return bank.df.select(ID, *ranks)
+    long = running(bank.long(ID), ["detector"], "score", {"k": F.lit(1).cast("long")}, ascending=True, tie=ID)
+    return long.groupBy(ID).agg(*[F.max(F.when(F.col("detector") == d, F.col("k") - 1)).alias(d) for d in bank.detectors])
 
 
 def rank_samples(bank: ScoreBank, detector: str, top_k: int = 20, direction: str = "ood", rank_range: tuple[int, int] | None = None) -> DataFrame:
@@ -74,7 +75,7 @@ def score_correlation(bank: ScoreBank, method: str = "spearman") -> DataFrame:
 
 
 def normalize_scores(bank: ScoreBank, method: str = "standardize") -> ScoreBank:
-    """Scores less their mean over their population deviation (0 counts as 1), or scaled to [0, 1] (constant: 0). Labels, groups and names stay."""
+    """Scores less their mean over their population deviation (0 counts as 1), or scaled to [0, 1] (constant: 0). The new bank keeps labels, classes and metrics, but no groups and no class names."""
     if method not in ("standardize", "minmax"):
         raise ValueError("method must be standardize or minmax")
     ds = bank.detectors
@@ -85,5 +86,5 @@ def normalize_scores(bank: ScoreBank, method: str = "standardize") -> ScoreBank:
     for d in ds:
         m, s, lo, hi = (F.col(f"_{n}_{d}") for n in ("m", "s", "lo", "hi"))
         out[d] = (c(d) - m) / F.when(s > 0, s).otherwise(F.lit(1.0)) if method == "standardize" else F.when(hi > lo, (c(d) - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    cols = [out[x].cast("float").alias(x) if x in out else F.col(x) for x in bank.df.columns]
-    return replace(bank, df=joined.select(*cols))
+    cols = [out[x].cast("float").alias(x) if x in out else F.col(x) for x in bank.df.columns if x != GROUP]
+    return replace(bank, df=joined.select(*cols), class_names=None)

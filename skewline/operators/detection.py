@@ -6,10 +6,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewline.functions.boxes import is_valid
+from skewline.operators.ranks import dense
 from skewline.session import cut
 
 
@@ -41,7 +42,9 @@ def _prepare(df: DataFrame, what: str, id_col: str, prefix: str, order: str | No
     if order is None and id_col not in df.columns:
         raise ValueError(f"{what} need an {id_col} column or an order column")
     pos = F.col(order).cast("long") if order else F.xxhash64(id_col)
-    given = F.col(id_col).cast("string") if id_col in df.columns else F.concat(F.lit(prefix), F.row_number().over(Window.orderBy(order)) - 1)
+    if id_col not in df.columns:
+        df = dense(df, [], order, "_number")
+    given = F.col(id_col).cast("string") if id_col in df.columns else F.concat(F.lit(prefix), F.col("_number"))
     box = F.when(is_valid(F.col("bbox")), F.col("bbox").cast("array<double>")).otherwise(F.raise_error(F.lit("a box must have four values and positive sides")))
     cols = [F.col("image_id"), F.col("class_id").cast("int").alias("class_id"), _class_name(df, names).alias("class_name"), box.alias("bbox"), given.alias(id_col), pos.alias("ord")]
     if prefix == "det_":
@@ -71,6 +74,10 @@ def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
+#: pairs of a group that are compared as one matrix; boxes that one call matches, about
+_MATRIX, _PACK = 4_000_000, 20_000
+
+
 def greedy(det: np.ndarray, conf: np.ndarray, det_ord: np.ndarray, gt: np.ndarray, gt_ord: np.ndarray, gt_id: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gt of each detection or -1, its IoU, detection of each gt or -1, its IoU).
 
@@ -81,27 +88,32 @@ def greedy(det: np.ndarray, conf: np.ndarray, det_ord: np.ndarray, gt: np.ndarra
     hit, own, back, best = np.full(len(det), -1), np.zeros(len(det)), np.full(len(gt), -1), np.zeros(len(gt))
     if not len(det) or not len(gt):
         return hit, own, back, best
-    m = _iou_matrix(det, gt)
-    free = np.ones(len(gt), bool)
+    # a crowded group is gone through row by row, so memory stays at one side's size
+    m = _iou_matrix(det, gt) if len(det) * len(gt) <= _MATRIX else None
+    free, most = np.ones(len(gt), bool), np.zeros(len(gt))
+    _, same = np.unique(gt_id.astype(str), return_inverse=True)
     by = np.lexsort((gt_ord, np.zeros(len(gt))))[::-1]  # later places first, so argmax prefers them
     for d in np.lexsort((det_ord, -np.nan_to_num(conf, nan=-np.inf))):
-        row = np.where(free & (m[d] >= threshold), m[d], -1.0)[by]
+        all_ = m[d] if m is not None else _iou_matrix(det[d : d + 1], gt)[0]
+        np.maximum(most, all_, out=most)
+        row = np.where(free & (all_ >= threshold), all_, -1.0)[by]
         g = by[row.argmax()]
         if row.max() >= 0:
-            hit[d], own[d] = g, m[d, g]
-            back[g], best[g] = d, m[d, g]
-            free &= gt_id != gt_id[g]
+            hit[d], own[d] = g, all_[g]
+            taken = same == same[g]
+            back[taken], best[taken] = d, all_[g]
+            free &= ~taken
         else:
-            own[d] = m[d].max()
+            own[d] = all_.max()
     miss = back < 0
-    best[miss] = m[:, miss].max(0) if miss.any() else best[miss]
+    best[miss] = most[miss]
     return hit, own, back, best
 
 
 def match(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of both sides with side, key, status, other and iou: a fold over each (image, class), which are groups of boxes of one image.
 
-    Only keys, boxes and confidences are shuffled.
+    Only keys, boxes and confidences are shuffled. A call takes many groups, those of one hash, about ``_PACK`` boxes.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("iou_threshold must be in [0, 1]")
@@ -109,25 +121,40 @@ def match(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
     a = side(det, "detection_id", F.col("confidence"))
     b = side(gt, "gt_id", F.lit(None).cast("double"))
 
+    packs = max(1, -(-(det.count() + gt.count()) // _PACK))
+    pack = F.pmod(F.xxhash64("image_id", "class_id"), F.lit(packs)).alias("pack")
+    a, b = a.withColumn("pack", pack), b.withColumn("pack", pack)
+
     def fold(left: pa.Table, right: pa.Table) -> pa.Table:
-        box = lambda t: np.array(t.column("bbox").combine_chunks().flatten()).reshape(-1, 4) if t.num_rows else np.zeros((0, 4))
-        num = lambda t, c: t.column(c).to_numpy() if t.num_rows else np.zeros(0)
-        dk, gk = np.array(left.column("key").to_pylist(), object), np.array(right.column("key").to_pylist(), object)
-        hit, own, back, best = greedy(box(left), num(left, "conf").astype(float), num(left, "ord"), box(right), num(right, "ord"), gk, threshold)
-        some = left if left.num_rows else right
-        n, m = len(dk), len(gk)
+        codes: dict[tuple, int] = {}
+        sides = []
+        for t in (left, right):
+            code = np.array([codes.setdefault(k, len(codes)) for k in zip(t.column("image_id").to_pylist(), t.column("class_id").to_pylist())], np.int64)
+            order = np.lexsort((np.array(t.column("key").to_pylist(), str), t.column("ord").to_numpy(), code)) if len(code) else code
+            t = t.take(pa.array(order))
+            box = t.column("bbox").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4) if len(code) else np.zeros((0, 4))
+            sides.append((t, code[order], box, t.column("ord").to_numpy(), np.array(t.column("key").to_pylist(), object)))
+        (left, dc, dbox, dord, dk), (right, gc, gbox, gord, gk) = sides
+        conf = left.column("conf").to_numpy().astype(float) if left.num_rows else np.zeros(0)
+        every = np.arange(len(codes) + 1)
+        da, ga = np.searchsorted(dc, every), np.searchsorted(gc, every)
+        hit, own, back, best = np.full(len(dk), -1), np.zeros(len(dk)), np.full(len(gk), -1), np.zeros(len(gk))
+        for g in range(len(codes)):
+            d, q = slice(da[g], da[g + 1]), slice(ga[g], ga[g + 1])
+            if d.start == d.stop or q.start == q.stop:
+                continue
+            h, own[d], b, best[q] = greedy(dbox[d], conf[d], dord[d], gbox[q], gord[q], gk[q], threshold)
+            hit[d], back[q] = np.where(h >= 0, h + q.start, -1), np.where(b >= 0, b + d.start, -1)
+        both = lambda c: pa.concat_arrays([left.column(c).combine_chunks(), right.column(c).combine_chunks()])
         return pa.table({
-            "image_id": pa.array([some.column("image_id")[0].as_py()] * (n + m), some.schema.field("image_id").type),
-            "class_id": pa.array([some.column("class_id")[0].as_py()] * (n + m), pa.int32()),
-            "side": pa.array(["det"] * n + ["gt"] * m), "key": pa.array([*dk, *gk], pa.string()),
-            "ord": pa.array([*num(left, "ord").astype(np.int64), *num(right, "ord").astype(np.int64)], pa.int64()),
-            "status": pa.array(["TP" if h >= 0 else "FP" for h in hit] + ["TP" if h >= 0 else "FN" for h in back]),
+            "image_id": both("image_id"), "class_id": both("class_id"), "side": pa.array(["det"] * len(dk) + ["gt"] * len(gk)), "key": both("key"), "ord": both("ord"),
+            "status": pa.array(np.concatenate([np.where(hit >= 0, "TP", "FP"), np.where(back >= 0, "TP", "FN")]).astype(object), pa.string()),
             "other": pa.array([gk[h] if h >= 0 else None for h in hit] + [dk[h] if h >= 0 else None for h in back], pa.string()),
-            "iou": pa.array([*own, *best], pa.float64()),
+            "iou": pa.array(np.concatenate([own, best])),
         })
 
     kind = dict(det.dtypes)["image_id"]
-    return a.groupBy("image_id", "class_id").cogroup(b.groupBy("image_id", "class_id")).applyInArrow(fold, f"image_id {kind}, class_id int, side string, key string, ord long, status string, other string, iou double")
+    return a.groupBy("pack").cogroup(b.groupBy("pack")).applyInArrow(fold, f"image_id {kind}, class_id int, side string, key string, ord long, status string, other string, iou double")
 
 
 def enrich(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from skewline.functions.vectors import doubles, logsumexp, max_softmax, rowwise, scaled, to_matrix
 from skewline.operators.linalg import explained, moments, principal_dim, spectrum
+from skewline.operators.ranks import percentiles
+from skewline.session import cut
 
 
 @dataclass(frozen=True)
@@ -113,27 +115,27 @@ class Energy(Detector):
         return F.lit(-self.temperature) * logsumexp(scaled(F.col(self._col("logits")), self.temperature))
 
 
-#: numbers that the bank of a broadcast nearest-neighbour search may hold
-BANK_LIMIT = 100_000_000
+#: numbers that the bank of a broadcast nearest-neighbour search may hold; numbers of a block beyond that
+BANK_LIMIT, BLOCK_NUMBERS = 4_000_000, 4_000_000
 
 
 class KNN(Detector):
     """Distance to the k-th nearest training row (a training row counts itself).
 
-    The bank is collected only up to BANK_LIMIT numbers; ``transform`` beyond that joins blocks of the bank instead
-    (see ``block_knn``), which needs an id column.
+    The bank is broadcast only up to ``bank_limit`` numbers; beyond that ``transform`` writes the rows with a number each
+    and meets them with blocks of the bank (``block_knn``), with the same scores for every metric.
     """
 
     needs = ("embeddings",)
     METRICS = ("euclidean", "manhattan", "cosine", "chebyshev")
 
-    def __init__(self, k: int = 10, metric: str = "euclidean", features: Features | None = None):
+    def __init__(self, k: int = 10, metric: str = "euclidean", features: Features | None = None, bank_limit: int = BANK_LIMIT, block_numbers: int = BLOCK_NUMBERS):
         super().__init__(features)
         if k < 1:
             raise ValueError("k must be at least 1")
         if metric not in self.METRICS:
             raise ValueError(f"metric must be one of {self.METRICS}")
-        self.k, self.metric = k, metric
+        self.k, self.metric, self.bank_limit, self.block_numbers = k, metric, bank_limit, block_numbers
 
     def _fit(self, df, y):
         col = doubles(F.col(self._col("embeddings")))
@@ -142,15 +144,23 @@ class KNN(Detector):
         if shape["n"] < self.k:
             raise ValueError("fewer training rows than k")
         self.bank_df, self.bank = bank, None
-        if shape["n"] * shape["f"] <= BANK_LIMIT:
+        if shape["n"] * shape["f"] <= self.bank_limit:
             self.bank = to_matrix(bank.toArrow().column(0))
 
     def _score(self):
         if self.bank is None:
-            raise ValueError("the bank is too large to broadcast: use block_knn")
+            raise ValueError("the bank is too large for a column: use transform")
         bank, k, metric = self.bank, self.k, self.metric
         return rowwise(lambda q: kth_distance(q, bank, k, metric))(F.col(self._col("embeddings")))
 
+    def transform(self, df: DataFrame, out: str = "score") -> DataFrame:
+        if not self._fitted or self.bank is not None:
+            return super().transform(df, out)
+        x = self._col("embeddings")
+        rows = cut(df.withColumn("_knn_row", F.monotonically_increasing_id()), "knn-rows")
+        got = block_knn(rows.where(F.col(x).isNotNull()), self.bank_df, "_knn_row", x, self.k, self.metric, "x", self.block_numbers)
+        return rows.join(got.withColumnRenamed("score", out), "_knn_row", "left").select(*df.columns, out)
+
 
 def distances(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
@@ -179,25 +189,34 @@ def kth_distance(q: np.ndarray, bank: np.ndarray, k: int, metric: str = "euclide
     return out
 
 
-def block_knn(queries: DataFrame, bank: DataFrame, id_col: str, vector: str, k: int = 10, blocks: int = 64, query_blocks: int = 64) -> DataFrame:
+def block_knn(queries: DataFrame, bank: DataFrame, id_col: str, vector: str, k: int = 10, metric: str = "euclidean", bank_vector: str | None = None, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """(id, distance): distance to the k-th nearest bank row, for banks of any size.
 
     Queries and bank meet block by block in tasks of their own; each keeps the k least distances of a query, which are
-    merged by one aggregation. This is the exact search of a stated query set against all rows.
+    merged by one aggregation. This is the exact search of a stated query set against all rows. Blocks hold about
+    ``block_numbers`` numbers; each side is copied once for each block of the other.
     """
     import pyarrow as pa
 
+    bank_vector = bank_vector or vector
+    count = lambda d, v: d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(v)).alias("f")).head()
+    nq, nb = count(queries, vector), count(bank, bank_vector)
+    of = lambda r: max(1, -(-(r["n"] * (r["f"] or 1)) // block_numbers))
+    query_blocks, blocks = of(nq), of(nb)
     q = queries.select(F.col(id_col).alias("id"), doubles(F.col(vector)).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(query_blocks)).alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    b = bank.select(doubles(F.col(vector)).alias("x"), F.pmod(F.xxhash64(vector), F.lit(blocks)).cast("long").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    b = bank.select(doubles(F.col(bank_vector)).alias("x"), F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("long").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, out_i, out_d = left.column("id"), [], []
         if left.num_rows and right.num_rows:
             x, t = to_matrix(left.column("x")), to_matrix(right.column("x"))
             for a in range(0, len(x), 256):
-                d = distances(x[a : a + 256], t, "euclidean")
+                d = distances(x[a : a + 256], t, metric)
                 kk = min(k, len(t))
-                d = np.partition(d, kk - 1, axis=1)[:, :kk]
+                near_ = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+                d = np.take_along_axis(d, near_, 1)
+                if metric == "euclidean":  # differences instead of expanded squares, which cancel near 0
+                    d = np.sqrt(((x[a : a + 256, None] - t[near_]) ** 2).sum(2))
                 out_i.append(np.repeat(np.arange(a, a + len(d)), kk))
                 out_d.append(d.ravel())
         i = np.concatenate(out_i) if out_i else np.zeros(0, np.int64)
@@ -409,8 +428,9 @@ class WDiscOOD(Detector):
         _, top = spectrum(half @ sb @ half)
         self.V, _ = np.linalg.qr(half @ top[:, :k])
         self.mean, self.centers = m.mean, delta @ self.V
-        med = df.select(self._distance("wd")(F.col(x)).alias("a"), self._distance("wdr")(F.col(x)).alias("b")).agg(F.percentile("a", 0.5).alias("a"), F.percentile("b", 0.5).alias("b")).head()
-        self.med_wd, self.med_wdr = med["a"], med["b"]
+        long = df.select(self._distance("wd")(F.col(x)).alias("wd"), self._distance("wdr")(F.col(x)).alias("wdr")).unpivot([], ["wd", "wdr"], "kind", "v")
+        med = {r["kind"]: r["m"][0] for r in percentiles(long, ["kind"], "v", [0.5], "m").collect()}  # two rows
+        self.med_wd, self.med_wdr = med["wd"], med["wdr"]
 
     def _distance(self, kind: str):
         mean, V, centers = self.mean, self.V, self.centers

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skewline.operators.binning import calibration_bins
 from skewline.operators.masks import grouped_split
 from skewline.operators.metrics import classification_metrics
+from skewline.operators.ranks import percentiles
 
 CONFIDENCE = ("mean_detection_confidence", "max_detection_confidence", "min_detection_confidence", "num_detections")
 CHIP = ("chip_ood_mean", "chip_ood_max", "chip_ood_p90", "chip_ood_std", "num_chips")
@@ -49,13 +50,16 @@ class LogisticPipeline:
         from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
         raw = self._numbers()
-        aggs = [x for i, n in enumerate(self.numeric) for x in (F.percentile(raw[n], 0.5).alias(f"m{i}"), F.count_if(raw[n].isNull()).alias(f"z{i}"))]
+        aggs = [F.count_if(raw[n].isNull()).alias(f"z{i}") for i, n in enumerate(self.numeric)]
         yv = F.col(y).cast("int")
         stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(yv).alias("pos"), *aggs).head()
         n, pos = stats["n"], stats["pos"] or 0
         if n == 0 or pos in (0, n):
             raise ValueError("both classes are needed to fit")
-        self.medians = {c: stats[f"m{i}"] if stats[f"m{i}"] is not None else 0.0 for i, c in enumerate(self.numeric)}
+        self.medians = dict.fromkeys(self.numeric, 0.0)
+        if self.numeric:
+            long = df.select(*[raw[c].alias(c) for c in self.numeric]).unpivot([], list(self.numeric), "name", "v")
+            self.medians |= {r["name"]: r["m"][0] for r in percentiles(long, ["name"], "v", [0.5], "m").collect()}  # one row a column
         self.missing = [c for i, c in enumerate(self.numeric) if stats[f"z{i}"] > 0]
         cols = self._filled()
         moments = df.agg(*[x for i, v in enumerate(cols.values()) for x in (F.avg(v).alias(f"a{i}"), F.stddev_pop(v).alias(f"s{i}"))]).head() if cols else None
@@ -132,7 +136,7 @@ def confidence_ood_failure(df: DataFrame, confidence: str = "mean_detection_conf
     """bin, n, low_cut, high_cut, low_failure, high_failure: within equal-width bins of confidence, the failure rates below the .33 and above the .67 quantile of the OOD score."""
     c = F.col(confidence).cast("double")
     d = df.select(F.least(F.floor(c * n_bins), F.lit(n_bins - 1)).cast("int").alias("bin"), F.col(ood).cast("double").alias("o"), F.col(failure).cast("double").alias("f")).where("bin is not null and o is not null and not isnan(o) and f is not null")
-    cuts = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.percentile("o", 0.33).alias("low_cut"), F.percentile("o", 0.67).alias("high_cut")).where(F.col("n") >= least)
+    cuts = percentiles(d, ["bin"], "o", [0.33, 0.67], "q").where(F.col("n") >= least).select("bin", "n", F.col("q")[0].alias("low_cut"), F.col("q")[1].alias("high_cut"))
     j = d.join(F.broadcast(cuts), "bin")  # one row a bin
     return j.groupBy("bin", "n", "low_cut", "high_cut").agg(F.avg(F.when(F.col("o") <= F.col("low_cut"), F.col("f"))).alias("low_failure"), F.avg(F.when(F.col("o") >= F.col("high_cut"), F.col("f"))).alias("high_failure"))
 

@@ -1,40 +1,26 @@
 """Ranking metrics over ordered samples.
 
 Order: score descending (ascending for the ID side), NaN last, then ``sample_id``. Ties are not collapsed: each row is a
-step. A ranking is cut into value buckets whose counts give each bucket its offset, so one detector's prefix sums are
-spread over ``buckets`` tasks.
+step. A ranking is cut into buckets whose counts give each its offset (``ranks``), so one detector's prefix sums are
+spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewline.operators.bank import CLASS, ID, LABEL, ScoreBank
+from skewline.operators.ranks import BUCKETS, running
 
 METRICS = ("auroc", "fpr95", "aupr_ood", "aupr_id", "det_err")
 
 
-def ranked(long: DataFrame, keys: list[str], positive: Column, ascending: bool = False, buckets: int = 1, score: str = "score", sample_id: str = ID) -> DataFrame:
+def ranked(long: DataFrame, keys: list[str], positive: Column, ascending: bool = False, score: str = "score", sample_id: str = ID, buckets: int = BUCKETS) -> DataFrame:
     """Adds pos (0/1), tp (positives so far), k (rows so far), n_pos and n to each row of each key's ranking."""
-    s = F.col(score).cast("double")
-    s = F.when(F.isnan(s), F.lit(None)).otherwise(-s if ascending else s)
-    d = long.withColumn("pos", positive.cast("long")).withColumn("_s", s)
-    if buckets > 1:
-        cuts = d.groupBy(*keys).agg(F.percentile_approx("_s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 2000).alias("_cuts"))
-        d = d.join(cuts, keys, "left")
-        d = d.withColumn("_b", F.when(F.col("_s").isNull(), F.lit(buckets)).otherwise(F.size(F.filter("_cuts", lambda c: c > F.col("_s"))))).drop("_cuts")
-    else:
-        d = d.withColumn("_b", F.lit(0))
-    parts = d.groupBy(*keys, "_b").agg(F.sum("pos").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    zero = F.lit(0).cast("long")
-    parts = parts.select(*keys, "_b", F.coalesce(F.sum("_p").over(before), zero).alias("_p0"), F.coalesce(F.sum("_n").over(before), zero).alias("_n0"), F.sum("_p").over(whole).alias("n_pos"), F.sum("_n").over(whole).alias("n"))
-    order = Window.partitionBy(*keys, "_b").orderBy(F.col("_s").desc_nulls_last(), F.col(sample_id).asc())
-    d = d.withColumn("_tp", F.sum("pos").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(order))
-    d = d.join(parts, [*keys, "_b"])
-    return d.withColumn("tp", F.col("_p0") + F.col("_tp")).withColumn("k", F.col("_n0") + F.col("_k")).drop("_s", "_b", "_p0", "_n0", "_tp", "_k")
+    d = long.withColumn("pos", positive.cast("long"))
+    r = running(d, keys, score, {"tp": F.col("pos"), "k": F.lit(1).cast("long")}, ascending, sample_id, buckets)
+    return r.withColumnsRenamed({"tp_all": "n_pos", "k_all": "n"})
 
 
 def _labels(df: DataFrame, label: str) -> Column:
@@ -42,27 +28,27 @@ def _labels(df: DataFrame, label: str) -> Column:
     return F.when(y.isin(0, 1), y).otherwise(F.raise_error(F.lit("labels must be 0 or 1")))
 
 
-def roc_points(long: DataFrame, keys: list[str] = ["detector"], label: str = LABEL, buckets: int = 1) -> DataFrame:
+def roc_points(long: DataFrame, keys: list[str] = ["detector"], label: str = LABEL) -> DataFrame:
     """keys, k, fpr, tpr: one point per row, and the origin as k = 0; both classes are needed."""
-    r = ranked(long, keys, _labels(long, label), buckets=buckets)
+    r = ranked(long, keys, _labels(long, label))
     pts = r.select(*keys, "k", F.try_divide(F.col("k") - F.col("tp"), F.col("n") - F.col("n_pos")).alias("fpr"), F.try_divide("tp", "n_pos").alias("tpr"))
     origin = long.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(origin)
 
 
-def pr_points(long: DataFrame, positive: str = "ood", keys: list[str] = ["detector"], label: str = LABEL, buckets: int = 1) -> DataFrame:
+def pr_points(long: DataFrame, positive: str = "ood", keys: list[str] = ["detector"], label: str = LABEL) -> DataFrame:
     """keys, k, recall, precision, with the sentinel (0, 1) as k = 0. positive: ``ood``, or ``id`` (ranked by ascending score)."""
     if positive not in ("ood", "id"):
         raise ValueError("positive must be ood or id")
     y = _labels(long, label)
-    r = ranked(long, keys, y if positive == "ood" else 1 - y, ascending=positive == "id", buckets=buckets)
+    r = ranked(long, keys, y if positive == "ood" else 1 - y, ascending=positive == "id")
     pts = r.select(*keys, "k", F.try_divide("tp", "n_pos").alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
     first = long.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return pts.unionByName(first)
 
 
-def _roc_summary(long: DataFrame, keys: list[str], label: str, buckets: int, tpr: float) -> DataFrame:
-    r = ranked(long, keys, _labels(long, label), buckets=buckets)
+def _roc_summary(long: DataFrame, keys: list[str], label: str, tpr: float) -> DataFrame:
+    r = ranked(long, keys, _labels(long, label))
     n_neg = F.col("n") - F.col("n_pos")
     fp = F.col("k") - F.col("tp")
     rate, false = F.try_divide("tp", "n_pos"), F.try_divide(fp, n_neg)
@@ -84,22 +70,22 @@ def _precision_step() -> Column:
     return F.when(F.col("pos") == 1, (F.col("tp") / F.col("k") + before) / 2)
 
 
-def _aupr_id(long: DataFrame, keys: list[str], label: str, buckets: int) -> DataFrame:
-    r = ranked(long, keys, 1 - _labels(long, label), ascending=True, buckets=buckets)
+def _aupr_id(long: DataFrame, keys: list[str], label: str) -> DataFrame:
+    r = ranked(long, keys, 1 - _labels(long, label), ascending=True)
     return r.groupBy(*keys).agg(F.try_divide(F.sum(_precision_step()), F.max("n_pos")).alias("aupr_id"))
 
 
-def summary(long: DataFrame, keys: list[str] = ["detector"], label: str = LABEL, buckets: int = 1, tpr: float = 0.95) -> DataFrame:
+def summary(long: DataFrame, keys: list[str] = ["detector"], label: str = LABEL, tpr: float = 0.95) -> DataFrame:
     """keys, auroc, fpr95, aupr_ood, aupr_id, det_err: two rankings (descending and ascending) give all five. Null where a side is missing."""
-    down, up = _roc_summary(long, keys, label, buckets, tpr), _aupr_id(long, keys, label, buckets)
+    down, up = _roc_summary(long, keys, label, tpr), _aupr_id(long, keys, label)
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
     return down.join(up, keys).select(*keys, "auroc", "fpr95", "aupr_ood", F.when(both, F.col("aupr_id")).alias("aupr_id"), "det_err")
 
 
-def evaluate(bank: ScoreBank, buckets: int = 1) -> DataFrame:
+def evaluate(bank: ScoreBank) -> DataFrame:
     """detector and the five metrics. Raises ValueError without labels or detectors."""
     bank._need(LABEL, "ood labels")
-    return summary(bank.long(LABEL), buckets=buckets)
+    return summary(bank.long(LABEL))
 
 
 def evaluate_by_class(bank: ScoreBank, strict: bool = True) -> DataFrame:
@@ -137,11 +123,9 @@ class MetricsTable:
 
 def classification_metrics(df: DataFrame, keys: list[str], label: str = "y", p: str = "p") -> DataFrame:
     """keys, auroc, average_precision, brier, n: ties share their rank and are one step of precision; null where a class is missing."""
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     d = df.select(*keys, F.col(label).cast("long").alias("_y"), F.col(p).cast("double").alias("_p"))
     steps = d.groupBy(*keys, "_p").agg(F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_n"), F.sum((F.col("_p") - F.col("_y")) ** 2).alias("_sq"))
-    up = by.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("_tp", F.sum("_pos").over(up)).withColumn("_k", F.sum("_n").over(up)).withColumn("_np", F.sum("_pos").over(by)).withColumn("_nn", F.sum("_n").over(by))
+    steps = running(steps, keys, "_p", {"_tp": F.col("_pos"), "_k": F.col("_n")}).withColumnsRenamed({"_tp_all": "_np", "_k_all": "_nn"})
     neg = F.col("_n") - F.col("_pos")
     # of each negative the positives above it, and half of those beside it
     wins = neg * (F.col("_tp") - F.col("_pos") / 2)

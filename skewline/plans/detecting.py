@@ -93,10 +93,29 @@ def knn_scores_chebyshev(spark, d):
     return scored(D.KNN(10, "chebyshev", features=COLS), spark, d, digits=5)
 
 
+def _blocks(metric: str, spark, d) -> DataFrame:
+    """A bank beyond the limit of a broadcast, in several blocks."""
+    return scored(D.KNN(10, metric, COLS, bank_limit=1000, block_numbers=4000), spark, d, digits=5)
+
+
 @query(_knn("list_distance(q.x, t.x)"))
 def knn_scores_blocks(spark, d):
-    f = shapes.features(spark, d)
-    return D.block_knn(f.where("not train"), f.where("train"), "sample_id", "x", 10, 4, 4).withColumn("score", F.round("score", 5))
+    return _blocks("euclidean", spark, d)
+
+
+@query(_knn(_COS))
+def knn_scores_blocks_cosine(spark, d):
+    return _blocks("cosine", spark, d)
+
+
+@query(_knn("list_sum(list_transform(range(1, 65), lambda i: abs(q.x[i] - t.x[i])))"))
+def knn_scores_blocks_manhattan(spark, d):
+    return _blocks("manhattan", spark, d)
+
+
+@query(_knn("list_max(list_transform(range(1, 65), lambda i: abs(q.x[i] - t.x[i])))"))
+def knn_scores_blocks_chebyshev(spark, d):
+    return _blocks("chebyshev", spark, d)
 
 
 def gauss_jordan(out: str, source: str, n: int) -> str:

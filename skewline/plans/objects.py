@@ -232,11 +232,11 @@ def remap_classes(spark, d):
     return detection.remap_classes(shapes.boxes(spark, d)[0], m).select("detection_id", "class_name", "class_id")
 
 
-@query(f"WITH {shapes.SQL_BOXES}, l AS (SELECT image_id, ord AS label_id, bbox AS lb FROM gt WHERE ord % 5 = 0), j AS (SELECT p.image_id, p.ord AS chip_idx, l.label_id, abs(bbox[1] - lb[1]) + abs(bbox[2] - lb[2]) + abs(bbox[3] - lb[3]) + abs(bbox[4] - lb[4]) AS l1, {X.sql_iou('bbox', 'lb')} AS iou FROM pred p JOIN l USING (image_id)) SELECT image_id, chip_idx, label_id, l1, round(iou, 6) AS iou FROM j QUALIFY row_number() OVER (PARTITION BY image_id, chip_idx ORDER BY l1, -iou, label_id) = 1")
+@query(f"WITH {shapes.SQL_BOXES}, l AS (SELECT image_id, ord AS label_id, bbox AS lb FROM gt), j AS (SELECT p.image_id, p.ord AS chip_idx, l.label_id, abs(bbox[1] - lb[1]) + abs(bbox[2] - lb[2]) + abs(bbox[3] - lb[3]) + abs(bbox[4] - lb[4]) AS l1, {X.sql_iou('bbox', 'lb')} AS iou FROM pred p JOIN l USING (image_id)) SELECT image_id, chip_idx, label_id, l1, round(iou, 6) AS iou FROM j QUALIFY row_number() OVER (PARTITION BY image_id, chip_idx ORDER BY l1, -iou, label_id) = 1")
 def nearest_label(spark, d):
     p, g = shapes.boxes(spark, d)
     chips = p.select("image_id", F.col("pos").alias("chip_idx"), F.col("bbox").alias("box"))
-    labels = g.where(F.col("pos") % 5 == 0).select("image_id", F.col("pos").alias("label_id"), F.col("bbox").alias("box"))
+    labels = g.select("image_id", F.col("pos").alias("label_id"), F.col("bbox").alias("box"))
     return rounded(detection.nearest_label(chips, labels))
 
 
@@ -323,9 +323,12 @@ def concatenate_blocks(spark, d):
     return combine.concatenate([a, b], [0, 1], image="image_idx")
 
 
-@query(f"WITH {C}, n AS (SELECT image_idx, CASE WHEN count(*) <= 1 THEN '1' WHEN count(*) = 2 THEN '2' WHEN count(*) <= 5 THEN '3-5' ELSE '6+' END AS bucket, max(ood) AS ood, max(score)::FLOAT AS score, image_idx AS sample_id FROM ch WHERE chip_idx % 7 < 2 GROUP BY 1), {_RANK.format(keys='bucket', src='n')} SELECT bucket, round(sum(CASE WHEN ood = 0 THEN tp END) / nullif(max(n_pos) * (max(n) - max(n_pos)), 0)::DOUBLE, 6) AS auroc FROM r GROUP BY bucket")
+@query(f"WITH {C}, n AS (SELECT im, CASE WHEN count(*) <= 1 THEN '1' WHEN count(*) = 2 THEN '2' WHEN count(*) <= 5 THEN '3-5' ELSE '6+' END AS bucket, max(ood) AS ood, max(score)::FLOAT AS score, im AS sample_id FROM (SELECT *, (chip_idx // 100) * 100 + (chip_idx % 100) // (1 + (chip_idx // 100) % 8) AS im FROM ch) GROUP BY im), {_RANK.format(keys='bucket', src='n')} SELECT bucket, round(sum(CASE WHEN ood = 0 THEN tp END) / nullif(max(n_pos) * (max(n) - max(n_pos)), 0)::DOUBLE, 6) AS auroc FROM r GROUP BY bucket")
 def metrics_by_count(spark, d):
-    c = shapes.chips(spark, d).where("chip_idx % 7 < 2")
+    """Images of one to eight chips."""
+    i = F.col("chip_idx")
+    size = 1 + F.floor(i / 100) % 8
+    c = shapes.chips(spark, d).withColumn("image_idx", F.floor(i / 100) * 100 + F.floor((i % 100) / size))
     i = c.groupBy("image_idx").agg(F.max("ood").alias("ood"), F.max("score").alias("s"))
     return rounded(analysis.metrics_by_count(i, c, "s").select("bucket", "auroc"))
 
@@ -337,16 +340,16 @@ def metrics_per_domain(spark, d):
 
 
 @query(f"""WITH {C}, k AS (SELECT *, row_number() OVER (PARTITION BY image_idx ORDER BY chip_idx) - 1 AS place FROM ch)
-SELECT image_idx, CAST(row_number() OVER (ORDER BY image_idx, chip_idx) - 1 AS BIGINT) AS chip_idx, CAST(place AS INTEGER) AS place, box[1] AS x1, CAST(class_id AS INTEGER) AS label, 'im' || image_idx || '_' || ['c0', 'c1', 'c2'][class_id + 1] || '_g_' || (row_number() OVER (PARTITION BY image_idx, class_id ORDER BY chip_idx) - 1) AS object_id FROM k WHERE class_id < 3
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL WHERE false""".replace("AS place FROM ch)", "AS place FROM ch WHERE class_id < 3)"))
+SELECT image_idx, CAST(row_number() OVER (ORDER BY image_idx, chip_idx) - 1 AS BIGINT) AS chip_idx, CAST(place AS INTEGER) AS place, box[1] AS x1, CAST(class_id AS INTEGER) AS label, 'im' || image_idx || '_' || ['c0', 'c1', 'c2', 'c3', 'c4'][class_id + 1] || '_g_' || (row_number() OVER (PARTITION BY image_idx, class_id ORDER BY chip_idx) - 1) AS object_id FROM k
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL WHERE false""")
 def chip_stream(spark, d):
     """Nested records, one per image, flattened to chips with object ids."""
-    c = shapes.chips(spark, d).where("class_id < 3")
+    c = shapes.chips(spark, d)
     nested = c.groupBy("image_idx").agg(F.array_sort(F.collect_list(F.struct("chip_idx", "box", "class_id"))).alias("r"))  # a fixture of small images
     rec = nested.select("image_idx", F.concat(F.lit("img/"), "image_idx").alias("path"), F.col("r.box").alias("b"), F.col("r.class_id").alias("l"), F.lit("g").alias("g"), F.concat(F.lit("im"), "image_idx").alias("i"))
     a = chips.annotations(rec.withColumnRenamed("path", "image_path"), boxes="b", labels="l", grp="g", image_id="i")
     a = a.withColumn("image_idx", F.regexp_extract("image_path", r"(\d+)$", 1).cast("long"))
-    s = chips.chip_stream(a, class_names=["c0", "c1", "c2"])
+    s = chips.chip_stream(a, class_names=["c0", "c1", "c2", "c3", "c4"])
     return s.select("image_idx", F.col("chip_idx").cast("long").alias("chip_idx"), "place", F.col("box")[0].alias("x1"), F.col("label").cast("int").alias("label"), "object_id")
 
 

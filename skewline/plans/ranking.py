@@ -44,7 +44,7 @@ FROM roc JOIN po USING ({keys}) JOIN pi USING ({keys})"""
 
 @query(_summary("detector"))
 def evaluate(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.evaluate(shapes.bank(spark, d), buckets=8))
+    return rounded(metrics.evaluate(shapes.bank(spark, d)))
 
 
 @query(_summary("class_id, detector"))
@@ -54,7 +54,7 @@ def evaluate_by_class(spark, d):
 
 @query(f"WITH {B}, {_RANK.format(keys='detector', src='long')} SELECT detector, CAST(k AS BIGINT) AS k, round((k - tp) / (n - n_pos)::DOUBLE, 6) AS fpr, round(tp / n_pos::DOUBLE, 6) AS tpr FROM r UNION ALL SELECT DISTINCT detector, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE FROM long")
 def roc_curve(spark, d):
-    return rounded(metrics.roc_points(shapes.bank(spark, d).long("ood"), buckets=4))
+    return rounded(metrics.roc_points(shapes.bank(spark, d).long("ood")))
 
 
 def _pr(side: str) -> str:
@@ -111,12 +111,12 @@ def correlation_pearson(spark, d):
     return rounded(compare.score_correlation(shapes.bank(spark, d), "pearson"))
 
 
-@query(f"WITH {B} SELECT sample_id, ood, class_id, grp, round(((a::DOUBLE - avg(a::DOUBLE) OVER ()) / stddev_pop(a::DOUBLE) OVER ())::FLOAT::DOUBLE, 4) AS a, round(((b::DOUBLE - avg(b::DOUBLE) OVER ()) / stddev_pop(b::DOUBLE) OVER ())::FLOAT::DOUBLE, 4) AS b, round(m::DOUBLE, 4) AS m FROM bank")
+@query(f"WITH {B} SELECT sample_id, ood, class_id, round(((a::DOUBLE - avg(a::DOUBLE) OVER ()) / stddev_pop(a::DOUBLE) OVER ())::FLOAT::DOUBLE, 4) AS a, round(((b::DOUBLE - avg(b::DOUBLE) OVER ()) / stddev_pop(b::DOUBLE) OVER ())::FLOAT::DOUBLE, 4) AS b, round(m::DOUBLE, 4) AS m FROM bank")
 def normalize_standardize(spark, d):
     return rounded(compare.normalize_scores(shapes.bank(spark, d)).df, 4)
 
 
-@query(f"WITH {B} SELECT sample_id, ood, class_id, grp, round(((a::DOUBLE - min(a::DOUBLE) OVER ()) / (max(a::DOUBLE) OVER () - min(a::DOUBLE) OVER ()))::FLOAT::DOUBLE, 5) AS a, round(((b::DOUBLE - min(b::DOUBLE) OVER ()) / (max(b::DOUBLE) OVER () - min(b::DOUBLE) OVER ()))::FLOAT::DOUBLE, 5) AS b, round(m::DOUBLE, 5) AS m FROM bank")
+@query(f"WITH {B} SELECT sample_id, ood, class_id, round(((a::DOUBLE - min(a::DOUBLE) OVER ()) / (max(a::DOUBLE) OVER () - min(a::DOUBLE) OVER ()))::FLOAT::DOUBLE, 5) AS a, round(((b::DOUBLE - min(b::DOUBLE) OVER ()) / (max(b::DOUBLE) OVER () - min(b::DOUBLE) OVER ()))::FLOAT::DOUBLE, 5) AS b, round(m::DOUBLE, 5) AS m FROM bank")
 def normalize_minmax(spark, d):
     return rounded(compare.normalize_scores(shapes.bank(spark, d), "minmax").df, 5)
 

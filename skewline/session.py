@@ -66,6 +66,23 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    fs, p = _files(spark, path)
+    return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _files(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of the folders in a folder."""
+    fs, p = _files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+
+
 def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skewline.functions.boxes import both_sides_at_least, to_xyxy
 from skewline.operators.combine import dense_ids
+from skewline.session import exists, folders
 
 SCHEMA = """images array<struct<id long, file_name string, width double, height double>>,
 annotations array<struct<id long, image_id long, category_id long, bbox array<double>, iscrowd int>>,
@@ -93,6 +93,17 @@ def dense_offsets(counts: DataFrame, slices: int = 64) -> DataFrame:
     return c.join(F.broadcast(tops), "s").select("image_idx", "n", (F.col("base") + own).alias("before"))
 
 
+def tables(raw: DataFrame, cats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, ground truth) flat: image_id, file_name, image_width, image_height; gt_id, image_id, class_id, class_name, bbox (xyxy) of the boxes with positive sides that are no crowds."""
+    cats = categories(raw) if cats is None else cats
+    stem = F.regexp_extract("i.file_name", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    pics = raw.select(F.explode("images").alias("i")).select(F.col("i.id").alias("source_id"), stem.alias("image_id"), F.col("i.file_name").alias("file_name"), F.col("i.width").alias("image_width"), F.col("i.height").alias("image_height")).dropDuplicates(["source_id"])
+    a = raw.select(F.explode("annotations").alias("a")).where((F.coalesce("a.iscrowd", F.lit(0)) == 0) & (F.size("a.bbox") == 4)).where("a.bbox[2] > 0 and a.bbox[3] > 0")
+    a = a.select(F.col("a.id").cast("string").alias("gt_id"), F.col("a.image_id").alias("source_id"), F.col("a.category_id").alias("category_id"), to_xyxy(F.col("a.bbox"), "xywh").alias("bbox"))
+    gt = a.join(F.broadcast(cats), "category_id").join(pics.select("source_id", "image_id"), "source_id")
+    return pics.drop("source_id"), gt.select("gt_id", "image_id", "class_id", "class_name", "bbox")
+
+
 @dataclass(frozen=True)
 class CocoPaths:
     """Annotation file and image folder of one data set."""
@@ -102,21 +113,21 @@ class CocoPaths:
     images: str
 
 
-def discover_id(root: str, split: str = "val2017") -> CocoPaths:
+def discover_id(spark: SparkSession, root: str, split: str = "val2017") -> CocoPaths:
     """``annotations/instances_<split>.json`` and ``<split>/`` under a root; FileNotFoundError if one is missing."""
-    a, i = os.path.join(root, "annotations", f"instances_{split}.json"), os.path.join(root, split)
+    a, i = f"{root}/annotations/instances_{split}.json", f"{root}/{split}"
     for p in (a, i):
-        if not os.path.exists(p):
+        if not exists(spark, p):
             raise FileNotFoundError(p)
     return CocoPaths(split, a, i)
 
 
-def discover_ood(root: str, only: list[str] | None = None, split: str = "val2017") -> list[CocoPaths]:
+def discover_ood(spark: SparkSession, root: str, only: list[str] | None = None, split: str = "val2017") -> list[CocoPaths]:
     """The domains under a root. With ``only`` their order stays and an incomplete one is an error; else they are sorted and incomplete ones are left out."""
     found = []
-    for name in only if only is not None else sorted(x for x in os.listdir(root) if os.path.isdir(os.path.join(root, x))):
+    for name in only if only is not None else folders(spark, root):
         try:
-            p = discover_id(os.path.join(root, name), split)
+            p = discover_id(spark, f"{root}/{name}", split)
             found.append(CocoPaths(name, p.annotations, p.images))
         except FileNotFoundError:
             if only is not None:

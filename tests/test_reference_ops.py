@@ -1,5 +1,6 @@
 """Numeric anchors and error paths of the detection, ranking and pooling operators."""
 
+import hashlib
 import json
 import os
 
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from skewline.functions import boxes as X
 from skewline.functions import vectors as V
-from skewline.operators import binning, combine, compare, detection, failure, geometry, masks, metrics, pooling
+from skewline.operators import binning, chips, combine, compare, detection, failure, geometry, masks, metrics, pooling, ranks
 from skewline.operators import detectors as D
 from skewline.operators.bank import ScoreBank
 from skewline.operators.linalg import moments, principal_dim
-from skewline.sources import bdd, coco, images, imagenet, store
+from skewline.sources import bdd, coco, images, imagenet, saved, store
 
 COLS = D.Features("z", "x")
 
@@ -44,11 +45,13 @@ def test_ties_follow_sample_order(spark):
     assert metrics.evaluate(bank(spark, [1] * 4, [1, 1, 0, 0])).head().auroc == 1.0
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16])
-def test_metrics_equal_direct_computation(spark, buckets):
+@pytest.mark.parametrize("hot", [0.0, 0.4, 1.0])
+def test_metrics_equal_direct_computation(spark, hot):
+    """Also where many or all rows share one score, whose rows several tasks number."""
     rng = np.random.default_rng(1)
     s, y = np.round(rng.normal(size=300), 1), rng.integers(0, 2, 300)
-    got = metrics.evaluate(bank(spark, s, y), buckets=buckets).head()
+    s[rng.random(300) < hot] = 0.3
+    got = metrics.evaluate(bank(spark, s, y)).head()
     o = np.lexsort((np.arange(300), -np.float32(s)))
     tp, fp = np.cumsum(y[o]), np.cumsum(1 - y[o])
     tpr, fpr = np.r_[0, tp / tp[-1]], np.r_[0, fp / fp[-1]]
@@ -58,6 +61,59 @@ def test_metrics_equal_direct_computation(spark, buckets):
     assert got.det_err == pytest.approx((0.5 * (fpr + 1 - tpr)).min())
 
 
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_percentiles_are_exact(spark, keys):
+    rng = np.random.default_rng(3)
+    x = np.r_[np.round(rng.normal(size=500), 2), np.full(700, 0.25), [np.nan]]
+    g = np.arange(len(x)) % 3
+    df = spark.createDataFrame([(int(a), None if i == 5 else float(b)) for i, (a, b) in enumerate(zip(g, x))], "g int, x double")
+    for r in ranks.percentiles(df, keys, "x", [0, 0.1, 0.5, 0.67, 1]).collect():
+        own = x[(g == r.g if keys else True) & (np.arange(len(x)) != 5) & ~np.isnan(x)]
+        assert r.n == len(own) and np.allclose(r.percentiles, np.quantile(own, [0, 0.1, 0.5, 0.67, 1]))
+    assert ranks.percentiles(df.limit(0), keys, "x", [0.5]).count() == 0
+
+
+def test_numbers_and_first_by_hash_of_strings(spark):
+    names = [f"im{i:03d}é" for i in range(200)] + ["a", "b", ""]
+    df = spark.createDataFrame([(n,) for n in names], "k string")
+    got = [r.k for r in ranks.dense(df, [], "k", "i").orderBy("i").collect()]
+    assert got == sorted(names, key=lambda n: n.encode()) and [r.i for r in ranks.dense(df, [], "k", "i").orderBy("i").collect()] == list(range(203))
+    order = sorted(names, key=lambda n: hashlib.md5(f"7:{n}".encode()).hexdigest())
+    for k in (0, 1, 50, 203, 500):
+        assert {r.k for r in ranks.first_by_hash(df, "k", k, masks.hash_key(7, F.col("k"))).collect()} == set(order[:k])
+
+
+def test_concatenate_string_ids(spark):
+    a, b = (spark.createDataFrame([(f"{p}{i:02d}", float(i)) for i in (5, 1, 3)], "sample_id string, v double") for p in "xa")
+    got = [(r.sample_id, r.block, r.v) for r in combine.concatenate([a, b], [0, 1]).orderBy("sample_id").collect()]
+    assert got == [(0, 0, 1.0), (1, 0, 3.0), (2, 0, 5.0), (3, 1, 1.0), (4, 1, 3.0), (5, 1, 5.0)]
+
+
+def test_a_stratum_is_split_into_disjoint_parts(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").when(F.col("id") < 990, "b").alias("s"))
+    got = masks.stratified_split(df, "s", "id", (0.35, 0.35), seed=3)
+    n = {(r.s, r.part): r.n for r in masks.stratum_counts(got, "s", "part").collect()}
+    assert n[("hot", 0)] == n[("hot", 1)] == 315 and n[("b", 0)] == 31 and n[(None, 0)] == 4 and got.count() == 1000
+    one = {r.id for r in masks.stratified(df, "s", "id", 0.35, seed=3).collect()}
+    assert one == {r.id for r in got.where("part = 0").collect()}
+
+
+def test_a_bank_takes_one_row_for_each_sample(spark):
+    b = bank(spark, [1, 2], [0, 1])
+    for rows in ([(0, 1.0)], [(0, 1.0), (1, 2.0), (1, 3.0)], [(0, 1.0), (1, 1.0), (2, 1.0)]):
+        with pytest.raises(ValueError):
+            b.add("e", spark.createDataFrame(rows, "sample_id long, score double"))
+    assert b.add("e", spark.createDataFrame([(1, 5.0), (0, 4.0)], "sample_id long, score double")).df.count() == 2
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_ground_truth_rows_of_one_id_are_taken_together(spark, crowded, monkeypatch):
+    monkeypatch.setattr(detection, "_MATRIX", 0 if crowded else 10**6)
+    box = np.array([[0.0, 0, 10, 10]])
+    hit, own, back, best = detection.greedy(box, np.array([0.9]), np.array([0]), np.repeat(box, 2, 0), np.arange(2), np.array(["a", "a"], object), 0.5)
+    assert hit.tolist() == [1] and back.tolist() == [0, 0] and best.tolist() == [1, 1] and own.tolist() == [1]
+
+
 def test_nan_scores_rank_last_both_ways(spark):
     b = bank(spark, [1, float("nan"), 3], [0, 1, 1])
     assert [r.sample_id for r in compare.rank_samples(b, "d").orderBy("rank").collect()] == [2, 0, 1]
@@ -319,10 +375,10 @@ def test_coco(spark, tmp_path):
         os.makedirs(tmp_path / name / "val2017")
         (tmp_path / name / "annotations" / "instances_val2017.json").write_text(json.dumps(COCO))
     os.makedirs(tmp_path / "broken")
-    found = coco.discover_ood(str(tmp_path))
+    found = coco.discover_ood(spark, str(tmp_path))
     assert [p.name for p in found] == ["cartoon", "sketch"]
     with pytest.raises(FileNotFoundError):
-        coco.discover_ood(str(tmp_path), ["broken"])
+        coco.discover_ood(spark, str(tmp_path), ["broken"])
     rows = coco.load(spark, found[0].annotations, found[0].images, "g")
     got = sorted((r.image_id, r.class_id, r.class_name, tuple(r.box)) for r in rows.collect())
     assert got == [("one", 0, "cat", (0, 0, 5, 3)), ("one", 1, "dog", (1, 2, 11, 22)), ("one", 1, "dog", (3, 3, 9, 9))]
@@ -447,3 +503,73 @@ def test_outlier_rates_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.n_out) for r in spark.table("rates").collect()) == [(10, 0), (10, 10), (10, 10)]
+
+
+def test_what_is_saved_scores_the_same(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(60, 5)), rng.integers(0, 3, 60)
+    df = vectors(spark, x, rng.normal(size=(60, 3)), y)
+    fitted = [D.KNN(3, "manhattan", COLS), D.KNN(3, "cosine", COLS, bank_limit=10, block_numbers=100), D.PCAFusion(features=COLS), D.ViM(rng.normal(size=(3, 5)), np.zeros(3), features=COLS), D.WDiscOOD(features=COLS), D.PCA("rff_cosine", random_state=1, features=COLS)]
+    for i, det in enumerate(fitted):
+        det.fit(df, "y")
+        saved.save(spark, det, f"{tmp_path}/{i}")
+        again = saved.load(spark, f"{tmp_path}/{i}")
+        assert type(again) is type(det) and np.allclose(scores(again.transform(df)), scores(det.transform(df)))
+    table = df.select((F.col("sample_id") % 2).alias("f"), F.col("x")[0].alias("a"), F.when(F.col("y") > 0, F.col("x")[1]).alias("b"), F.col("y").cast("string").alias("c"))
+    model = failure.LogisticPipeline(("a", "b"), ("c",)).fit(table, "f")
+    saved.save(spark, model, f"{tmp_path}/model")
+    p = lambda m: sorted(r.p for r in m.transform(table).collect())
+    assert p(saved.load(spark, f"{tmp_path}/model")) == pytest.approx(p(model))
+    with pytest.raises(ValueError):
+        saved.save(spark, object(), f"{tmp_path}/x")
+    spark.createDataFrame([('{"class": "os:system", "state": {}}',)], "v string").write.text(f"{tmp_path}/evil/state")
+    with pytest.raises(ValueError):
+        saved.load(spark, f"{tmp_path}/evil")
+
+
+def test_embedder_modes_labels_and_chips(spark, tmp_path):
+    images.register_model("bytes", lambda: lambda batch: (np.array([[x[0], x[1], 1.0] for x in batch]), None))
+    with pytest.raises(ValueError):
+        images.Embedder("nothing known")
+    rows = [(i, bytes([i % 3 * 50, i % 7, 3]), i % 3, "abc"[i % 3], i // 2, [0.0, 0.0, 5.0, 5.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, content binary, label int, class_name string, chip_to_image int, boxes array<double>")
+    e = images.Embedder("bytes")
+    with pytest.raises(ValueError):
+        e.fit(df, "half")
+    with pytest.raises(ValueError):
+        e.fit(df.drop("label"), "head")
+    with pytest.raises(ValueError):
+        e.fit(df, "full")
+    assert e.fit_extract(df, keep=("id",)).where("logits is null").count() == 30
+    out = e.fit(df, "head").extract(df, ("id",))
+    assert {"id", "label", "chip_to_image", "boxes", "logits"} <= set(out.columns) and e.head.names == ("a", "b", "c")
+    e.save(spark, f"{tmp_path}/e")
+    again = images.Embedder.load(spark, f"{tmp_path}/e").extract(df, ("id",))
+    assert sorted(map(str, again.select("id", "logits").collect())) == sorted(map(str, out.select("id", "logits").collect()))
+    for bad in (df.drop("boxes"), df.withColumn("boxes", F.array(F.lit(1.0))), df.withColumn("image_sizes", F.array(F.lit(0.0), F.lit(1.0)))):
+        with pytest.raises(ValueError):
+            e.extract(bad)
+
+
+def test_crop_chips_and_descriptor(spark):
+    image = np.arange(4 * 5 * 3, dtype=np.uint8).reshape(4, 5, 3)
+    df = spark.createDataFrame([(1, bytearray(image.tobytes()), 4, 5, [-1, 1, 2, 4]), (2, None, 4, 5, [0, 0, 1, 1])], "i int, pixels binary, image_h int, image_w int, region array<int>")
+    got = {r.i: r for r in images.crop_chips(df, keep=("i",)).collect()}
+    assert got[1].side == 3 and got[1].chip == X.crop_pixels(image, [-1, 1, 2, 4]).tobytes() and got[2].chip is None
+    rec = spark.createDataFrame([(0, "p/a.jpg", [[0.0, 0.0, 5.0, 5.0], [1.0, 1.0, 4.0, 4.0]], [1, 7])], "image_idx int, image_path string, boxes array<array<double>>, labels array<int>")
+    stream = chips.chip_stream(rec, class_names=["a", "b"])
+    one = chips.sample_descriptor(stream, 1, ["a", "b"])
+    assert one == {"index": 1, "image_index": 0, "image_path": "p/a.jpg", "image_id": "0", "object_id": one["object_id"], "box_xyxy": [1.0, 1.0, 4.0, 4.0], "label": 7}
+    assert chips.sample_descriptor(stream, 0, ["a", "b"])["class_name"] == "b"
+    with pytest.raises(IndexError):
+        chips.sample_descriptor(stream, 2)
+
+
+def test_cut_tables_are_released(spark):
+    from skewline import session
+
+    a, b = session.cut(spark.range(3), "x"), session.cut(spark.range(4), "x")
+    assert session.exists(spark, a.__dict__["_cut_path"])
+    session.release(a)
+    assert not session.exists(spark, a.__dict__["_cut_path"]) and b.count() == 4
+    assert session.cleanup(spark) >= 1 and not session.exists(spark, b.__dict__["_cut_path"])
