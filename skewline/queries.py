@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skewline.functions.keys import sql_key
 from skewline.operators.orphans import Reference, Target, orphan_rows, orphans_by_period
 from skewline.operators import nested
-from skewline.plans import detecting, objects, ranking
+from skewline.plans import detecting, objects, ranking, sourcing
 from skewline.session import table
 
 
@@ -37,7 +37,7 @@ def _flat(name: str):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p5_found)} | {f"p5_{t}": _flat(t) for t in nested.SCHEMAS} | ranking.Q | detecting.Q | objects.Q
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p5_found)} | {f"p5_{t}": _flat(t) for t in nested.SCHEMAS} | ranking.Q | detecting.Q | objects.Q | sourcing.Q
 
 
 def _ref(src: str, field: str, key: str, target: str, target_key: str) -> str:
@@ -101,11 +101,12 @@ SELECT record_id, obj_path, {_CORNERS}, {_string("w")} AS weather FROM us WHERE
 SELECT DISTINCT att.record_id, {_scalar("(j->'$.name')")} AS name, {_scalar("(j->'$.timestamp')")} AS timestamp, {", ".join(map(_attribute, ("weather", "scene", "timeofday")))}, coalesce(nf.n, 0) AS n_frames, coalesce(no.n, 0) AS n_objects FROM att LEFT JOIN no USING (record_id) LEFT JOIN nf USING (record_id)""",
 }
 
+sourcing.register_bdd(_TABLES)
 SQL = {
     **_TABLES,
     "p5_found": _NESTED,
     "p3_found": f"SELECT DISTINCT src_table, ref_field, row_key FROM ({_REFS}) WHERE orphan",
     "p3_by_month": f"SELECT src_table, ref_field, CAST(date_trunc('month', ref_time) AS DATE) AS period, count(*) AS n_refs, CAST(sum(orphan::INT) AS BIGINT) AS n_orphans FROM ({_REFS}) GROUP BY ALL",
-} | ranking.S | detecting.S | objects.S
+} | ranking.S | detecting.S | objects.S | sourcing.S
 
 FLAGSHIP = detecting.energy_auroc

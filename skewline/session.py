@@ -56,7 +56,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path in the shared folder that is free; what is written there goes when the application ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    fs, p = _files(spark, path)
+    fs.deleteOnExit(p)
+    return path
 
 
 def _files(spark: SparkSession, path: str):
@@ -95,8 +99,6 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    fs, p = _files(spark, path)
-    fs.deleteOnExit(p)
     _CUT.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_cut_path"] = path

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from skewline.operators.masks import hash_key
+from skewline.operators.ranks import first_by_hash
+
 ARRAYS = {"embeddings": "array<float>", "logits": "array<float>", "boxes": "array<double>", "image_sizes": "array<double>"}
 SCALARS = {"labels": "bigint", "chip_to_image": "bigint"}
 LISTS = ("image_paths", "object_ids", "group", "image_ids")
@@ -78,8 +81,7 @@ def load(spark: SparkSession, path: str, frac: float = 1.0, seed: int | None = N
     if frac == 1:
         return df
     n = len(np.load(os.path.join(path, "embeddings.npy"), mmap_mode="r"))
-    ids = np.sort(np.random.default_rng(seed).choice(n, max(1, int(n * frac)), replace=False))
-    picked = spark.createDataFrame([(int(i),) for i in ids], "sample_id long")
+    picked = first_by_hash(spark.range(n).withColumnRenamed("id", "sample_id"), "sample_id", max(1, int(n * frac)), hash_key(0 if seed is None else seed, F.col("sample_id")))
     return df.join(picked, "sample_id", "left_semi")
 
 
