@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from skewline.functions.keys import known_key, ref_key, sql_key
 from skewline.llm import mixing, neighbors, residue, splits, tokens, topn
-from skewline.session import table
+from skewline.session import cut, table
 
 IMAGE_KEYS = ("source_key", "sequence_key")
+LABELS = ("weather", "timeofday", "scene")
 
 
 def p1_top(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +46,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     images, u = _image_units(spark, d)
-    out = splits.split_units(images, u, "image_idx", ("weather", "timeofday", "scene"))
+    out = splits.split_units(images, u, "image_idx", LABELS)
     return out.select(F.col("id").alias("image_idx"), F.col("unit").alias("unit_idx"), "split")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_report(p4_splits(spark, d).withColumnRenamed("unit_idx", "unit"))
+    """Shares of all images and of each weather, time of day and scene in each split."""
+    images, u = _image_units(spark, d)
+    assigned = cut(splits.split_units(images, u, "image_idx", LABELS), "splits")
+    return splits.split_report(assigned, images, "image_idx", LABELS)
+
+
+def p4_straddling(spark: SparkSession, d: str) -> DataFrame:
+    """Images and splits of each unit: one split each."""
+    return p4_splits(spark, d).groupBy("unit_idx").agg(F.countDistinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_images")).select("unit_idx", "n_splits", "n_images")
 
 
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +107,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validate(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_knn, p4_found, p4_splits, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_kinds, p8_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_knn, p4_found, p4_splits, p4_straddling, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_kinds, p8_validation)}
 
 _LATEST = """SELECT chip_id, chip_to_image, chip_ood_max, row_number() OVER (PARTITION BY chip_id ORDER BY scored_at DESC NULLS LAST, arrived_at DESC NULLS LAST, chip_to_image DESC NULLS LAST, chip_ood_max DESC NULLS LAST) AS v FROM chips WHERE chip_id IS NOT NULL"""
 _TOP = f"""SELECT chip_to_image, chip_id, chip_ood_max + 0.0::DOUBLE AS chip_ood_max, CAST(row_number() OVER (PARTITION BY chip_to_image ORDER BY chip_ood_max + 0.0::DOUBLE DESC, chip_id) AS INTEGER) AS rank
@@ -134,5 +143,6 @@ SQL = {
     "p1_top": f"SELECT * FROM ({_TOP}) WHERE rank <= 5",
     "p1_found": f"SELECT chip_to_image, chip_id FROM ({_TOP}) WHERE rank <= 5",
     "p4_found": _UNITS,
+    "p4_straddling": f"WITH RECURSIVE {_UNITS[len('WITH RECURSIVE '):_UNITS.rindex('SELECT u AS unit_idx')]} SELECT u AS unit_idx, CAST(1 AS BIGINT) AS n_splits, count(*) AS n_images FROM (SELECT i, min(u) AS u FROM r GROUP BY i) GROUP BY u",
     "p6_decoded": "SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, true AS same FROM documents",
 }

@@ -51,8 +51,38 @@ def test_shares_labels_and_whole_units(spark):
     rare = {r.id for r in got if r.id % 50 == 0}
     in_train = sum(r.split == "train" for r in got if r.id in rare)
     assert abs(in_train / len(rare) - 0.8) < 0.12
-    rep = {r.split: r for r in splits.split_report(out).collect()}
-    assert rep["train"].n == share["train"] * 3000
+    rep = {r.split: r for r in splits.split_report(out, df, "id", ["label"]).where("label = 'all'").collect()}
+    assert rep["train"].n == round(share["train"] * 3000)
+
+
+def test_label_shares_of_the_images(spark, sf):
+    """Frequent labels come within 2 % of the targets in every split."""
+    from skewline.llm import queries
+
+    rep = queries.p4_report(spark, sf.replace("sf0.001", "sf0.1")).collect()
+    whole = {}
+    for r in rep:
+        whole[r.label, r.value] = whole.get((r.label, r.value), 0) + r.n
+    frequent = [r for r in rep if whole[r.label, r.value] >= 400]
+    assert len(frequent) >= 20
+    assert max(abs(r.reached - r.target) for r in frequent) <= 0.02, sorted((abs(r.reached - r.target), r.label, r.value, r.split) for r in frequent)[-5:]
+
+
+def test_hot_keys_and_hubs_by_broadcast(spark, monkeypatch):
+    """What large tables do with hot keys gives the same units."""
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 97}", f"s{i % 211}" if i % 2 else None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    plain = sorted(splits.units(df, "id", ["a", "b"]).collect())
+    monkeypatch.setattr(splits, "HOT_FROM", 0)
+    monkeypatch.setattr(splits, "HUB_SHARE", 0.01)
+    assert sorted(splits.units(df, "id", ["a", "b"]).collect()) == plain
+
+
+def test_too_many_label_values_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_LABELS", 3)
+    df = spark.range(10).selectExpr("id", "cast(id as string) as label")
+    with pytest.raises(ValueError):
+        splits.split_units(df, df.selectExpr("id", "id as unit"), "id", ["label"])
 
 
 def test_unit_with_a_third_of_the_records(spark):
