@@ -22,6 +22,9 @@ def check(spark, texts):
     df = spark.createDataFrame([(i, x, "z") for i, x in enumerate(texts)], "doc_id long, text string, ids string")
     got = {r.doc_id: list(r.ids) for r in tokens.encode(df).collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    # with none or few of the words in the broadcast table the others come through the join
+    for most in (0, 4):
+        assert {r.doc_id: list(r.ids) for r in tokens.encode(df, table_words=most).collect()} == got
     counts = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()}
     assert counts == {i: len(x) for i, x in got.items()}
     back = {r.doc_id: r.text for r in tokens.decode(tokens.encode(df)).collect()}
