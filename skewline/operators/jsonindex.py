@@ -11,6 +11,8 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WS, OTHER, OBJ, ARR, END_OBJ, END_ARR, COLON, COMMA = range(8)
 STR, SCALAR = 8, 9
@@ -23,6 +25,8 @@ _HEX[list(b"0123456789abcdefABCDEF")] = True
 _ESC = np.zeros(256, bool)
 _ESC[list(b'"\\/bfnrtu')] = True
 _BAD_SCALAR = re.compile(rb"^(?!(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$).*$", re.M)
+#: numbers that need no closer look
+PLAIN = r"^-?[0-9]{1,15}(\.[0-9]{1,17})?$"
 NUMBER = re.compile(rb"\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*")
 
 
@@ -152,7 +156,7 @@ class Tape:
         self._slot_of = np.zeros(m, np.int64)
         self._slot_of[who[what > 0]] = place[what > 0]
         self._at_slot = who
-        self.key_id: np.ndarray | None = None
+        self._slashes: np.ndarray | None = None
 
     @staticmethod
     def _scalars(b, scalar, s_start, ok, doc_of) -> None:
@@ -215,16 +219,55 @@ class Tape:
         """Kinds of tokens, 255 for -1."""
         return np.where(tokens >= 0, self.kind[np.maximum(tokens, 0)] if len(self.kind) else 255, 255)
 
+    def slices(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The bytes between as one array of strings."""
+        size = np.maximum(end - start, 0)
+        stop = np.concatenate([[0], np.cumsum(size)])
+        data = self.b[np.repeat(start - stop[:-1], size) + np.arange(stop[-1])]
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(stop.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+    def _bounds(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(kind, first byte, one past the last, whether it holds a backslash) of each token's text, without quotes."""
+        kind = self.kind_of(tokens)
+        at = np.maximum(tokens, 0)
+        held = (kind == STR) | (kind == SCALAR)
+        if not len(self.pos):
+            z = np.zeros(len(tokens), np.int64)
+            return kind, z, z, z.astype(bool)
+        start = np.where(held, self.pos[at] + (kind == STR), 0)
+        end = np.where(held, self.end[at] - (kind == STR), 0)
+        if self._slashes is None:
+            self._slashes = np.concatenate([[0], np.cumsum(self.b == 92)])
+        return kind, start, end, self._slashes[end] > self._slashes[start]
+
+    def texts(self, tokens: np.ndarray, strings_only: bool = False) -> pa.Array:
+        """``text`` of many tokens at once."""
+        kind, start, end, odd = self._bounds(tokens)
+        raw = self.slices(start, end)
+        none = (kind != STR) if strings_only else (kind != STR) & (kind != SCALAR)
+        if not strings_only:
+            none |= (kind == SCALAR) & np.asarray(pc.equal(raw, pa.scalar(b"null", pa.large_binary())).to_numpy(zero_copy_only=False), bool)
+        out = raw.cast(pa.large_string()).cast(pa.string())
+        slow = np.flatnonzero(odd & (kind == STR))
+        if len(slow):
+            # a lone surrogate can't be written as a string
+            values = [json.loads(self.bytes_of(t)).encode("utf-8", "replace").decode() for t in tokens[slow].tolist()]
+            out = pc.replace_with_mask(out, pa.array(odd & (kind == STR)), pa.array(values, pa.string()))
+        return pc.if_else(pa.array(none), pa.scalar(None, pa.string()), out)
+
     def numbers(self, tokens: np.ndarray) -> np.ndarray:
         """Numbers, or strings that hold a number; NaN for anything else. Overflow gives infinity."""
         out = np.full(len(tokens), np.nan)
-        for i, t in enumerate(tokens.tolist()):
-            if t >= 0 and self.kind[t] >= STR:
-                raw = self.raw[self.pos[t] : self.end[t]]
-                if self.kind[t] == STR:
-                    raw = self.string(t).encode() if b"\\" in raw else raw[1:-1]
-                if NUMBER.fullmatch(raw):
-                    out[i] = float(raw)
+        kind, start, end, odd = self._bounds(tokens)
+        held = ((kind == STR) | (kind == SCALAR)) & (end > start)
+        raw = self.slices(start, end)
+        plain = held & ~odd & np.asarray(pc.match_substring_regex(raw, PLAIN).to_numpy(zero_copy_only=False), bool)
+        i = np.flatnonzero(plain)
+        out[i] = raw.take(pa.array(i)).cast(pa.large_string()).cast(pa.float64()).to_numpy()
+        for i in np.flatnonzero(held & ~plain).tolist():
+            text = self.string(int(tokens[i])).encode("utf-8", "replace") if odd[i] else self.raw[start[i] : end[i]]
+            if NUMBER.fullmatch(text):
+                out[i] = float(text)
         return out
 
     def elements(self, containers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ SCHEMAS = {
     "records": "record_id long, name string, timestamp string, weather string, scene string, timeofday string, n_frames long, n_objects long",
     "frames": "record_id long, frame_path string, frame_no int, timestamp string",
     "objects": "record_id long, obj_path string, parent_path string, frame_path string, depth int, category string, object_id string, weather string",
+    "labelled": "record_id long, obj_path string, x1 double, y1 double, x2 double, y2 double, weather string, category string, object_id string",
     "boxes": "record_id long, obj_path string, x1 double, y1 double, x2 double, y2 double, weather string",
 }
 #: texts indexed at once: bounds the memory of a step whatever the length of the batch
@@ -49,25 +51,26 @@ def _utf8(s: str) -> bytes:
     return s.encode("utf-8", "replace")
 
 
-def _attributes(tape: Tape, slots: dict[str, np.ndarray], tokens: np.ndarray) -> list[dict[str, str | None]]:
+def _attributes(tape: Tape, slots: dict[str, np.ndarray], tokens: np.ndarray) -> dict[str, pa.Array]:
     """weather, scene and timeofday (only strings) of attributes given as an object, as key/value entries or as a string of either."""
-    out: list[dict[str, str | None]] = [{} for _ in range(len(tokens))]
     kinds = tape.kind_of(tokens)
-    for i in np.flatnonzero(kinds == OBJ):
-        for a in ATTRIBUTES:
-            t = slots[a][tokens[i]]
-            if t >= 0 and tape.kind[t] == STR:
-                out[i][a] = tape.string(t)
+    value = {a: np.where(kinds == OBJ, slots[a][np.where(kinds == OBJ, tokens, -1)], -1) for a in ATTRIBUTES}
     who, _, entry = tape.elements(np.where(kinds == ARR, tokens, -1))
-    for i, e in zip(who.tolist(), entry.tolist()):
-        k, v = slots["key"][e], slots["value"][e]
-        if k >= 0 and tape.kind[k] == STR and (key := tape.string(k)) in ATTRIBUTES:
-            out[i][key] = tape.string(v) if v >= 0 and tape.kind[v] == STR else None
+    if len(who):
+        key = np.array(tape.texts(slots["key"][entry], strings_only=True).to_pylist(), object)
+        for a in ATTRIBUTES:
+            mine = np.flatnonzero(key == a)
+            # of repeated entries the last counts
+            last = mine[np.append(who[mine][1:] != who[mine][:-1], True)] if len(mine) else mine
+            value[a][who[last]] = slots["value"][entry[last]]
+    out = {a: tape.texts(v, strings_only=True) for a, v in value.items()}
     held = np.flatnonzero(kinds == STR)
     if len(held):
         inner = Tape([_utf8(tape.string(t)) for t in tokens[held]])
-        for i, x in zip(held.tolist(), _attributes(inner, inner.name_keys(NAMES), inner.root)):
-            out[i] = x
+        there = np.zeros(len(tokens), bool)
+        there[held] = True
+        for a, x in _attributes(inner, inner.name_keys(NAMES), inner.root).items():
+            out[a] = pc.replace_with_mask(out[a], pa.array(there), x)
     return out
 
 
@@ -88,53 +91,65 @@ def _boxes(tape: Tape, slots: dict[str, np.ndarray], objects: np.ndarray) -> np.
     return out
 
 
-def _flatten(texts: list[bytes | None], table: str) -> list[tuple]:
-    rows_out: list[tuple] = []
+def _joined(*parts) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _numbered(path: pa.Array, idx: np.ndarray) -> pa.Array:
+    return _joined(path, "[", pa.array(idx).cast(pa.string()), "]")
+
+
+def _flatten(texts: list[bytes | None], table: str) -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
+    """(rows of the batch, the table's other columns), whole arrays at a time."""
     for tape, rows, roots in _records(texts):
         if not len(rows):
             continue
         slots = tape.name_keys(NAMES)
         attrs = _attributes(tape, slots, slots["attributes"][roots])
         f_who, f_idx, f_tok = tape.elements(slots["frames"][roots])
+        f_path = _numbered(pa.array(["frames"] * len(f_who), pa.string()), f_idx)
         if table == "frames":
-            rows_out += [(rows[w], f"frames[{i}]", i, tape.text(slots["timestamp"][t])) for w, i, t in zip(f_who.tolist(), f_idx.tolist(), f_tok.tolist())]
+            yield rows[f_who], {"frame_path": f_path, "frame_no": pa.array(f_idx, pa.int32()), "timestamp": tape.texts(slots["timestamp"][f_tok])}
             continue
-        # containers of objects: (place of the record, path of the container, path of its parent, frame, token)
+        # containers of objects: place of the record, path of the container and of its parent, frame, token
         rec = np.concatenate([np.arange(len(roots)), f_who])
-        path = ["labels"] * len(roots) + [f"frames[{i}].objects" for i in f_idx.tolist()]
-        above: list[str | None] = [None] * len(path)
-        frame = [None] * len(roots) + [f"frames[{i}]" for i in f_idx.tolist()]
+        none = pa.nulls(len(roots), pa.string())
+        path = pa.concat_arrays([pa.array(["labels"] * len(roots), pa.string()), _joined(f_path, ".objects")])
+        frame = pa.concat_arrays([none, f_path])
+        above = frame
         held = np.concatenate([slots["labels"][roots], slots["objects"][f_tok]])
         n_objects = np.zeros(len(roots), np.int64)
         depth = 0
         while len(held):
             who, idx, tok = tape.elements(held)
-            n_objects += np.bincount(rec[who], minlength=len(roots))
-            paths = [f"{path[w]}[{i}]" for w, i in zip(who.tolist(), idx.tolist())]
-            if table == "boxes":
+            r = rec[who]
+            n_objects += np.bincount(r, minlength=len(roots))
+            at = pa.array(who)
+            paths = _numbered(path.take(at), idx)
+            frames, parents = frame.take(at), above.take(at)
+            if table in ("boxes", "labelled"):
                 box = _boxes(tape, slots, tok)
-                for j in np.flatnonzero(~np.isnan(box[:, 0])).tolist():
-                    r = int(rec[who[j]])
-                    rows_out.append((rows[r], paths[j], *box[j].tolist(), attrs[r].get("weather")))
+                j = np.flatnonzero(~np.isnan(box[:, 0]))
+                cols = {"obj_path": paths.take(pa.array(j)), **{n: pa.array(box[j, i]) for i, n in enumerate(("x1", "y1", "x2", "y2"))}, "weather": attrs["weather"].take(pa.array(r[j]))}
+                if table == "labelled":
+                    cols |= {"category": tape.texts(slots["category"][tok[j]]), "object_id": tape.texts(slots["id"][tok[j]])}
+                yield rows[r[j]], cols
             elif table == "objects":
-                for j, w in enumerate(who.tolist()):
-                    r = int(rec[w])
-                    rows_out.append((rows[r], paths[j], above[w] or frame[w], frame[w], depth, tape.text(slots["category"][tok[j]]), tape.text(slots["id"][tok[j]]), attrs[r].get("weather")))
+                cols = {"obj_path": paths, "parent_path": parents, "frame_path": frames, "depth": pa.array(np.full(len(tok), depth, np.int32))}
+                yield rows[r], cols | {"category": tape.texts(slots["category"][tok]), "object_id": tape.texts(slots["id"][tok]), "weather": attrs["weather"].take(pa.array(r))}
             parts = slots["parts"][tok]
             has = np.flatnonzero(parts >= 0)
-            rec, held = rec[who[has]], parts[has]
-            frame = [frame[who[j]] for j in has.tolist()]
-            above = [paths[j] for j in has.tolist()]
-            path = [p + ".parts" for p in above]
+            rec, held = r[has], parts[has]
+            frame, above = frames.take(pa.array(has)), paths.take(pa.array(has))
+            path = _joined(above, ".parts")
             depth += 1
         if table == "records":
-            n_frames = np.bincount(f_who, minlength=len(roots))
-            rows_out += [(rows[i], tape.text(slots["name"][t]), tape.text(slots["timestamp"][t]), *(attrs[i].get(a) for a in ATTRIBUTES), int(n_frames[i]), int(n_objects[i])) for i, t in enumerate(roots.tolist())]
-    return rows_out
+            cols = {"name": tape.texts(slots["name"][roots]), "timestamp": tape.texts(slots["timestamp"][roots]), **attrs}
+            yield rows, cols | {"n_frames": pa.array(np.bincount(f_who, minlength=len(roots))), "n_objects": pa.array(n_objects)}
 
 
 def flatten(df: DataFrame, table: str, record_id: str = "record_id", payload: str = "payload") -> DataFrame:
-    """One of the flat tables ``records``, ``frames``, ``objects`` and ``boxes`` (usable boxes) of the records in ``payload``."""
+    """One of the flat tables ``records``, ``frames``, ``objects``, ``boxes`` (usable boxes) and ``labelled`` (these with category and id) of the records in ``payload``."""
     schema = SCHEMAS[table]
     from pyspark.sql.types import StructType
 
@@ -149,10 +164,8 @@ def flatten(df: DataFrame, table: str, record_id: str = "record_id", payload: st
                 while stop < len(texts) and stop - start < CHUNK_ROWS and (size < CHUNK_BYTES or stop == start):
                     size += len(texts[stop] or b"")
                     stop += 1
-                rows = _flatten(texts[start:stop], table)
-                cols = list(zip(*rows)) if rows else [()] * len(arrow)
-                own = pa.array(ids[start:stop][np.asarray(cols[0], np.int64)] if rows else [], pa.int64())
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, f.type) for c, f in zip(cols[1:], list(arrow)[1:]))], schema=arrow)
+                for rows, cols in _flatten(texts[start:stop], table):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[start:stop][rows], pa.int64()), *(cols[f.name].cast(f.type) for f in list(arrow)[1:])], schema=arrow)
                 start = stop
 
     src = df.where(F.col(record_id).isNotNull() & F.col(payload).isNotNull())

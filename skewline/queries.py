@@ -37,7 +37,7 @@ def _flat(name: str):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p5_found)} | {f"p5_{t}": _flat(t) for t in nested.SCHEMAS} | ranking.Q | detecting.Q | objects.Q | sourcing.Q
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p5_found)} | {f"p5_{t}": _flat(t) for t in nested.SCHEMAS if t != "labelled"} | ranking.Q | detecting.Q | objects.Q | sourcing.Q
 
 
 def _ref(src: str, field: str, key: str, target: str, target_key: str) -> str:

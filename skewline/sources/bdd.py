@@ -27,9 +27,8 @@ def class_table(spark: SparkSession, seen: DataFrame | None = None, name: str =
 
 def chip_annotations(raw: DataFrame, classes: DataFrame, min_side: float = 0) -> DataFrame:
     """record_id, obj_path, class_id, class_name, box of the usable boxes of known categories whose shorter side is long enough."""
-    boxes = flatten(raw, "boxes").dropDuplicates(["record_id", "obj_path"])
-    objects = flatten(raw, "objects").dropDuplicates(["record_id", "obj_path"]).select("record_id", "obj_path", "category")
-    j = boxes.join(objects, ["record_id", "obj_path"]).join(F.broadcast(classes), F.col("category") == F.col("class_name"))
+    boxes = flatten(raw, "labelled").dropDuplicates(["record_id", "obj_path"])
+    j = boxes.join(F.broadcast(classes), F.col("category") == F.col("class_name"))  # at most MAX_CLASSES rows
     side = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     return j.where(side >= float(min_side)).select("record_id", "obj_path", "class_id", "class_name", F.array("x1", "y1", "x2", "y2").alias("box"))
 
