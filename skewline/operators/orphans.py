@@ -57,35 +57,52 @@ def _long_form(targets: list[Target], refs: list[Reference]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: keys that the search for hot ones tracks: it can't miss one with more than 1 / 7500 of the rows
+TRACKED = 10_000
+
+
+def _hot_keys(targets: list[Target], refs: list[Reference], hot_rows: int) -> tuple[int, list[tuple[str, str, int]]]:
+    """(rows in all, (target, key, about how many rows) of the keys that are too many for one task): one pass, nothing is shuffled."""
+    sides = [(t.name, t.df, t.key) for t in targets] + [(r.target, r.df, r.ref_field) for r in refs]
+    rows = reduce(DataFrame.unionByName, [df.select(F.concat(F.lit(f"{n}\0"), ref_key(F.col(c))).alias("k")) for n, df, c in sides])
+    r = rows.where("k is not null").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, 2000, {TRACKED})").alias("top")).head()
+    least = max(hot_rows, r["n"] // 2000)
+    return r["n"], [(*x["item"].split("\0", 1), x["count"]) for x in r["top"] or [] if x["count"] > least]
+
+
 def check_references(targets: list[Target], refs: list[Reference], hot_rows: int = 200_000) -> DataFrame:
     """(src_table, ref_field, row_key, at, orphan) of every reference.
 
     Tagged rows are grouped by target and key and run through in time order: the running maximum of the parents' ends
     tells whether a parent is there. A key with more than ``hot_rows`` rows (or 1/2000 of all, so there are at most 2000
-    of them) is cut into time slices, each with one row that carries over what the slices before it held: no key's rows
-    need meet in one task.
+    of them) is cut into time slices, each with one row that carries over what the slices before it held; the children of a
+    slice that is still too large, because they share one time, are dealt out. No key's rows need meet in one task.
     """
     long = _long_form(targets, refs)
-    counts = long.groupBy("target", "k").agg(F.count(F.lit(1)).alias("n"))
-    total = sum(t.df.count() for t in targets) + sum(r.df.count() for r in refs)
+    total, hot = _hot_keys(targets, refs, hot_rows)
     least = max(hot_rows, total // 2000)
-    hot = counts.where(F.col("n") > least).collect()  # fewer than 2000 rows by the choice of least
     if hot:
-        slices = max(-(-r["n"] // least) for r in hot)
+        slices = max(2, max(-(-n // least) for _, _, n in hot))
         spark = long.sparkSession
-        names = spark.createDataFrame([(r["target"], r["k"]) for r in hot], "target string, k string")
-        cuts = long.join(F.broadcast(names), ["target", "k"], "left_semi").groupBy("target", "k").agg(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), F.array(*[F.lit(j / slices) for j in range(1, slices)])).alias("cuts"))
-        long = long.join(F.broadcast(cuts), ["target", "k"], "left")
+        keys = ["target", "k"]
+        names = spark.createDataFrame([(a, b) for a, b, _ in hot], "target string, k string")
+        cuts = long.join(F.broadcast(names), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), F.array(*[F.lit(j / slices) for j in range(1, slices)])).alias("cuts"))
+        long = long.join(F.broadcast(cuts), keys, "left")
         long = long.withColumn("slice", F.when(F.col("cuts").isNull() | F.col("at").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.unix_micros(F.col("at").cast("timestamp")))))).drop("cuts")
-        by_slice = Window.partitionBy("target", "k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        hot_parents = long.join(F.broadcast(names), ["target", "k"], "left_semi").where("ref = -1")
+        by_slice = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        hot_rows_ = long.join(F.broadcast(names), keys, "left_semi")
         spine = F.broadcast(names).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        carried = spine.join(hot_parents.groupBy("target", "k", "slice").agg(F.max("until").alias("until")), ["target", "k", "slice"], "left").withColumn("until", F.max("until").over(by_slice))
+        carried = spine.join(hot_rows_.where("ref = -1").groupBy(*keys, "slice").agg(F.max("until").alias("until")), [*keys, "slice"], "left").withColumn("until", F.max("until").over(by_slice))
         carried = carried.where("until is not null").select("target", "k", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz").alias("at"), "until", F.lit(-1).alias("ref"), F.lit(None).cast("string").alias("row_key"), "slice")
         long = long.unionByName(carried)
+        # a slice of one time can't be cut by time: its children are dealt out, each part with the slice's parents (one a time)
+        parts = hot_rows_.groupBy(*keys, "slice").agg(F.ceil(F.count(F.lit(1)) / least).cast("int").alias("parts")).where("parts > 1")  # at most total / least slices
+        long = long.join(F.broadcast(parts), [*keys, "slice"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = F.array(F.pmod(F.xxhash64("ref", "row_key"), F.col("parts")).cast("int"))
+        long = long.withColumn("part", F.explode(F.when(F.col("ref") >= 0, dealt).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).drop("parts")
     else:
-        long = long.withColumn("slice", F.lit(0))
-    run = Window.partitionBy("target", "k", "slice").orderBy(F.col("at").asc_nulls_first(), F.col("ref").asc()).rowsBetween(Window.unboundedPreceding, 0)
+        long = long.withColumn("slice", F.lit(0)).withColumn("part", F.lit(0))
+    run = Window.partitionBy("target", "k", "slice", "part").orderBy(F.col("at").asc_nulls_first(), F.col("ref").asc()).rowsBetween(Window.unboundedPreceding, 0)
     seen = long.withColumn("seen", F.max("until").over(run)).where("ref >= 0")
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("ref") + 1)
     return seen.select(pick([r.src_table for r in refs]).alias("src_table"), pick([r.ref_field for r in refs]).alias("ref_field"), "row_key", "at", (~F.coalesce(F.col("seen") > F.col("at"), F.lit(False))).alias("orphan"))

@@ -71,3 +71,10 @@ def test_hot_key_is_cut(spark):
 def test_unknown_target_column(spark):
     with pytest.raises(Exception):
         check_references([Target("p", spark.range(1), "no", "a")], []).collect()
+
+
+def test_a_hot_key_of_one_time(spark):
+    """Children that share key and time are dealt out to several parts."""
+    parents = [("hot", 5, None), ("hot", 1, 2)]
+    children = [("hot", 4, f"a{i}") for i in range(200)] + [("hot", 5, f"b{i}") for i in range(200)] + [("hot", None, "n")]
+    assert run(spark, parents, children, hot_rows=20) == brute(parents, children)
