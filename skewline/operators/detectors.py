@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewline.functions.vectors import doubles, logsumexp, max_softmax, rowwise, scaled, to_matrix
-from skewline.operators.linalg import explained, moments, principal_dim, spectrum
+from skewline.operators.linalg import Moments, explained, moments, principal_dim, spectrum
 from skewline.operators.ranks import percentiles
 from skewline.session import cut
 
@@ -38,6 +38,7 @@ class Detector(ABC):
     needs: tuple[str, ...] = ()
     default_threshold: float | None = None
     _fitted = False
+    _shared: Moments | None = None
 
     def __init__(self, features: Features | None = None):
         self.features = features or Features("logits", "embeddings")
@@ -58,6 +59,10 @@ class Detector(ABC):
     @abstractmethod
     def _fit(self, df: DataFrame, y: str | None) -> None: ...
 
+    def _moments(self, df: DataFrame, y: str | None = None, shift: np.ndarray | None = None) -> Moments:
+        """Moments of the embeddings: those of ``fit_all`` if there are any (they hold classes and move to any centre)."""
+        return self._shared or moments(df, self._col("embeddings"), y, shift)
+
     @abstractmethod
     def _score(self) -> Column: ...
 
@@ -77,6 +82,22 @@ class Detector(ABC):
         return df.withColumn(out, (self.score_column() > F.lit(float(t))).cast("int"))
 
 
+def fit_all(detectors: dict[str, Detector], df: DataFrame, y: str) -> dict[str, Detector]:
+    """Fits several detectors on the same labelled embeddings: their class sums and Gram matrix come from one pass.
+
+    Every row needs a label. Detectors without classes see the same rows.
+    """
+    names = {d.features.embeddings for d in detectors.values() if not isinstance(d, (MSP, Energy, KNN))}
+    shared = {x: moments(df, x, y) for x in names if x}
+    for d in detectors.values():
+        d._shared = shared.get(d.features.embeddings)
+        try:
+            d.fit(df, y)
+        finally:
+            d._shared = None
+    return detectors
+
+
 def _temperature(t: float) -> float:
     if not t > 0:
         raise ValueError("temperature must be positive")
@@ -240,7 +261,7 @@ class Mahalanobis(Detector):
         self.eps = eps
 
     def _fit(self, df, y):
-        m = moments(df, self._col("embeddings"), y)
+        m = self._moments(df, y)
         if m.total < 2:
             raise ValueError("at least two rows are needed")
         cov = m.within() / max(m.total - len(m.n), 1)
@@ -290,7 +311,7 @@ class _Subspace:
 
         return fn
 
-    def fit(self, df: DataFrame, x: str) -> None:
+    def fit(self, df: DataFrame, x: str, given: Moments | None = None) -> None:
         f = df.select(F.size(x).alias("f")).where("f >= 0").head()
         if f is None:
             raise ValueError("no vectors to fit on")
@@ -300,7 +321,7 @@ class _Subspace:
             rng = np.random.default_rng(self.random_state)
             self.omega = rng.normal(0.0, np.sqrt(2 * self.rff_gamma), (f["f"], self.rff_dim))
             self.phase = rng.uniform(0.0, 2 * np.pi, self.rff_dim)
-        m = moments(df, x, transform=None if self.kernel == "linear" else self.working())
+        m = given if given is not None and self.kernel == "linear" else moments(df, x, transform=None if self.kernel == "linear" else self.working())
         if m.total < 2:
             raise ValueError("at least two rows are needed")
         self.mean = m.mean
@@ -328,7 +349,7 @@ class PCA(Detector):
         self.space = _Subspace(kernel, n_components, pct_variance, rff_dim, rff_gamma, random_state)
 
     def _fit(self, df, y):
-        self.space.fit(df, self._col("embeddings"))
+        self.space.fit(df, self._col("embeddings"), self._shared)
 
     def _score(self):
         return rowwise(self.space.errors())(F.col(self._col("embeddings")))
@@ -377,7 +398,7 @@ class ViM(Detector):
     def _fit(self, df, y):
         x, z = self._col("embeddings"), self._col("logits")
         self.origin = -np.linalg.pinv(self.W) @ self.b
-        m = moments(df, x, shift=self.origin)
+        m = self._moments(df, shift=self.origin)
         if len(self.origin) != len(m.shift):
             raise ValueError("the head and the vectors differ in dimension")
         self.evals, vectors = spectrum(m.scatter(self.origin))
@@ -412,7 +433,7 @@ class WDiscOOD(Detector):
         if y is None:
             raise ValueError("class labels are needed")
         x = self._col("embeddings")
-        m = moments(df, x, y)
+        m = self._moments(df, y)
         if len(m.n) < 2:
             raise ValueError("at least two classes are needed")
         f = m.gram.shape[0]

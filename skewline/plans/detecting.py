@@ -239,7 +239,8 @@ def vim_scores(spark, d):
 
 def embedding_bank(spark, d) -> ScoreBank:
     train, test, (W, b) = test_rows(spark, d)
-    dets = {"msp": D.MSP(features=COLS).fit(train), "energy": D.Energy(features=COLS).fit(train), "knn": D.KNN(10, features=COLS).fit(train), "mahalanobis": D.Mahalanobis(features=COLS).fit(train, "label"), "pca": D.PCA(features=COLS).fit(train), "pca_fusion": D.PCAFusion(features=COLS).fit(train), "vim": D.ViM(W, b, features=COLS).fit(train), "wdiscood": D.WDiscOOD(features=COLS).fit(train, "label")}
+    dets = {"msp": D.MSP(features=COLS), "energy": D.Energy(features=COLS), "knn": D.KNN(10, features=COLS), "mahalanobis": D.Mahalanobis(features=COLS), "pca": D.PCA(features=COLS), "pca_fusion": D.PCAFusion(features=COLS), "vim": D.ViM(W, b, features=COLS), "wdiscood": D.WDiscOOD(features=COLS)}
+    D.fit_all(dets, train, "label")
     df = test
     for name, det in dets.items():
         df = det.transform(df, name)

@@ -527,6 +527,15 @@ def test_what_is_saved_scores_the_same(spark, tmp_path):
         saved.load(spark, f"{tmp_path}/evil")
 
 
+def test_detectors_fitted_together_score_as_alone(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(80, 5)) + 100, rng.integers(0, 3, 80)
+    df = vectors(spark, x, rng.normal(size=(80, 3)), y)
+    make = lambda: {"m": D.Mahalanobis(features=COLS), "p": D.PCA(features=COLS), "f": D.PCAFusion(features=COLS), "v": D.ViM(rng.normal(size=(3, 5)) * 0 + np.arange(15).reshape(3, 5), np.ones(3), features=COLS), "w": D.WDiscOOD(features=COLS), "e": D.Energy(features=COLS), "r": D.PCA("rff_cosine", random_state=2, features=COLS)}
+    for name, det in D.fit_all(make(), df, "y").items():
+        assert np.allclose(scores(det.transform(df)), scores(make()[name].fit(df, "y").transform(df)), rtol=1e-6), name
+
+
 def test_embedder_modes_labels_and_chips(spark, tmp_path):
     images.register_model("bytes", lambda: lambda batch: (np.array([[x[0], x[1], 1.0] for x in batch]), None))
     with pytest.raises(ValueError):
