@@ -94,6 +94,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Per source its documents and how many of them have a wrong number of copies: neither floor(rate) nor one more, beyond the cap, or numbered with gaps."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    sizes = mixing.sized(docs)
+    plan = mixing.mix_report(docs, targets, sizes=sizes).select("source", "rate", "max_repeats")
+    got = mixing.mix(docs, targets, sizes=sizes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copy_no").alias("last"))
+    n = F.coalesce("n", F.lit(0))
+    wrong = (n < F.floor("rate")) | (n > F.floor("rate") + 1) | (n > F.col("max_repeats")) | (n != F.coalesce("last", F.lit(0)))
+    rows = sizes.join(got, "doc_id", "left").join(F.broadcast(plan), "source")  # one row a source
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(wrong).alias("wrong"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(table(spark, d, "documents")).select("doc_id")
 
@@ -107,7 +119,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validate(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_knn, p4_found, p4_splits, p4_straddling, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_kinds, p8_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_knn, p4_found, p4_splits, p4_straddling, p4_report, p4_rows, p6_ids, p6_decoded, p7_mix, p7_shares, p7_copies, p8_found, p8_kinds, p8_validation)}
 
 _LATEST = """SELECT chip_id, chip_to_image, chip_ood_max, row_number() OVER (PARTITION BY chip_id ORDER BY scored_at DESC NULLS LAST, arrived_at DESC NULLS LAST, chip_to_image DESC NULLS LAST, chip_ood_max DESC NULLS LAST) AS v FROM chips WHERE chip_id IS NOT NULL"""
 _TOP = f"""SELECT chip_to_image, chip_id, chip_ood_max + 0.0::DOUBLE AS chip_ood_max, CAST(row_number() OVER (PARTITION BY chip_to_image ORDER BY chip_ood_max + 0.0::DOUBLE DESC, chip_id) AS INTEGER) AS rank
@@ -144,5 +156,6 @@ SQL = {
     "p1_found": f"SELECT chip_to_image, chip_id FROM ({_TOP}) WHERE rank <= 5",
     "p4_found": _UNITS,
     "p4_straddling": f"WITH RECURSIVE {_UNITS[len('WITH RECURSIVE '):_UNITS.rindex('SELECT u AS unit_idx')]} SELECT u AS unit_idx, CAST(1 AS BIGINT) AS n_splits, count(*) AS n_images FROM (SELECT i, min(u) AS u FROM r GROUP BY i) GROUP BY u",
+    "p7_copies": f"SELECT s AS source, count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS wrong FROM (SELECT doc_id, {sql_key('source')} AS s FROM documents) WHERE s IN (SELECT {sql_key('source')} FROM mix_targets) GROUP BY s",
     "p6_decoded": "SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, true AS same FROM documents",
 }
