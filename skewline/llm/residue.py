@@ -35,7 +35,7 @@ HARD = -2.5
 #: value of the feature of a pair with a mark
 MARK = 3.0
 #: log-odds from which a segment is residue, chosen by precision on held-out hosts and recall of planted forms
-RESIDUE_FROM = -0.5
+RESIDUE_FROM = -0.7
 #: an n-gram in at most 1 + this share of the distinct segments is new, one level for each share; value of a share of new n-grams; n-grams added to a segment's own, none of them new, so that a few characters aren't novel by themselves
 NEW, NOVEL, KNOWN = (0.00005, 0.0005, 0.004), 3.0, 8
 #: weight of a positive and of a segment that writes about residue; share of the rows whose n-grams are left out in an epoch, and share of n-grams that stay there
@@ -285,9 +285,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: str
     rate = {r["model"]: (min(1.0, NEGATIVES / r["n"]), min(1.0, POSITIVES / max(r["pos"], 1))) for r in sums}
     of = lambda k: F.coalesce(*[F.when(F.col("model") == m, F.lit(x[k])) for m, x in rate.items()], F.lit(0.0))
     u = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) / float(1 << 30)
+    # a form met often is known: its weight rises with the root of its number, so that rare hosts' headings count
     # a text of one segment that comes more than once may be an error page that no list has: it is left unlabelled
     drawn = F.when(F.col("y") | F.col("about"), u < of(1)).when(F.col("alone") & (F.col("n") > 1), False).otherwise(u < of(0) * F.col("n"))
-    rows = rows.select("model", "key", "folded", "alone", "y", "n", F.when(F.col("y"), F.lit(POSITIVE)).when(F.col("about"), F.lit(MENTION)).otherwise(F.greatest(F.lit(1.0), of(0) * F.col("n"))).alias("weight"), drawn.alias("drawn"))
+    rows = rows.select("model", "key", "folded", "alone", "y", "n", F.when(F.col("y"), F.lit(POSITIVE)).when(F.col("about"), F.lit(MENTION)).otherwise(F.greatest(F.least(2 * F.sqrt("n") - 1, F.lit(POSITIVE)), of(0) * F.col("n"))).alias("weight"), drawn.alias("drawn"))
     shared = spark.sparkContext.broadcast(levels)  # 2^18 bytes
 
     def fit_one(key: tuple, t: pa.Table) -> pa.Table:
