@@ -11,6 +11,7 @@ from skewline.operators.binning import calibration_bins
 from skewline.operators.masks import grouped_split
 from skewline.operators.metrics import classification_metrics
 from skewline.operators.ranks import percentiles
+from skewline.session import cut
 
 CONFIDENCE = ("mean_detection_confidence", "max_detection_confidence", "min_detection_confidence", "num_detections")
 CHIP = ("chip_ood_mean", "chip_ood_max", "chip_ood_p90", "chip_ood_std", "num_chips")
@@ -112,7 +113,8 @@ def evaluate_failure_baselines(table: DataFrame, target: str = "has_failure", gr
         lost = [c for c in cols if c not in table.columns]
         if lost:
             raise ValueError(f"feature set {name!r} lacks the columns {lost}")
-    d = grouped_split(table.where(F.col(target).isNotNull()), group, test_size, seed, test_groups)
+    # every fit goes over it many times
+    d = cut(grouped_split(table.where(F.col(target).isNotNull()), group, test_size, seed, test_groups), "failure-rows")
     train, test = d.where("not is_test"), d.where("is_test")
     prior = train.agg(F.avg(F.col(target).cast("double")).alias("p"), F.countDistinct(target).alias("c")).head()
     preds = None
