@@ -57,10 +57,18 @@ def ship(spark: SparkSession) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that is free; what is written there goes when the application ends."""
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    fs, p = _files(spark, path)
-    fs.deleteOnExit(p)
-    return path
+    app = spark.sparkContext.applicationId
+    home = os.path.join(shared_dir(spark), f"skewline-{app}")
+    if home not in _HOMES:
+        # a folder is only marked if it is there
+        fs, p = _files(spark, home)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _HOMES.add(home)
+    return os.path.join(home, f"{name}-{uuid.uuid4().hex}")
+
+
+_HOMES: set[str] = set()
 
 
 def _files(spark: SparkSession, path: str):
