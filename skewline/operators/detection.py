@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skewline.functions.boxes import is_valid
+from skewline.functions.boxes import at, is_valid
+from skewline.functions.near import corners, gaps, leaves
 from skewline.operators.ranks import dense
 from skewline.session import cut
 
@@ -238,10 +239,159 @@ def remap_classes(pred: DataFrame, mapping: DataFrame, name: str = "class_name")
     return pred.drop("class_id").join(F.broadcast(mapping), name).drop(name).withColumnRenamed("new_name", name).withColumnRenamed("new_id", "class_id")
 
 
+#: boxes that one call compares, about; pairs of boxes in one step; boxes of a leaf: chips, labels
+_NEAR, _STEP, _CHIPS, _LABELS = 20_000, 1_000_000, 512, 64
+
+
+def _sum4(d: np.ndarray) -> np.ndarray:
+    return d[..., 0] + d[..., 1] + d[..., 2] + d[..., 3]
+
+
+def _pair_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``functions.boxes.iou`` of rows of boxes."""
+    w = np.maximum(np.fmin(a[:, 2], b[:, 2]) - np.fmax(a[:, 0], b[:, 0]), 0)
+    h = np.maximum(np.fmin(a[:, 3], b[:, 3]) - np.fmax(a[:, 1], b[:, 1]), 0)
+    inter = w * h
+    area = lambda m: np.maximum(m[:, 2] - m[:, 0], 0) * np.maximum(m[:, 3] - m[:, 1], 0)
+    union = area(a) + area(b) - inter
+    return np.divide(inter, union, out=np.zeros_like(inter), where=~(union <= 0))
+
+
+def _same(image: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct image and box, by image; for each row the number of its own)."""
+    bits = (box + 0.0).view(np.int64)
+    order = np.lexsort((*bits.T, image))
+    image, bits = image[order], bits[order]
+    new = np.append(True, (image[1:] != image[:-1]) | (bits[1:] != bits[:-1]).any(1))[: len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _least(chip: np.ndarray, l1: np.ndarray, iou: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the best candidate of each chip: least distance, greatest IoU, least label."""
+    order = np.lexsort((label, -iou, l1, chip))
+    return order[np.append(True, np.diff(chip[order]) != 0)[: len(order)]]
+
+
+def _nearest_of_all(a: np.ndarray, b: np.ndarray, got: tuple, chips: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    """Compares each of ``chips`` with its labels, those from ``start`` to ``end``."""
+    n, done = end - start, 0
+    while done < len(chips):
+        upto = max(done + 1, np.searchsorted(np.cumsum(n[done:]), _STEP, "right") + done)
+        if n[done] > _STEP:  # labels in steps as well: memory stays linear in them
+            parts = [(np.full(min(_STEP, end[done] - s), chips[done]), np.arange(s, min(s + _STEP, end[done]))) for s in range(start[done], end[done], _STEP)]
+        else:
+            c, k = chips[done:upto], n[done:upto]
+            parts = [(np.repeat(c, k), np.repeat(start[done:upto] - np.cumsum(k) + k, k) + np.arange(k.sum()))]
+        for c, g in parts:
+            _keep(got, c, g, _sum4(np.abs(a[c] - b[g])), _pair_iou(a[c], b[g]))
+        done = upto
+
+
+def _keep(got: tuple, chip: np.ndarray, label: np.ndarray, l1: np.ndarray, iou: np.ndarray) -> None:
+    """Enters candidates where they are better than what a chip has."""
+    best_label, best_l1, best_iou = got
+    had = np.unique(chip)
+    had = had[best_label[had] >= 0]
+    chip, label, l1, iou = (np.concatenate(x) for x in ((chip, had), (label, best_label[had]), (l1, best_l1[had]), (iou, best_iou[had])))
+    best = _least(chip, l1, iou, label)
+    c = chip[best]
+    best_label[c], best_l1[c], best_iou[c] = label[best], l1[best], iou[best]
+
+
+def _nearest_by_leaf(a: np.ndarray, b: np.ndarray, got: tuple, chips: np.ndarray, labels: np.ndarray) -> None:
+    """The same for the finite chips and labels of one image, without the leaves that lie farther than what is found."""
+    groups = [labels[r] for r in leaves(b[labels], _LABELS)]
+    low, high = corners(b, groups)
+    for r in leaves(a[chips], _CHIPS):
+        c = chips[r]
+        best = np.full(len(c), np.inf)
+        q = a[c]
+        apart = _sum4(gaps(q.min(0), q.max(0), low, high))
+        for v in np.argsort(apart, kind="stable"):
+            if apart[v] > best.max():
+                break
+            near = np.flatnonzero(_sum4(gaps(q, q, low[v], high[v])) <= best)
+            if not len(near):
+                continue
+            d = _sum4(np.abs(q[near][:, None] - b[groups[v]]))
+            least = d.min(1)
+            tie = (d == least[:, None]) & (least <= best[near])[:, None]
+            i, j = np.nonzero(tie)
+            best[near] = np.minimum(best[near], least)
+            if len(i):
+                i, j, l1 = c[near[i]], groups[v][j], d[i, j]
+                _keep(got, i, j, l1, _pair_iou(a[i], b[j]))
+
+
+def _boxes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes and which of them have a null."""
+    cols = [t.column(f"b{i}") for i in range(4)]
+    return np.column_stack([c.to_numpy() for c in cols]).astype(float), np.any([c.is_null().to_numpy() for c in cols], axis=0)
+
+
+def _numbers(c: pa.ChunkedArray) -> np.ndarray:
+    """Equal values have equal numbers, null one of its own."""
+    return c.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+
+
+def nearest(chip_image: np.ndarray, a: np.ndarray, label_image: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the nearest label or -1, its L1 distance, its IoU) of each chip; labels come in the order that decides ties.
+
+    Equal boxes of an image are compared once. Where pairs are few all are compared, in crowded images leaf by leaf.
+    """
+    own, number = _same(chip_image, a)
+    first, _ = _same(label_image, b)
+    # of equal boxes the first stands for all; the others are in the order of their rows within an image
+    first = first[np.lexsort((first, label_image[first]))]
+    a, ci, b, li = a[own], chip_image[own], b[first], label_image[first]
+    got = np.full(len(a), -1), np.full(len(a), np.nan), np.zeros(len(a))
+    start, end = np.searchsorted(li, ci), np.searchsorted(li, ci, "right")
+    fa, fb = np.isfinite(a).all(1), np.isfinite(b).all(1)
+    good = np.append(0, np.cumsum(fb))
+    # what isn't finite comes last in any order: only chips that have nothing else meet it
+    plain = fa & (good[end] > good[start])
+    labels_of = end - start
+    images, at, chips_of = np.unique(ci, return_index=True, return_counts=True)
+    crowded = np.zeros(len(a), bool)
+    for p, n in zip(at, chips_of):
+        if labels_of[p] > 4 * _LABELS and n * labels_of[p] > _STEP // 4:
+            c = np.arange(p, p + n)[plain[p : p + n]]
+            crowded[c] = True
+            if len(c):
+                _nearest_by_leaf(a, b, got, c, np.arange(start[p], end[p])[fb[start[p] : end[p]]])
+    rest = np.flatnonzero(~crowded & (labels_of > 0))
+    _nearest_of_all(a, b, got, rest, start[rest], end[rest])
+    label, l1, iou = (x[number] for x in got)
+    return np.where(label >= 0, first[np.maximum(label, 0)] if len(first) else -1, -1), l1, iou
+
+
 def nearest_label(chips: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of each chip the label of its image with the least L1 distance, then the greatest IoU, then the least label id."""
-    from skewline.functions.boxes import iou, l1_distance
+    """Of each chip the label of its image with the least L1 distance, then the greatest IoU, then the least label id.
+
+    Each side is shuffled once; a call takes the boxes of many images, those of one hash, about ``_NEAR`` boxes.
+    """
+    side = lambda d, i: d.where("image_id is not null").select("image_id", i, *[at(F.col("box"), k).alias(f"b{k}") for k in range(4)])
+    a, b = side(chips, "chip_idx"), side(labels, "label_id")
+    packs = max(1, -(-(a.count() + b.count()) // _NEAR))
+    pack = F.pmod(F.xxhash64("image_id"), F.lit(packs)).alias("pack")
+    a, b = a.withColumn("pack", pack), b.withColumn("pack", pack)
+
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("label_id")
+        both = pa.chunked_array([*left.column("image_id").chunks, *right.column("image_id").chunks], left.schema.field("image_id").type)
+        code, n = _numbers(both), left.num_rows
+        (box, lost), (label_box, label_lost) = _boxes(left), _boxes(right)
+        label, l1, iou = nearest(code[:n], box, code[n:], label_box)
+        # rows of one chip id in an image count as one chip
+        found = np.flatnonzero(label >= 0)
+        one = found[_least((code[:n] * (n + 1) + _numbers(left.column("chip_idx")))[found], l1[found], iou[found], label[found])]
+        lost = lost[one] | label_lost[label[one]]
+        return pa.table({
+            "image_id": left.column("image_id").take(one), "chip_idx": left.column("chip_idx").take(one), "label_id": right.column("label_id").take(label[one]),
+            "l1": pa.array(l1[one], mask=lost), "iou": pa.array(np.where(lost, 0.0, iou[one])),
+        })
 
-    j = chips.join(labels.withColumnRenamed("box", "label_box"), "image_id")
-    key = F.struct(l1_distance(F.col("box"), F.col("label_box")).alias("l1"), (-iou(F.col("box"), F.col("label_box"))).alias("i"), F.col("label_id"))
-    return j.groupBy("image_id", "chip_idx").agg(F.min(key).alias("m")).select("image_id", "chip_idx", F.col("m.label_id").alias("label_id"), F.col("m.l1").alias("l1"), (-F.col("m.i")).alias("iou"))
+    of = lambda d, c: dict(d.dtypes)[c]
+    return a.groupBy("pack").cogroup(b.groupBy("pack")).applyInArrow(fold, f"image_id {of(chips, 'image_id')}, chip_idx {of(chips, 'chip_idx')}, label_id {of(labels, 'label_id')}, l1 double, iou double")
