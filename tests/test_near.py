@@ -1,10 +1,12 @@
 """Searches for what is nearest in crowded images."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skewline.operators import detection
+from skewline.operators import detection, geometry
 
 
 def _brute(a, b):
@@ -62,3 +64,34 @@ def test_nearest_label_of_crowded_images(spark):
         want, _, _ = _brute(at(j, 7, 5)[None], np.array([at(x, 20, 4) for x in of]))
         assert {r.label_id for r in got if r.chip_idx % 70 == j} == {of[want[0]]}
     assert len(got) == 30_000
+
+
+@pytest.mark.parametrize("kind", ["spread", "few centres", "on a line", "with outliers"])
+@pytest.mark.parametrize(("k", "most"), [(4, 256), (1, 10), (7, 5000)])
+def test_edges_equal_brute_force(kind, k, most):
+    rng, n = np.random.default_rng(k), 500
+    x = {"spread": rng.random((n, 2)), "few centres": rng.integers(0, 6, (n, 2)) / 640, "on a line": np.column_stack([np.zeros(n), rng.integers(0, 90, n) / 7]), "with outliers": rng.random((n, 2)) * np.where(np.arange(n)[:, None] % 10, 1e-3, 1e3)}[kind]
+    d = np.round(np.sqrt((x[:, None, 0] - x[:, 0]) ** 2 + (x[:, None, 1] - x[:, 1]) ** 2), 12)
+    pairs = {(min(a, b), max(a, b)) for a in range(n) for b in sorted(set(range(n)) - {a}, key=lambda b: (d[a, b], b))[:k]}
+    want = sorted(pairs, key=lambda p: (d[p], p))[:most]
+    assert list(zip(*geometry.edges(np.arange(n), x, k, most))) == want
+
+
+def test_edges_of_chips_without_a_centre():
+    x = np.column_stack([np.arange(40.0), np.zeros(40)])
+    x[3], x[7, 0] = np.nan, np.inf
+    i, j = geometry.edges(np.arange(40), x, 2, 256)
+    assert len(i) and not (set(i) | set(j)) & {3, 7} and (2, 4) in set(zip(i, j))
+    assert not len(geometry.edges(np.arange(40), np.full((40, 2), np.nan), 2, 256)[0])
+
+
+@pytest.mark.parametrize("centres", [315, 40_000])
+def test_edges_of_a_crowded_image_take_no_square_of_its_chips(centres):
+    n = 40_000
+    at = np.random.default_rng(3).random((centres, 2))
+    x = at[np.arange(n) % centres]
+    began = time.process_time()
+    i, j = geometry.edges(np.arange(n), x, 4, 256)
+    assert time.process_time() - began < 10  # all distances took 60 s
+    if centres == 315:  # the first chip of a centre is the nearest of all others there
+        assert (i[:126] == 0).all() and j[:126].tolist() == list(range(315, n, 315))[:126]
