@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewline.functions.keys import eq_key
-from skewline.llm.segments import SIZES, D, M, Segments, grams, keys, marks, of_folded, only, per_segment, segments, shape
+from skewline.llm.segments import SIZES, D, M, Segments, grams, keys, marks, of_folded, only, packs, per_segment, segments, shape
 from skewline.llm.weak import ABOUT, cues, weak_label
 from skewline.session import cut
 
@@ -82,17 +82,26 @@ class Counts:
         self.seen = _Seen()
 
     def add(self, texts: list[str | None]) -> Counts:
-        for a in range(0, len(texts), 1000):
-            s = segments(texts[a : a + 1000])
+        held: list[np.ndarray] = []
+        for _, part in packs(texts):
+            s = segments(part)
             new = self.seen.new(keys(s))
             self.segments += int(new.sum())
-            s = only(s, new)
-            for h, inside in grams(s):
-                self.v += np.bincount(h[inside], minlength=len(self.v))
+            for h, across in grams(only(s, new)):
+                h[across] = _MARKS  # counted apart
+                held.append(h)
+            if sum(map(len, held)) > 1_000_000:
+                self._count(held)
+        self._count(held)
         self.documents += len(texts)
         self.chars += sum(len(t) for t in texts if t)
         return self
 
+    def _count(self, held: list[np.ndarray]) -> None:
+        if held:
+            self.v += np.bincount(np.concatenate(held), minlength=_MARKS + 1)[:_MARKS]
+            held.clear()
+
     def levels(self) -> np.ndarray:
         """For each hashed n-gram at how many of the shares ``NEW`` it counts as new."""
         return sum((self.v <= 1 + q * self.segments).astype(np.uint8) for q in NEW)
@@ -105,7 +114,8 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> Counts:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counts()
         for b in batches:
-            c.add(b.column(0).to_pylist())
+            for a in range(0, b.num_rows, 1000):
+                c.add(b.column(0).slice(a, 1000).to_pylist())
         if c.documents:
             rows = [*c.v.reshape(-1, _ROW), np.array([c.segments, c.documents, c.chars])]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["row", "v"])
@@ -126,14 +136,14 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> Counts:
     return out
 
 
-def novelty(s: Segments, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(column, value) of each segment: the share of its n-grams that are new, by size and level; apart for Chinese and Japanese, whose n-grams are rarer."""
-    kanji = (per_segment(s, ((s.chars >= 0x3040) & (s.chars <= 0x9FFF)).astype(np.int32)) > 0).astype(np.int64)
-    size = np.diff(np.append(s.at, len(s.chars)))
-    packed = _PACKED[levels]
-    for k, (h, inside) in enumerate(grams(s)):
-        whole = np.maximum(size - SIZES[k] + 1, 0) + KNOWN
-        new = per_segment(s, packed[h] * inside)
+def novelty(s: Segments, packed: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(column, value) of each segment: the share of its n-grams that are new, by size and level; apart for Chinese and Japanese, whose n-grams are rarer. ``found``: its n-grams, if at hand."""
+    kanji = np.logical_or.reduceat((s.chars >= 0x3040) & (s.chars <= 0x9FFF), s.at).astype(np.int64)
+    for k, (h, across) in enumerate(grams(s) if found is None else found):
+        whole = np.maximum(s.size - SIZES[k] + 1, 0) + KNOWN
+        new = packed.take(h, mode="clip")
+        new[across] = 0
+        new = per_segment(s, new)
         for q in range(len(NEW)):
             share = (new >> (21 * q) & (1 << 21) - 1) / whole
             yield _NOVEL + 2 * (k * len(NEW) + q) + kanji, (NOVEL * share).astype(np.float32)
@@ -148,20 +158,33 @@ class Model:
             w = np.zeros(WIDTH, np.float32)
             w[_TITLE:_NOVEL] = -10
         self.w = w
+        self._packed: np.ndarray | None = None
+
+    @property
+    def packed(self) -> np.ndarray:
+        """The levels as they are summed, made once where they are used."""
+        if self._packed is None:
+            self._packed = _PACKED[self.levels]
+        return self._packed
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_packed": None}
 
     def score(self, s: Segments) -> np.ndarray:
         """Log-odds of each segment; those above ``RESIDUE_FROM`` are residue."""
         if not len(s.at):
             return np.zeros(0)
-        z = np.zeros(len(s.at))
-        for h, inside in grams(s):
-            z += per_segment(s, self.w[h] * inside)
+        z, found = np.zeros(len(s.at)), list(grams(s))
+        for h, across in found:
+            v = self.w.take(h, mode="clip")  # all within
+            v[across] = 0
+            z += per_segment(s, v)
         n, length, title = shape(s)
         z = z / np.sqrt(np.maximum(n, 1)) + self.w[_LENGTH + length] + self.w[_TITLE + title]
         where, h = marks(s)
         if len(where):
             z += MARK * np.bincount(where, weights=self.w[_MARKS + h], minlength=len(s.at))
-        for col, v in novelty(s, self.levels):
+        for col, v in novelty(s, self.packed, found):
             z += self.w[col] * v
         return z
 
@@ -172,8 +195,11 @@ def _matrix(s: Segments, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     each, one = np.arange(len(s.at)), np.ones(len(s.at), np.float32)
     scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
     rows, cols, values = [each, each], [_LENGTH + length, _TITLE + title], [one, one]
-    for h, inside in grams(s):
-        r = s.seg[: len(h)][inside]
+    seg = np.repeat(each, s.size)
+    for h, across in grams(s):
+        inside = np.ones(len(h), bool)
+        inside[across] = False
+        r = seg[: len(h)][inside]
         rows.append(r)
         cols.append(h[inside])
         values.append(scale[r])
@@ -181,7 +207,7 @@ def _matrix(s: Segments, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     rows.append(where)
     cols.append(_MARKS + h)
     values.append(np.full(len(where), MARK, np.float32))
-    for col, v in novelty(s, levels):
+    for col, v in novelty(s, _PACKED[levels]):
         rows.append(each)
         cols.append(col)
         values.append(v)
@@ -199,8 +225,14 @@ def fit(s: Segments, y: np.ndarray, times: np.ndarray, weight: np.ndarray, level
     if not y.any():
         return model
     bounds, cols, values = _matrix(s, levels)
+    # only the columns that the rows hold, numbered in their order
+    held = np.zeros(WIDTH, bool)
+    held[cols] = True
+    ngrams, width = int(held[:_MARKS].sum()), int(held.sum())
+    cols = (np.cumsum(held, dtype=np.int32) - 1)[cols]
     rng = np.random.default_rng(3)
-    w, g2, mean, n = np.zeros(WIDTH, np.float32), np.full(WIDTH, 1e-4, np.float32), np.zeros(WIDTH), 0
+    w, g2, mean, n = np.zeros(width, np.float32), np.full(width, 1e-4, np.float32), np.zeros(width), 0
+    mark = np.zeros(width, bool)
     may = y | (times < 2)
     for epoch in range(epochs):
         order = rng.permutation(len(y))
@@ -210,18 +242,21 @@ def fit(s: Segments, y: np.ndarray, times: np.ndarray, weight: np.ndarray, level
             start = np.cumsum(m) - m
             at = np.repeat(bounds[r] - start, m) + np.arange(m.sum())
             c, v = cols[at], values[at]
-            out = np.repeat((rng.random(len(r)) < DROP) & may[r], m) & (c < _MARKS)
+            out = np.repeat((rng.random(len(r)) < DROP) & may[r], m) & (c < ngrams)
             v = np.where(out & (rng.random(len(c)) > STAY), 0, v)
             z = np.add.reduceat(w[c] * v, start)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r]) * weight[r] / batch
-            used, place = np.unique(c, return_inverse=True)
-            g = np.bincount(place, weights=np.repeat(err, m) * v, minlength=len(used)).astype(np.float32) + l2 * w[used]
+            mark[c] = True
+            used = np.flatnonzero(mark)
+            mark[used] = False
+            g = np.bincount(c, weights=np.repeat(err, m) * v, minlength=width)[used].astype(np.float32) + l2 * w[used]
             g2[used] += g * g
             w[used] -= rate * g / np.sqrt(g2[used])
         if epoch >= epochs // 2:
             mean += w
             n += 1
-    model.w = (mean / n).astype(np.float32)
+    model.w = np.zeros(WIDTH, np.float32)
+    model.w[held] = mean / n
     return model
 
 
@@ -249,15 +284,15 @@ def labelled(docs: DataFrame, doc_id: str, text: str, fold: str | None, share: f
                 for f in np.unique(fold_of).tolist():
                     mine = np.flatnonzero(fold_of == f)
                     u, first, n = np.unique(k[mine], return_index=True, return_counts=True)
-                    at, y = mine[first].tolist(), []
-                    for key, i in zip(u.tolist(), at):
+                    at, y = mine[first], []
+                    folded = s.folded_of(at)
+                    for key, i, chars in zip(u.tolist(), at.tolist(), folded):
                         if key not in known:
-                            known[key] = cues(s.raw(i), s.folded(i)[2:-2].decode("utf-16-le", "replace"))
+                            known[key] = cues(s.raw(i), chars[2:-2].decode("utf-16-le", "replace"))
                         y.append(known[key])
                     if len(known) > 500_000:
                         known.clear()
-                    folded = pa.array([s.folded(i) for i in at], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), f, np.int32)), folded, pa.array(s.alone[at]), pa.array([x not in (None, ABOUT) for x in y], pa.bool_()), pa.array([x == ABOUT for x in y], pa.bool_()), pa.array(n.astype(np.int64))], names=["key", "fold", "folded", "alone", "y", "about", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), f, np.int32)), pa.array(folded, pa.binary()), pa.array(s.alone[at]), pa.array([x not in (None, ABOUT) for x in y], pa.bool_()), pa.array([x == ABOUT for x in y], pa.bool_()), pa.array(n.astype(np.int64))], names=["key", "fold", "folded", "alone", "y", "about", "n"])
 
     rows = d.select("t", "fold").mapInArrow(run, _SAMPLE)
     return rows.groupBy("key", "fold").agg(*_one())
@@ -335,11 +370,15 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mo
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                s = segments(part.column(1).to_pylist())
-                z = m.score(s)
-                i = np.flatnonzero(z > RESIDUE_FROM)
-                kinds = [weak_label(s.raw(k)) or "other" for k in i.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s.doc[i])), pa.array(kinds, pa.string()), pa.array(z[i], pa.float64())], names=["doc_id", "kind", "score"])
+                docs, kinds, scores = [], [], []
+                for first, texts in packs(part.column(1).to_pylist()):
+                    s = segments(texts)
+                    z = m.score(s)
+                    i = np.flatnonzero(z > RESIDUE_FROM)
+                    kinds += [weak_label(s.raw(k)) or "other" for k in i.tolist()]
+                    docs.append(first + s.doc[i])
+                    scores.append(z[i])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(docs))), pa.array(kinds, pa.string()), pa.array(np.concatenate(scores), pa.float64())], names=["doc_id", "kind", "score"])
 
     rows = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, kind string, score double")
     return rows.groupBy("doc_id").agg(F.max(F.struct("score", "kind")).alias("m"), F.count(F.lit(1)).alias("n_segments")).select("doc_id", "m.kind", "m.score", "n_segments")
@@ -388,6 +427,8 @@ def validate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 
 def _against_weak(model: Model, texts: list[str]) -> np.ndarray:
     """``_COUNTS`` of each text: segments, those with a weak label, those picked, and both."""
+    if len(several := [x for _, x in packs(texts)]) > 1:
+        return np.concatenate([_against_weak(model, x) for x in several], 1)
     s = segments(texts)
     picked = model.score(s) > RESIDUE_FROM
     seen: dict[str, bool] = {}

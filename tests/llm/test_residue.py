@@ -1,8 +1,12 @@
+import random
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from skewline.llm import residue as R
-from skewline.llm.segments import keys, of_folded, segments
+from skewline.llm import weak as W
+from skewline.llm.segments import keys, of_folded, segments, squeeze
 from skewline.llm.weak import weak_label
 
 RESIDUE = [
@@ -65,6 +69,55 @@ def test_copies_count_once():
     assert (once.v == often.v).all() and once.segments == often.segments == 2
 
 
+def test_plain_sentences_are_not_searched_for_notes(monkeypatch):
+    class Asked:
+        n = 0
+
+        def search(self, raw):
+            self.n += 1
+
+    asked = Asked()
+    monkeypatch.setattr(W, "_NOTE", asked)
+    for i in range(50):
+        W.cues(f"The shaft {i} of the device (see FIG. 3) is held by [0012] the housing <b>.")
+    assert asked.n == 0
+
+
+@pytest.mark.parametrize("note", ["___ (x", "TODO", "TBD", "FIXME", "tbd", "todo", "xxx a xxx", *(f"{a} x {w} x {b}" for a, b in ("[]", "<>", "()", "（）", "［］", "【】") for w in ("goes here", "einfügen", "ergänzen", "à compléter", "à remplir", "aquí", "请输入", "此处填写", "入力", "記入")), *(f"{a}{w} x{b}" for a, b in ("[]", "<>", "()", "（）", "［］") for w in ("Insert", "insert", "Enter", "enter", "Insérer", "insérer", "Insertar", "insertar", "Hier", "Your")), "[... x ...]", "x ...]"])
+def test_every_kind_of_note_has_a_sign(note):
+    assert W._NOTE.search(note) and any(squeeze(x) in squeeze(note) for x in W._NOTE_SIGNS) and W.cues(note) is not None
+
+
+def test_filler_is_told_as_by_counting_all_words():
+    rng = random.Random(4)
+    words = ["lorem", "Dolor", "asdf", "foo", "the", "shaft", "x", "in", "né", "jklö", "字", "12", "a_b"]
+    for _ in range(3000):
+        raw = " ".join(rng.choices(words, weights=[4, 4, 3, 3, *[1] * 9], k=rng.randint(1, 16)))
+        found = [w.lower() if len(w) > 1 else "" for w in W._WORD.findall(raw)]
+        most = max(sum(r.fullmatch(w) is not None for w in found) for r in (W._LATIN, W._MASH))
+        assert W._is_filler(raw) == (most >= max(4, 0.75 * len(found))), raw
+
+
+def test_counting_holds_a_pack_of_texts_at_once():
+    texts = [f"The shaft {'abcdefghij'[i % 10]} is porous. " * 60 for i in range(1000)]
+    R.Counts().add(texts[:2])
+    tracemalloc.start()
+    c = R.Counts().add(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.documents == 1000 and c.chars == sum(map(len, texts)) and c.segments == 20
+    assert peak < 20 * sum(map(len, texts))
+
+
+def test_steps_of_a_fit_do_not_sort_columns(monkeypatch):
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    s = segments([f"The shaft {i} is porous. Lorem ipsum {i}" for i in range(600)])
+    y = np.arange(len(s.at)) % 2 == 1
+    m = R.fit(s, y, np.ones(len(y)), np.ones(len(y)), np.zeros(R._MARKS, np.uint8))
+    assert len(calls) <= 2 and ((m.score(s) > 0) == y).mean() > 0.95
+
+
 def corpus():
     docs = []
     for i in range(240):
